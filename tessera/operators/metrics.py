@@ -107,7 +107,7 @@ def latest_checkpoint(files: DataFrame, group_cols: Sequence[str] = ("config",),
     """
     g = list(group_cols)
     p = files.where(F.col(name_col).rlike(CHECKPOINT_PATTERN)).withColumn(
-        "epoch", F.regexp_extract(name_col, CHECKPOINT_PATTERN, 1).cast("bigint"))
+        "epoch", F.regexp_extract(name_col, CHECKPOINT_PATTERN, 1).try_cast("bigint"))
     best = p.groupBy(*g).agg(
         F.max("epoch").alias("epoch"),
         F.min_by(F.col(name_col), F.struct((-F.col("epoch")).alias("e"), F.col(name_col).alias("n"))).alias(name_col))

@@ -326,3 +326,7 @@ def head_batches_q(spark, sf_dir):
     """SP-6: whole batches until 25 rows are collected; the first 25 are shown."""
     b = SP.mini_batches(_train_shuffle(spark, sf_dir, epochs=(1,)), 10)
     return SP.head_batches(b, 25, 10).select("national_number", "batch_id", "shown")
+
+
+# Register the other query families (they import ``query`` from this module).
+from . import catalog_logs, catalog_vectors  # noqa: E402,F401
