@@ -329,4 +329,4 @@ def head_batches_q(spark, sf_dir):
 
 
 # Register the other query families (they import ``query`` from this module).
-from . import catalog_logs, catalog_text, catalog_vectors  # noqa: E402,F401
+from . import catalog_images, catalog_logs, catalog_text, catalog_vectors  # noqa: E402,F401
