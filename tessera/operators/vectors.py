@@ -13,6 +13,7 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -87,8 +88,6 @@ def project(v, weights: np.ndarray) -> Column:
 
 def project_arrow(df: DataFrame, vec_col: str, weights: np.ndarray, out_col: str = "proj") -> DataFrame:
     """FN-8, large-matrix form: numpy matmul per Arrow batch inside a pandas UDF."""
-    import pandas as pd
-
     w = np.asarray(weights, dtype=np.float64)
     bw = df.sparkSession.sparkContext.broadcast(w)
 
