@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.text import padded_id
+from .session import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -149,5 +150,5 @@ def words(spark: SparkSession, sf_dir: str, source: str = "documents") -> DataFr
     else:
         df = table(spark, sf_dir, "conversations").select(
             (F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), F.col("role").alias("lang"), "text")
-    return df.select("doc_id", "lang",
-                     F.regexp_extract_all(F.lower("text"), F.lit(f"({WORD_PATTERN})"), 1).alias("words"))
+    return spread(df).select("doc_id", "lang",
+                             F.regexp_extract_all(F.lower("text"), F.lit(f"({WORD_PATTERN})"), 1).alias("words"))

@@ -20,13 +20,18 @@ import math
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 OUTPUT_SIZE = 215
+# Rows per Arrow batch handed back by the image jobs; a 3x215x215 tensor is ~555 KB.
+OUT_BATCH = 32
 
 
 # ---------------------------------------------------------------- Catalyst form (small rasters)
@@ -122,6 +127,7 @@ def _lanczos(x: np.ndarray) -> np.ndarray:
 _PRECISION_BITS = 32 - 8 - 2
 
 
+@lru_cache(maxsize=64)
 def resample_weights(in_size: int, out_size: int) -> np.ndarray:
     """Fixed-point Lanczos weights ``(out_size, in_size)`` for one axis."""
     scale = in_size / out_size
@@ -209,23 +215,48 @@ def raster_rows(pdf: pd.DataFrame, arr_col: str = "rgba", channels: int = 4):
 
 
 def image_tensors(images: DataFrame, id_col: str = "origin", size: int = OUTPUT_SIZE) -> DataFrame:
-    """IM-4 over an ``image``-source DataFrame: ``(id, c, h, w, data array<float>)``."""
+    """IM-4 over an ``image``-source DataFrame: ``(id, c, h, w, data array<float>, checksum)``.
+
+    ``mapInArrow``: each output batch's tensor column is one flat float32 buffer plus offsets,
+    so no per-element conversion happens between numpy and Arrow. ``checksum`` is the float64
+    sum of the tensor, computed in the same pass.
+    """
+    import pyarrow as pa
+
     flat = images.select(F.col(f"image.{id_col}").alias("id"), F.col("image.height").alias("height"),
                          F.col("image.width").alias("width"), F.col("image.nChannels").alias("n_channels"),
                          F.col("image.data").alias("data"))
-
-    def job(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            out = []
-            for r in pdf.itertuples(index=False):
-                img = from_spark_image(int(r.height), int(r.width), int(r.n_channels), r.data)
+    schema = pa.schema([("id", pa.string()), ("c", pa.int32()), ("h", pa.int32()), ("w", pa.int32()),
+                        ("data", pa.list_(pa.float32())), ("checksum", pa.float64())])
+
+    def emit(ids, shapes, tensors, sums):
+        values = np.concatenate([t.ravel() for t in tensors]) if tensors else np.zeros(0, np.float32)
+        offsets = np.zeros(len(tensors) + 1, dtype=np.int32)
+        np.cumsum([t.size for t in tensors], out=offsets[1:])
+        data = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, type=pa.float32()))
+        cols = [pa.array(ids, pa.string())] + [pa.array([s[i] for s in shapes], pa.int32()) for i in range(3)]
+        return pa.RecordBatch.from_arrays(cols + [data, pa.array(sums, pa.float64())], schema=schema)
+
+    def job(batches):
+        for rb in batches:
+            d = rb.to_pydict()
+            ids, shapes, tensors, sums = [], [], [], []
+            for i in range(rb.num_rows):
+                img = from_spark_image(int(d["height"][i]), int(d["width"][i]), int(d["n_channels"][i]), d["data"][i])
                 if img.shape[2] == 1:
                     img = np.repeat(img, 3, axis=2)
                 t = image_tensor_np(img, size)
-                out.append((r.id, t.shape[0], t.shape[1], t.shape[2], t.ravel()))
-            yield pd.DataFrame(out, columns=["id", "c", "h", "w", "data"])
+                ids.append(d["id"][i])
+                shapes.append(t.shape)
+                tensors.append(t)
+                sums.append(float(t.sum(dtype=np.float64)))
+                if len(ids) == OUT_BATCH:
+                    yield emit(ids, shapes, tensors, sums)
+                    ids, shapes, tensors, sums = [], [], [], []
+            if ids:
+                yield emit(ids, shapes, tensors, sums)
 
-    return flat.mapInPandas(job, "id string, c int, h int, w int, data array<float>")
+    return spread(flat).mapInArrow(job, "id string, c int, h int, w int, data array<float>, checksum double")
 
 
 def shape_violations(tensors: DataFrame, c: int = 3, size: int = OUTPUT_SIZE) -> DataFrame:
@@ -247,7 +278,7 @@ def rotate_rasters(rasters: DataFrame, angles, id_col: str = "vec_id") -> DataFr
                     out.append((d[id_col], a, rgb.shape[0], rgb.shape[1], rgb.ravel().astype(np.int32)))
             yield pd.DataFrame(out, columns=[id_col, "angle", "h", "w", "rgb"])
 
-    return rasters.mapInPandas(job, f"{id_col} long, angle double, h int, w int, rgb array<int>")
+    return spread(rasters).mapInPandas(job, f"{id_col} long, angle double, h int, w int, rgb array<int>")
 
 
 def resize_rasters(rasters: DataFrame, width: int, height: int, id_col: str = "vec_id") -> DataFrame:
@@ -260,7 +291,7 @@ def resize_rasters(rasters: DataFrame, width: int, height: int, id_col: str = "v
                 out.append((d[id_col], rgb.shape[0], rgb.shape[1], rgb.ravel().astype(np.int32)))
             yield pd.DataFrame(out, columns=[id_col, "h", "w", "rgb"])
 
-    return rasters.mapInPandas(job, f"{id_col} long, h int, w int, rgb array<int>")
+    return spread(rasters).mapInPandas(job, f"{id_col} long, h int, w int, rgb array<int>")
 
 
 def augmented_images(rasters: DataFrame, k: int, id_col: str = "vec_id") -> DataFrame:
@@ -279,7 +310,7 @@ def augmented_images(rasters: DataFrame, k: int, id_col: str = "vec_id") -> Data
                 out.append((d[id_col], int(d["aug_no"]), rgb.shape[0], rgb.shape[1], rgb.ravel().astype(np.int32)))
             yield pd.DataFrame(out, columns=[id_col, "aug_no", "h", "w", "rgb"])
 
-    return fanned.mapInPandas(job, f"{id_col} long, aug_no int, h int, w int, rgb array<int>")
+    return spread(fanned).mapInPandas(job, f"{id_col} long, aug_no int, h int, w int, rgb array<int>")
 
 
 def export_pngs(rasters: DataFrame, out_dir: str, id_col: str = "vec_id", name_fmt: str = "{:03d}.png") -> None:
@@ -290,14 +321,14 @@ def export_pngs(rasters: DataFrame, out_dir: str, id_col: str = "vec_id", name_f
     """
     def write(rows):
         from pyarrow import fs as pafs
-        filesystem, base = pafs.FileSystem.from_uri(out_dir)
+        filesystem, base = pafs.FileSystem.from_uri(out_dir if "://" in out_dir else "file://" + out_dir.split(":", 1)[-1])
         filesystem.create_dir(base, recursive=True)
         for r in rows:
             img = np.asarray(r["rgba"], dtype=np.uint8).reshape(r["height"], r["width"], 4)
             with filesystem.open_output_stream(f"{base}/{name_fmt.format(r[id_col])}") as f:
                 f.write(encode_png(img))
 
-    rasters.select(id_col, "height", "width", "rgba").foreachPartition(write)
+    spread(rasters.select(id_col, "height", "width", "rgba")).foreachPartition(write)
 
 
 def checksum(col: str = "rgb") -> Column:

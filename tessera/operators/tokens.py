@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import spread
+
 WORD_PATTERN = r"[\p{L}\p{M}\p{N}]+"
 
 # Special tokens of our corpus vocabulary, with their ids.
@@ -30,8 +32,9 @@ def split_words(text) -> Column:
 
 
 def caption_words(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(id, pos, word)`` with 0-based word positions."""
-    return df.select(id_col, F.posexplode(split_words(text_col)).alias("pos", "word"))
+    """``(id, pos, word)`` with 0-based word positions (whole texts)."""
+    return spread(df.select(id_col, text_col)).select(
+        id_col, F.posexplode(split_words(text_col)).alias("pos", "word"))
 
 
 def pad_truncate(ids, max_len: int = 256, cls: int = CLS_ID, sep: int = SEP_ID, pad: int = PAD_ID):
@@ -56,27 +59,35 @@ def truncation_report(df: DataFrame, group_col: str, n_col: str, budget: int = 2
 
 def build_vocab(words: DataFrame, size: int = 5000, word_col: str = "word") -> list[str]:
     """Corpus vocabulary: specials, every character seen (as ``c`` and ``##c``), then the most
-    frequent words, up to ``size`` entries. Counting is distributed; only the top ``size``
-    entries (bounded by the parameter) reach the driver."""
-    chars = (words.select(F.explode(F.split(F.col(word_col), "")).alias("ch"))
-             .where(F.length("ch") > 0).groupBy("ch").count()
-             .orderBy(F.desc("count"), F.asc("ch")).limit(size).collect())
-    vocab = list(SPECIALS)
-    seen = set(vocab)
-    for r in chars:
-        for tok in (r["ch"], "##" + r["ch"]):
-            if tok not in seen and len(vocab) < size:
-                vocab.append(tok)
-                seen.add(tok)
-    room = size - len(vocab)
-    if room > 0:
-        top = (words.groupBy(word_col).count().where(F.length(word_col) > 1)
-               .orderBy(F.desc("count"), F.asc(word_col)).limit(room + len(seen)).collect())
-        for r in top:
-            w = r[word_col]
-            if w not in seen and len(vocab) < size:
-                vocab.append(w)
-                seen.add(w)
+    frequent words, up to ``size`` entries.
+
+    One distributed word count (partial aggregation, so a hot word costs nothing extra) is
+    cached and feeds both the character and the word ranking; only the top ``size`` entries of
+    each (bounded by the parameter) reach the driver.
+    """
+    wc = words.groupBy(word_col).agg(F.count(F.lit(1)).alias("n")).persist()
+    try:
+        chars = (wc.select(F.explode(F.split(F.col(word_col), "")).alias("ch"), "n")
+                 .where(F.length("ch") > 0).groupBy("ch").agg(F.sum("n").alias("n"))
+                 .orderBy(F.desc("n"), F.asc("ch")).limit(size).collect())
+        vocab = list(SPECIALS)
+        seen = set(vocab)
+        for r in chars:
+            for tok in (r["ch"], "##" + r["ch"]):
+                if tok not in seen and len(vocab) < size:
+                    vocab.append(tok)
+                    seen.add(tok)
+        room = size - len(vocab)
+        if room > 0:
+            top = (wc.where(F.length(word_col) > 1).orderBy(F.desc("n"), F.asc(word_col))
+                   .limit(room + len(seen)).collect())
+            for r in top:
+                w = r[word_col]
+                if w not in seen and len(vocab) < size:
+                    vocab.append(w)
+                    seen.add(w)
+    finally:
+        wc.unpersist()
     return vocab
 
 

@@ -65,3 +65,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique folder path under the shared checkpoint root (not created here)."""
     root = ensure_checkpoint_dir(spark)
     return f"{root}/tessera-scratch/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def spread(df, min_partitions: int | None = None):
+    """Give CPU-heavy per-row work at least one task per core.
+
+    A scan yields one task per file split; a small input (one row group) would run a regex or
+    pixel stage on a single core. When the plan has fewer partitions than the cluster's default
+    parallelism, rows are spread round-robin first; on large inputs (thousands of splits) this is
+    a no-op and adds no shuffle. The check reads the physical plan only, it runs no job.
+    """
+    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < want:
+        return df.repartition(want)
+    return df
