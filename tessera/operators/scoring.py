@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import vectors as V
-from .metrics import batch_weighted_loss
 
 
 def batch_score(df: DataFrame, make_predict_fn: Callable, input_col: str, out_col: str,
@@ -61,11 +60,14 @@ def evaluation_report(scored: DataFrame, batch_col: str = "batch_id", pred_col:
     """ML-2: one row ``(test_loss, similarity_avg)``.
 
     test loss = size-weighted mean of batch mean L1 (AG-2); similarity = mean cosine (AG-3).
+    Both come out of one two-level aggregation (per batch, then overall): no join.
     """
-    m = pair_metrics(scored, pred_col, truth_col).withColumn("_k", F.lit(0))
-    loss = batch_weighted_loss(m, keys=["_k"], batch_col=batch_col, loss_col="l1", out_col="test_loss")
-    sim = m.groupBy("_k").agg(F.avg("cosine").alias("similarity_avg"))
-    return loss.join(sim, "_k").drop("_k")
+    m = pair_metrics(scored, pred_col, truth_col)
+    per_batch = m.groupBy(batch_col).agg(
+        F.avg("l1").alias("_bm"), F.count(F.lit(1)).alias("_bn"), F.sum("cosine").alias("_cs"))
+    return per_batch.agg(
+        (F.sum(F.col("_bm") * F.col("_bn")) / F.sum("_bn")).alias("test_loss"),
+        (F.sum("_cs") / F.sum("_bn")).alias("similarity_avg"))
 
 
 def similarity_summary(pairs: DataFrame) -> DataFrame:
