@@ -164,10 +164,15 @@ def _resolved(spark, sf_dir, cols=("doc_id", "national_number")):
 
 
 @query("resolve_assets", with_(Q.M, Q.A, Q.C, Q.R) + """
-SELECT national_number, asset_name, match_rank FROM r""")
+SELECT national_number, asset_name, coalesce(match_rank, 0) AS match_rank FROM r""")
 def resolve_assets_q(spark, sf_dir):
-    """JN-1: priority lookup join (candidate 1, else candidate 2)."""
-    return _resolved(spark, sf_dir).select("national_number", "asset_name", "match_rank")
+    """JN-1: priority lookup join (candidate 1, else candidate 2).
+
+    ``match_rank`` is 1 or 2, and 0 when no file exists (the operator itself returns null there;
+    the report uses 0 so the column stays a plain integer in every client).
+    """
+    r = _resolved(spark, sf_dir)
+    return r.select("national_number", "asset_name", F.coalesce("match_rank", F.lit(0)).alias("match_rank"))
 
 
 @query("resolved_rows", with_(Q.M, Q.A, Q.C, Q.R) + """
