@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, mixing
+from tessera.llm import decontaminate, language, mixing, secrets, shards, spans, suffix_tree
 from tessera.llm.common import load
 
 
@@ -16,6 +16,36 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents (address: their source) and pages (address, suffix and markup), by one model."""
+    docs, pages = load(spark, sf_dir, "documents"), load(spark, sf_dir, "pages")
+    model = language.fit(docs)
+    of_docs = language.identify(docs.select("doc_id", "source", "text"), model, host=F.col("source"))
+    of_pages = language.identify(
+        pages.select("page_id", language.address_host(F.col("url")).alias("host"), language.markup_language(F.col("html")).alias("declared"),
+                     language.markup_text(F.col("html")).alias("text")), model, host=F.col("host"), declared=F.col("declared"))
+    verdict = ["lang", "posterior", "text_lang", "declared", "host", (F.col("lang") == language.UND).alias("rejected")]
+    none = F.lit(None).cast("long")
+    return of_docs.select(F.lit("documents").alias("kind"), F.col("own.doc_id").alias("doc_id"), none.alias("page_id"), *verdict).unionByName(
+        of_pages.select(F.lit("pages").alias("kind"), none.alias("doc_id"), F.col("own.page_id").alias("page_id"), *verdict))
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.shard(load(spark, sf_dir, "documents"))
+
+
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(load(spark, sf_dir, "documents"))
+
+
+def op9_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.remove_repeats(load(spark, sf_dir, "documents"), report=True)
+
+
+def op10_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.score(load(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.plan(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels").select("doc_id", "quality"))
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("repeats")).cast("long").alias("taken"))
@@ -23,7 +53,12 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_language_id": op2_language_id,
+    "op5_sharding": op5_sharding,
+    "op6_secrets": op6_secrets,
     "op7_mixing": op7_mixing,
+    "op9_sentence_spans": op9_sentence_spans,
+    "op10_suffix_tree": op10_suffix_tree,
 }
 
 _WORDS = r"list_filter(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
