@@ -259,7 +259,8 @@ def similar_groups(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str =
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_key"), F.col(text_col).cast("string").alias("text"))
     sets = written(_sets(rows, k, percent, False), "jaccard-sketches")
     nodes = written(sets.where("n > 0").groupBy("node").agg(
-        F.any_value("n").alias("n"), F.any_value("keys").alias("keys"), F.min(F.struct("doc_id", "text_key")).alias("from")), "jaccard-nodes")
+        F.any_value("n").alias("n"), F.any_value("keys").alias("keys"), F.min("doc_id").alias("least"),
+        F.min(F.struct("doc_id", "text_key")).alias("from")), "jaccard-nodes")
     keys = written(nodes.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("f")).where("f > 1"), "jaccard-keys")
     light = nodes.where(F.col("n") <= LIGHT_MOST).select("node", "n", F.explode("keys").alias("key")).join(keys, "key", "left")
     sizes = light.groupBy("n").agg(F.count_distinct("node").alias("nodes"), F.sum(F.coalesce("f", F.lit(0))).alias("scanned")).collect()  # LIGHT_MOST rows
@@ -289,8 +290,7 @@ def similar_groups(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str =
         tested = pairs if tested is None else tested.unionByName(pairs)
         links = found if links is None else links.unionByName(found)
         labels = components(links)
-    named = nodes.select("node", F.col("from.doc_id").alias("least")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    # Struct minimum puts null ids first; a null is no id of a component that has another.
+    named = nodes.select("node", "least").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = named.groupBy("label").agg(F.min("least").alias("component_id"))
     of_node = named.select("node", "label").join(smallest, "label").select("node", "component_id")
     return sets.join(of_node, "node", "left").select("doc_id", "text_key", F.col("n").alias("n_shingles"),

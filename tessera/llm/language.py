@@ -193,3 +193,14 @@ def markup_language(html: Column) -> Column:
 def address_host(url: Column) -> Column:
     found = F.lower(F.regexp_extract(url, "^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]+)", 1))
     return F.when(found != "", found)
+
+
+def keep_identified(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "doc_id", text_col: str = "text",
+                    host: Column | None = None) -> DataFrame:
+    """``docs`` without the rows whose text is taken for noise (``und``)."""
+    keyed = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("key"), (host if host is not None else F.lit(None).cast("string")).alias("host"),
+                        F.col(text_col).alias("text"))
+    found = identify(keyed, model, "text", host=F.col("host"))
+    gone = written(found.where(F.col("lang") == UND).select(F.col("own.id").alias("__id"), F.col("own.key").alias("__key")).distinct(), "language-rejected")
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(text_col)) == F.col("__key"))
+    return docs.join(sized(gone), same, "left_anti")

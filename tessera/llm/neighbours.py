@@ -31,7 +31,7 @@ from pyspark.sql.window import Window as W
 from tessera.llm.common import written
 
 #: Tables, and the share of a table's buckets that a query probes. Measured recall: see the README.
-TABLES = 6
+TABLES = 10
 PROBE_SHARE = 1 / 8
 ROUNDS = 3
 TOP = 20

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, language, mixing, secrets, shards, spans, suffix_tree
+from tessera.llm import decontaminate, jaccard, language, mixing, neighbours, secrets, shards, spans, suffix_tree
 from tessera.llm.common import load
 
 
@@ -30,6 +30,15 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         of_pages.select(F.lit("pages").alias("kind"), none.alias("doc_id"), F.col("own.page_id").alias("page_id"), *verdict))
 
 
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = load(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return neighbours.search(vectors, vectors.where(F.col("vec_id") % 20 == 0))
+
+
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_groups(load(spark, sf_dir, "documents")).drop("text_key")
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard(load(spark, sf_dir, "documents"))
 
@@ -54,9 +63,11 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_language_id": op2_language_id,
+    "op3_neighbours": op3_neighbours,
     "op5_sharding": op5_sharding,
     "op6_secrets": op6_secrets,
     "op7_mixing": op7_mixing,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_sentence_spans": op9_sentence_spans,
     "op10_suffix_tree": op10_suffix_tree,
 }
