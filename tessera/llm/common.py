@@ -48,3 +48,14 @@ def ascii_lower(text: Column) -> Column:
 def byte_size(text: Column) -> Column:
     """UTF-8 bytes of a text; null has none."""
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
+
+
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """``written``, and then the shuffle files behind it may go.
+
+    Spark deletes the files of a shuffle when the driver's JVM collects the plan that made them. An operator of several
+    large steps would else hold the files of all of them until its end.
+    """
+    out = written(df, name)
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out

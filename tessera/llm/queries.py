@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, jaccard, language, mixing, neighbours, secrets, shards, spans, suffix_tree
+from tessera.llm import decontaminate, jaccard, language, mixing, neighbours, secrets, shards, spans, suffix, suffix_tree
 from tessera.llm.common import load
 
 
@@ -39,6 +39,10 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_groups(load(spark, sf_dir, "documents")).drop("text_key")
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove(load(spark, sf_dir, "documents"), report=True)
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard(load(spark, sf_dir, "documents"))
 
@@ -64,6 +68,7 @@ QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_language_id": op2_language_id,
     "op3_neighbours": op3_neighbours,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_sharding": op5_sharding,
     "op6_secrets": op6_secrets,
     "op7_mixing": op7_mixing,
