@@ -255,7 +255,10 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, perce
 
 
 def similar_groups(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: doc_id, text_key, n_shingles, component_id (smallest id reachable by links)."""
+    """Per document: doc_id, text_key, n_shingles, component_id (smallest id reachable by links), group.
+
+    ``group`` is a key of the component (two components have one id if texts share it); null without words.
+    """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_key"), F.col(text_col).cast("string").alias("text"))
     sets = written(_sets(rows, k, percent, False), "jaccard-sketches")
     nodes = written(sets.where("n > 0").groupBy("node").agg(
@@ -292,18 +295,19 @@ def similar_groups(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str =
         labels = components(links)
     named = nodes.select("node", "least").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    of_node = named.select("node", "label").join(smallest, "label").select("node", "component_id")
-    return sets.join(of_node, "node", "left").select("doc_id", "text_key", F.col("n").alias("n_shingles"),
-                                                    F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    of_node = named.select("node", F.col("label").alias("group")).join(smallest.withColumnRenamed("label", "group"), "group").select("node", "component_id", "group")
+    return sets.join(of_node.withColumnRenamed("node", "of"), (F.col("node") == F.col("of")) & (F.col("n") > 0), "left").select(
+        "doc_id", "text_key", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "group")
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each component: the one of smallest id. Texts without words stay."""
     found = written(similar_groups(docs, k, percent, id_col, text_col), "jaccard-groups")
-    grouped = found.where("n_shingles > 0").groupBy("doc_id", "text_key").agg(F.any_value("component_id").alias("component_id"), F.count("*").alias("rows"))
+    grouped = found.where("n_shingles > 0").groupBy("doc_id", "text_key").agg(
+        F.any_value("component_id").alias("component_id"), F.any_value("group").alias("group"), F.count("*").alias("rows"))
     # Of rows that share the smallest id, the text of smallest hash; of equal rows, one.
-    chosen = grouped.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("text_key").alias("chosen"))
-    judged = written(grouped.join(chosen.withColumnRenamed("component_id", "c"), F.col("component_id").eqNullSafe(F.col("c")), "left").select(
+    chosen = grouped.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("group").agg(F.min("text_key").alias("chosen"))
+    judged = written(grouped.join(chosen, "group").select(
         "doc_id", "text_key", "rows", (F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_key") == F.col("chosen"))).alias("stays")), "jaccard-judged")
     gone = written(judged.where(~F.col("stays")).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")), "jaccard-gone")
     same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(text_col)) == F.col("__key"))

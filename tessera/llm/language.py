@@ -6,9 +6,10 @@ markup language multiplies it by a reliability. The prior of a row comes from it
 of languages by text alone, summed by groups (all, suffix, domain, host) in Spark, each level
 smoothed by the one above it, without the row's own share.
 
-Defined results: a null or empty text has no evidence of its own, so the prior decides; null host,
+Defined results: a null or empty text has no evidence of its own, so the prior decides, and is not rejected; null host,
 domain, suffix or declaration are no evidence; rows are never merged; an empty table has no rows;
-with no labelled row every text is ``und``. Other columns of the caller are kept.
+with no labelled row every text is ``und``. Other columns of the caller
+are kept in ``own``.
 """
 
 from __future__ import annotations
@@ -128,9 +129,9 @@ def _normal(logs: Column) -> Column:
 
 def identify(df: DataFrame, model: tuple[list[str], np.ndarray], text_col: str = "text", host: Column | None = None,
              declared: Column | None = None) -> DataFrame:
-    """``df`` without its text, with ``lang, posterior, text_lang, declared, host, n_evidence``.
+    """``own`` (a struct of the other columns) with ``lang, posterior, text_lang, declared, host, rejected``.
 
-    ``host``: address of the row (its suffix and domain are taken from it); ``declared``: language
+    ``text_lang`` is what the text alone says (null without a trigram). ``host``: address of the row (its suffix and domain are taken from it); ``declared``: language
     code declared in the markup.
     """
     langs = [*model[0], UND]
@@ -143,9 +144,12 @@ def identify(df: DataFrame, model: tuple[list[str], np.ndarray], text_col: str =
     dots = F.split(F.col("host"), "\\.")
     base = base.withColumn("suffix", F.when(F.size(dots) > 1, F.element_at(dots, -1))).withColumn(
         "domain", F.when(F.size(dots) > 1, F.array_join(F.slice(dots, -2, 2), ".")))
-    rows = written(evidence(base, model, "text").withColumn("share", _normal(F.col("ll"))), "language-evidence")
-
     k = len(langs)
+    # A row without trigrams says nothing about its neighbours.
+    silent = F.col("ll")[k - 1] == 0
+    share = F.when(silent, F.array(*[F.lit(0.0)] * k)).otherwise(_normal(F.col("ll")))
+    rows = written(evidence(base, model, "text").withColumn("share", share), "language-evidence")
+
     sums = [F.sum(F.col("share")[i]).alias(f"s{i}") for i in range(k)]
     total = F.array(*[F.col(f"s{i}") for i in range(k)])
     hosts = written(rows.groupBy("suffix", "domain", "host").agg(*sums).select("suffix", "domain", "host", total.alias("sum")), "language-hosts")
@@ -175,8 +179,10 @@ def identify(df: DataFrame, model: tuple[list[str], np.ndarray], text_col: str =
     out = out.withColumn("p", _normal(logs))
     names = F.array(*[F.lit(x) for x in langs])
     best = F.array_max("p")
-    return out.select("own", F.element_at(names, F.array_position("p", best).cast("int")).alias("lang"), best.alias("posterior"),
-                      F.element_at(names, F.array_position("share", F.array_max("share")).cast("int")).alias("text_lang"), "declared", "host")
+    out = out.select("own", F.element_at(names, F.array_position("p", best).cast("int")).alias("lang"), best.alias("posterior"),
+                     F.when(~silent, F.element_at(names, F.array_position("share", F.array_max("share")).cast("int"))).alias("text_lang"), "declared", "host")
+    # Noise by its own text, not by the company it keeps.
+    return out.withColumn("rejected", (F.col("lang") == UND) & F.coalesce(F.col("text_lang") == UND, F.lit(False)))
 
 
 def markup_text(html: Column) -> Column:
@@ -201,6 +207,6 @@ def keep_identified(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col
     keyed = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("key"), (host if host is not None else F.lit(None).cast("string")).alias("host"),
                         F.col(text_col).alias("text"))
     found = identify(keyed, model, "text", host=F.col("host"))
-    gone = written(found.where(F.col("lang") == UND).select(F.col("own.id").alias("__id"), F.col("own.key").alias("__key")).distinct(), "language-rejected")
+    gone = written(found.where("rejected").select(F.col("own.id").alias("__id"), F.col("own.key").alias("__key")).distinct(), "language-rejected")
     same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(text_col)) == F.col("__key"))
     return docs.join(sized(gone), same, "left_anti")

@@ -24,7 +24,7 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     of_pages = language.identify(
         pages.select("page_id", language.address_host(F.col("url")).alias("host"), language.markup_language(F.col("html")).alias("declared"),
                      language.markup_text(F.col("html")).alias("text")), model, host=F.col("host"), declared=F.col("declared"))
-    verdict = ["lang", "posterior", "text_lang", "declared", "host", (F.col("lang") == language.UND).alias("rejected")]
+    verdict = ["lang", "posterior", "text_lang", "declared", "host", "rejected"]
     none = F.lit(None).cast("long")
     return of_docs.select(F.lit("documents").alias("kind"), F.col("own.doc_id").alias("doc_id"), none.alias("page_id"), *verdict).unionByName(
         of_pages.select(F.lit("pages").alias("kind"), none.alias("doc_id"), F.col("own.page_id").alias("page_id"), *verdict))
@@ -36,7 +36,7 @@ def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.similar_groups(load(spark, sf_dir, "documents")).drop("text_key")
+    return jaccard.similar_groups(load(spark, sf_dir, "documents")).drop("text_key", "group")
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -56,7 +56,9 @@ def propagate(blocks: DataFrame, n_shards: int, capacity: int, rounds: int = ROU
         wanted = F.greatest(F.lit(1), F.ceil(F.col("group_n") / max(capacity, 1)))
         asked = with_near.withColumn("open", open_).withColumn("own", F.get(F.filter("near", lambda x: x["shard"] == F.col("shard")), F.lit(0)))
         asked = asked.withColumn("to", F.get(F.col("open"), F.pmod(F.col("sub"), F.least(wanted, F.greatest(F.size("open"), F.lit(1)))).cast("int")))
-        better = (F.col("to.c") > F.col("own.c")) | ((F.col("to.c") == F.col("own.c")) & (F.col("to.tie") > F.col("own.tie")))
+        # Of two equal shards the one with free places is better, else the hash decides, so that not all change places.
+        better = (F.col("to.c") > F.col("own.c")) | ((F.col("to.c") == F.col("own.c")) & (F.col("to.shard") != F.col("shard"))
+                                                     & ((F.col("to.tie") > F.col("own.tie")) | (_nth(free, F.col("shard")) == 0)))
         asked = asked.select("link", "sub", "n", "group_n", "shard", F.when(better, F.col("to.shard")).alias("target"),
                              F.when(better, -F.floor(F.log2(F.col("to.c") - F.col("own.c") + 1))).alias("gain"),
                              F.pmod(F.xxhash64("link", "sub"), F.lit(GRAIN)).alias("grain"))

@@ -100,6 +100,14 @@ def runs(found: dict[str, np.ndarray], least_sentences: int = LEAST_SENTENCES, l
     ok = b <= n
     ok[ok] &= row[np.minimum(b[ok], n) - 1] == row[a[ok]]
     a, b = a[ok], b[ok]
+    # What is left at the end of a text stands in the shortest run that ends there.
+    edge = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+    stop = np.r_[edge[1:], n]
+    tail = np.minimum(np.searchsorted(upto, upto[stop] - least_words, side="right") - 1, stop - least_sentences)
+    fits = tail >= edge
+    tail, stop = tail[fits], stop[fits]
+    both = np.unique(np.r_[a, tail] * (n + 1) + np.r_[b, stop])
+    a, b = both // (n + 1), both % (n + 1)
     out = np.zeros(len(a), np.uint64)
     open_, j = np.arange(len(a)), 0
     while len(open_):
