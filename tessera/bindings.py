@@ -11,7 +11,6 @@ toolkit expects is derived from them with plain DataFrame expressions (see FIXTU
 * ``vectors``    (VEC)  token-vector rows from embeddings
 * ``pairs``      (PAIR) prediction/truth pairs from embeddings
 * ``rasters``    (IMG)  4x4 RGBA byte rasters from embeddings
-* ``words``      (TOK)  words of documents
 
 Every derivation reads the tables, so work grows with the scale factor. Only the columns a
 query selects are read (Catalyst prunes the parquet scan).
@@ -23,7 +22,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.text import padded_id
-from .session import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,17 +30,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M: the five metadata columns (plus ``doc_id``) the preparation step reads."""
-    docs = table(spark, sf_dir, "documents")
-    labels = table(spark, sf_dir, "labels")
+    secondary = F.when(F.col("toxic") == 1, F.lit("TOXIC")).when(F.col("quality") == 0, F.lit("low quality"))
+    labels = table(spark, sf_dir, "labels").select("doc_id", secondary.alias("secondary_type"))
+    return unlabelled(spark, sf_dir).join(labels, "doc_id", "left").select(
+        "doc_id", "national_number", "description", "primary_type", "secondary_type", "classification")
+
+
+def unlabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M without ``secondary_type``, the one column that needs the labels: no join."""
     doc_id = F.col("doc_id")
     suffix = F.when(doc_id % 7 == 0, F.lit("_1")).otherwise(F.lit(""))
-    secondary = F.when(F.col("toxic") == 1, F.lit("TOXIC")).when(F.col("quality") == 0, F.lit("low quality"))
-    return docs.join(labels, "doc_id", "left").select(
+    return table(spark, sf_dir, "documents").select(
         doc_id,
         F.concat(doc_id.cast("string"), suffix).alias("national_number"),
         F.col("text").alias("description"),
         F.col("lang").alias("primary_type"),
-        secondary.alias("secondary_type"),
         F.col("source").alias("classification"),
     )
 
@@ -89,7 +91,7 @@ def val_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     ev = table(spark, sf_dir, "events").select(
         F.col("event_type").alias("config"), "ts", "event_id", F.col("value").alias("val_loss"))
-    ranked = exact_rank(ev, [F.col("ts"), F.col("event_id")], partition_by=["config"],
+    ranked = exact_rank(ev, [F.col("ts"), F.col("event_id")], F.date_trunc("minute", "ts"), partition_by=["config"],
                         rank_col="epoch", tiebreak=False)
     return ranked.select("config", F.col("epoch").cast("int").alias("epoch"), "val_loss")
 
@@ -135,20 +137,3 @@ def rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
     to_byte = lambda v: F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (v.cast("double") + 1.0) / 2.0)) * 255.0).cast("int")
     return emb.select("vec_id", F.lit(4).alias("height"), F.lit(4).alias("width"),
                       F.transform("embedding", to_byte).alias("rgba"))
-
-
-WORD_PATTERN = r"[\p{L}\p{M}\p{N}]+"
-
-
-def words(spark: SparkSession, sf_dir: str, source: str = "documents") -> DataFrame:
-    """TOK: ``(doc_id, lang, words array<string>)``; lower-cased runs of letters, marks, digits.
-
-    ``source='conversations'`` uses ``conv_id * 1000 + turn`` as the id and ``role`` as group.
-    """
-    if source == "documents":
-        df = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    else:
-        df = table(spark, sf_dir, "conversations").select(
-            (F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), F.col("role").alias("lang"), "text")
-    return spread(df).select("doc_id", "lang",
-                             F.regexp_extract_all(F.lower("text"), F.lit(f"({WORD_PATTERN})"), 1).alias("words"))

@@ -31,17 +31,24 @@ def asset_candidates(df: DataFrame, id_col: str = "national_number", ext: str =
                      cand1.alias("candidate1"), cand2.alias("candidate2"))
 
 
+def unique_names(manifest: DataFrame) -> DataFrame:
+    """The manifest with one row per name (a folder lists a name once; the smallest path wins)."""
+    return manifest.groupBy("name").agg(F.min("path").alias("path"))
+
+
 def resolve_assets(df: DataFrame, manifest: DataFrame, id_col: str = "national_number") -> DataFrame:
     """JN-1: left lookup on candidate1, else candidate2.
 
     Adds ``asset_name``, ``asset_path`` and ``match_rank`` (1, 2, or null when neither exists).
-    ``manifest`` must be unique on ``name`` (a folder listing is).
+    A name that ``manifest`` lists more than once counts once, with its smallest path. Rows
+    without a candidate join on a key of their own, so null keys do not meet in one task.
     """
-    m = asset_candidates(df, id_col)
-    a1 = manifest.select(F.col("name").alias("_a1_name"), F.col("path").alias("_a1_path"))
-    a2 = manifest.select(F.col("name").alias("_a2_name"), F.col("path").alias("_a2_path"))
-    j = (m.join(a1, F.col("candidate1") == F.col("_a1_name"), "left")
-          .join(a2, F.col("candidate2") == F.col("_a2_name"), "left"))
+    m = asset_candidates(df, id_col).withColumn("_a_key", F.concat(F.lit("no candidate "), F.xxhash64(id_col).cast("string")))
+    files = unique_names(manifest)
+    a1 = files.select(F.col("name").alias("_a1_name"), F.col("path").alias("_a1_path"))
+    a2 = files.select(F.col("name").alias("_a2_name"), F.col("path").alias("_a2_path"))
+    j = (m.join(a1, F.coalesce("candidate1", "_a_key") == F.col("_a1_name"), "left")
+          .join(a2, F.coalesce("candidate2", "_a_key") == F.col("_a2_name"), "left").drop("_a_key"))
     rank = F.when(F.col("_a1_name").isNotNull(), F.lit(1)).when(F.col("_a2_name").isNotNull(), F.lit(2))
     return (j.withColumn("asset_name", F.coalesce("_a1_name", "_a2_name"))
              .withColumn("asset_path", F.coalesce("_a1_path", "_a2_path"))
@@ -71,12 +78,14 @@ def strict_missing(df: DataFrame, manifest: DataFrame, id_col: str = "national_n
 
 
 def strict_lookup(df: DataFrame, manifest: DataFrame, id_col: str = "national_number",
-                  fail: bool = False) -> DataFrame:
-    """Inner lookup on the strict name; with ``fail=True`` a missing file fails the job in-plan."""
+                  fail: bool = True) -> DataFrame:
+    """Lookup on the strict name; a missing file fails the job in-plan.
+
+    ``fail=False`` keeps violators, with a null ``image_path``, beside the other rows.
+    """
     keyed = df.withColumn("strict_name", strict_asset_name(id_col))
-    names = manifest.select(F.col("name").alias("strict_name"), F.col("path").alias("image_path"))
-    how = "left" if fail else "inner"
-    out = keyed.join(names, "strict_name", how)
+    names = unique_names(manifest).select(F.col("name").alias("strict_name"), F.col("path").alias("image_path"))
+    out = keyed.join(names, "strict_name", "left")
     if fail:
         out = out.withColumn("image_path", F.when(
             F.col("image_path").isNull(),

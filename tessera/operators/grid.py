@@ -31,6 +31,7 @@ AXIS_LABELS = {
     "dim_feedforward_encoder": "dfn",
     "num_transformers_encoder_layers": "ntel",
 }
+# Fixed value: what configuration names begin with.
 NAME_PREFIX = "ft_"
 
 
@@ -55,13 +56,17 @@ def grid_frame(spark: SparkSession, axes: dict[str, list] = GRID_AXES, labels: d
                                  T.StructType(fields))
 
 
+# The columns of the result table.
 RESULT_COLUMNS = ["config_name", "learning_rate", "weight_decay", "best_val_loss", "test_loss", "clip_score_avg"]
 
 
 def result_table(grid: DataFrame, metrics: DataFrame, key: str = "config_no") -> DataFrame:
-    """ML-4: the six result columns, plus the three axes the reference leaves out of its table."""
+    """ML-4: the six result columns, plus the three axes the reference leaves out of its table.
+
+    Every configuration has its row; one without metrics has nulls.
+    """
     extra = [c for c in grid.columns if c not in RESULT_COLUMNS and c != key]
-    return grid.join(metrics, key, "inner").select(*RESULT_COLUMNS, *extra)
+    return grid.join(metrics, key, "left").select(*RESULT_COLUMNS, *extra)
 
 
 def grid_search(spark: SparkSession, train: DataFrame, val: DataFrame, test: DataFrame,

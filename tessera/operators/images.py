@@ -27,7 +27,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import spread
 
 OUTPUT_SIZE = 215
 # Rows per Arrow batch handed back by the image jobs; a 3x215x215 tensor is ~555 KB.
@@ -256,7 +255,7 @@ def image_tensors(images: DataFrame, id_col: str = "origin", size: int = OUTPUT_
             if ids:
                 yield emit(ids, shapes, tensors, sums)
 
-    return spread(flat).mapInArrow(job, "id string, c int, h int, w int, data array<float>, checksum double")
+    return flat.mapInArrow(job, "id string, c int, h int, w int, data array<float>, checksum double")
 
 
 def shape_violations(tensors: DataFrame, c: int = 3, size: int = OUTPUT_SIZE) -> DataFrame:
@@ -278,7 +277,7 @@ def rotate_rasters(rasters: DataFrame, angles, id_col: str = "vec_id") -> DataFr
                     out.append((d[id_col], a, rgb.shape[0], rgb.shape[1], rgb.ravel().astype(np.int32)))
             yield pd.DataFrame(out, columns=[id_col, "angle", "h", "w", "rgb"])
 
-    return spread(rasters).mapInPandas(job, f"{id_col} long, angle double, h int, w int, rgb array<int>")
+    return rasters.mapInPandas(job, f"{id_col} long, angle double, h int, w int, rgb array<int>")
 
 
 def resize_rasters(rasters: DataFrame, width: int, height: int, id_col: str = "vec_id") -> DataFrame:
@@ -291,7 +290,7 @@ def resize_rasters(rasters: DataFrame, width: int, height: int, id_col: str = "v
                 out.append((d[id_col], rgb.shape[0], rgb.shape[1], rgb.ravel().astype(np.int32)))
             yield pd.DataFrame(out, columns=[id_col, "h", "w", "rgb"])
 
-    return spread(rasters).mapInPandas(job, f"{id_col} long, h int, w int, rgb array<int>")
+    return rasters.mapInPandas(job, f"{id_col} long, h int, w int, rgb array<int>")
 
 
 def augmented_images(rasters: DataFrame, k: int, id_col: str = "vec_id") -> DataFrame:
@@ -310,7 +309,7 @@ def augmented_images(rasters: DataFrame, k: int, id_col: str = "vec_id") -> Data
                 out.append((d[id_col], int(d["aug_no"]), rgb.shape[0], rgb.shape[1], rgb.ravel().astype(np.int32)))
             yield pd.DataFrame(out, columns=[id_col, "aug_no", "h", "w", "rgb"])
 
-    return spread(fanned).mapInPandas(job, f"{id_col} long, aug_no int, h int, w int, rgb array<int>")
+    return fanned.mapInPandas(job, f"{id_col} long, aug_no int, h int, w int, rgb array<int>")
 
 
 def export_pngs(rasters: DataFrame, out_dir: str, id_col: str = "vec_id", name_fmt: str = "{:03d}.png") -> None:
@@ -328,7 +327,7 @@ def export_pngs(rasters: DataFrame, out_dir: str, id_col: str = "vec_id", name_f
             with filesystem.open_output_stream(f"{base}/{name_fmt.format(r[id_col])}") as f:
                 f.write(encode_png(img))
 
-    spread(rasters.select(id_col, "height", "width", "rgba")).foreachPartition(write)
+    (rasters.select(id_col, "height", "width", "rgba")).foreachPartition(write)
 
 
 def checksum(col: str = "rgb") -> Column:

@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import exact_rank
 from .split import SPLITS
 
 INF = float("inf")
@@ -57,34 +58,49 @@ def running_best(curve: DataFrame, group_cols: Sequence[str] = ("config",), orde
     ``improved``, ``ckpt_name`` (``model_epoch_<n>.pt``) and ``best_name``
     (``best_model_epoch_<n>.pt`` on improving rows).
 
-    Plan: rows are cut into blocks of ``block_size`` consecutive ``order_col`` values. (1) one
-    partial aggregate gives each block's minimum; (2) a window over that small table gives the
-    minimum of all earlier blocks; (3) a window partitioned by ``(group, block)`` gives the
-    running minimum inside a block. No task ever holds more than one block of one group.
+    Rows of one ``order_col`` value are simultaneous: none of them is earlier than another.
+
+    Plan: a partial aggregate leaves one minimum per value of ``order_col``, however many rows share
+    it. These are cut into blocks of ``block_size`` values, and the blocks into blocks of as many
+    blocks. A window inside a block, one over the blocks of a large block, and one over the large
+    blocks give the minima of all that is earlier; the first two hold ``block_size`` rows at
+    most, the last one row per ``block_size ** 2`` values.
     """
     g = list(group_cols)
-    v = _nan_to_inf(F.col(value_col))
-    x = curve.withColumn("_rb_v", v).withColumn(
-        "_rb_blk", F.floor(F.col(order_col) / F.lit(block_size)).cast("bigint"))
-    blocks = x.groupBy(*g, "_rb_blk").agg(F.min("_rb_v").alias("_rb_bmin"))
-    w_blocks = Window.partitionBy(*g).orderBy("_rb_blk").rowsBetween(Window.unboundedPreceding, -1)
-    gn = [f"_rb_g{i}" for i in range(len(g))]
-    blocks = blocks.select(
-        *[F.col(c).alias(a) for c, a in zip(g, gn)], F.col("_rb_blk").alias("_rb_blk2"),
-        F.coalesce(F.min("_rb_bmin").over(w_blocks), F.lit(INF)).alias("_rb_prev_blocks"))
-    w_in = Window.partitionBy(*g, "_rb_blk").orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
-    x = x.withColumn("_rb_prev_in", F.coalesce(F.min("_rb_v").over(w_in), F.lit(INF)))
-    cond = [x[c].eqNullSafe(blocks[a]) for c, a in zip(g, gn)] + [x["_rb_blk"] == blocks["_rb_blk2"]]
-    j = x.join(blocks, cond, "inner")
-    before = F.least(F.col("_rb_prev_blocks"), F.col("_rb_prev_in"))
-    improved = F.col("_rb_v") < F.col("best_before")
-    return (j.withColumn("best_before", before)
-             .withColumn("improved", improved)
-             .withColumn("best", F.least(F.col("best_before"), F.col("_rb_v")))
-             .withColumn("ckpt_name", F.format_string("model_epoch_%d.pt", F.col(order_col)))
-             .withColumn("best_name", F.when(F.col("improved"),
-                                             F.format_string("best_model_epoch_%d.pt", F.col(order_col))))
-             .drop("_rb_v", "_rb_blk", "_rb_prev_in", "_rb_prev_blocks", "_rb_blk2", *gn))
+    at = F.col(order_col)
+    steps = curve.groupBy(*g, order_col).agg(F.min(_nan_to_inf(F.col(value_col))).alias("_rb_v")).withColumn(
+        "_rb_1", F.floor(at / F.lit(block_size)).cast("bigint")).withColumn("_rb_2", F.floor(F.col("_rb_1") / F.lit(block_size)).cast("bigint"))
+    small = steps.groupBy(*g, "_rb_2", "_rb_1").agg(F.min("_rb_v").alias("_rb_m"))
+    large = small.groupBy(*g, "_rb_2").agg(F.min("_rb_m").alias("_rb_m"))
+
+    def earlier(keys, order, value):
+        w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.min(value).over(w), F.lit(INF))
+
+    def renamed(df, keys, mark):
+        return df.select(*[F.col(k).alias(f"{mark}{k}") for k in keys], *[c for c in df.columns if c not in keys])
+
+    def same(left, keys, mark):
+        cond = F.lit(True)
+        for k in keys:
+            cond = cond & left[k].eqNullSafe(F.col(f"{mark}{k}"))
+        return cond
+
+    k1, k2 = [*g, "_rb_2", "_rb_1"], [*g, "_rb_2"]
+    small = renamed(small.select(*k1, earlier(k2, "_rb_1", "_rb_m").alias("_rb_p1")), k1, "_rb_s_")
+    large = renamed(large.select(*k2, earlier(g, "_rb_2", "_rb_m").alias("_rb_p2")), k2, "_rb_l_")
+    steps = steps.withColumn("_rb_p0", earlier(k1, order_col, "_rb_v"))
+    steps = steps.join(small, same(steps, k1, "_rb_s_"))
+    steps = steps.join(large, same(steps, k2, "_rb_l_"))
+    before = steps.select(*g, order_col, F.least("_rb_p0", "_rb_p1", "_rb_p2").alias("best_before"))
+    keys = [*g, order_col]
+    joined = curve.join(renamed(before, keys, "_rb_r_"), same(curve, keys, "_rb_r_"))
+    value = _nan_to_inf(F.col(value_col))
+    improved = value < F.col("best_before")
+    return joined.select(
+        *curve.columns, "best_before", improved.alias("improved"), F.least(F.col("best_before"), value).alias("best"),
+        F.format_string("model_epoch_%d.pt", at).alias("ckpt_name"),
+        F.when(improved, F.format_string("best_model_epoch_%d.pt", at)).alias("best_name"))
 
 
 def best_value(curve: DataFrame, group_cols: Sequence[str] = ("config",), value_col: str = "val_loss",
@@ -94,6 +110,7 @@ def best_value(curve: DataFrame, group_cols: Sequence[str] = ("config",), value_
         F.coalesce(F.min(_nan_to_inf(F.col(value_col))), F.lit(INF)).alias(out_col))
 
 
+# Fixed value: the file names that count as checkpoints.
 CHECKPOINT_PATTERN = r"^model_epoch_(\d+)\.pt"
 
 
@@ -125,9 +142,31 @@ def split_counts(df: DataFrame, split_col: str = "split") -> DataFrame:
     return df.groupBy(split_col).agg(F.count(F.lit(1)).alias("n"))
 
 
+def require_rows(df: DataFrame, split_col: str = "split", expected: Sequence[str] = SPLITS) -> DataFrame:
+    """AG-7: ``df``, or a failing job if an expected split has no row (one count per split)."""
+    n = empty_splits(df, split_col, expected).scalar()
+    return df.where(F.when(n > 0, F.raise_error(F.concat(n.cast("string"), F.lit(" splits are empty"))).cast("boolean")).otherwise(True))
+
+
 def empty_splits(df: DataFrame, split_col: str = "split", expected: Sequence[str] = SPLITS) -> DataFrame:
     """AG-7: number of expected splits without rows (one row, never empty)."""
     counts = split_counts(df, split_col)
     present = counts.where(F.col(split_col).isin(list(expected))).agg(
         F.count_distinct(split_col).alias("k"))
     return present.select((F.lit(len(expected)) - F.col("k")).cast("bigint").alias("n_empty"))
+
+
+def comparison_table(pairs: DataFrame, n: int | None, keys: Sequence[str] = ("config", "epoch", "split"), order_col: str = "id_pred",
+                     bucket=None, rank_col: str = "rank") -> DataFrame:
+    """SC-11: per key group the first ``n`` pairs by ``order_col`` with their rank; ``n=None`` takes all (SP-7).
+
+    ``bucket`` must not decrease along ``order_col`` (see :func:`exact_rank`).
+    """
+    bucket = F.lit(0) if bucket is None else bucket
+    ranked = exact_rank(pairs, [order_col], bucket, partition_by=list(keys), rank_col=rank_col)
+    return ranked if n is None else ranked.where(F.col(rank_col) <= n)
+
+
+def comparison_path(root, config, epoch, split):
+    """PR-12: ``<root>/<config>/epoch_<n>/<split>/image_comparisons``, where a comparison table belongs."""
+    return F.concat_ws("/", root, config, F.concat(F.lit("epoch_"), epoch.cast("string")), split, F.lit("image_comparisons"))

@@ -2,47 +2,25 @@
 
 ``row_number()`` over a window without ``PARTITION BY`` moves every row into one task, and a
 window partitioned by a hot key moves a third of the data into one task. ``exact_rank`` gives the
-same 1-based numbers without either:
+same 1-based numbers without either: the caller names a ``bucket``, a function of the order keys
+that never decreases along the order (the first digits of a hash, the minute of a timestamp).
 
-1. range-partition on ``(group, order keys, row hash)`` into N partitions and sort within each;
-   the range bounds come from Spark's sampled range partitioner, so a hot group, or a hot order
-   key (made distinct by the row hash), is cut across several partitions;
-2. number rows inside each partition with ``monotonically_increasing_id`` (partition index in the
-   upper bits, record number in the lower 33 bits) and persist that numbered data once;
-3. aggregate ``(partition, group) -> (count, first local number)``: at most N + groups - 1 rows;
-4. prefix-sum those counts per group (a window over the small table) and join back.
+1. count rows per ``(group, bucket)`` with partial aggregation;
+2. prefix-sum those counts per group: a window over one row per bucket, not per row;
+3. number rows inside each ``(group, bucket)`` and add the bucket's offset.
 
-Steps 3 and 4 must see the same partitioning as step 2. The range partitioner samples with a
-seed tied to the RDD, so two independent evaluations could cut at different bounds; persisting
-the numbered rows makes both read one evaluation. All keys are deterministic functions of the
-row, so a partition recomputed after an executor loss gets the same rows in the same order.
-Rows equal in every column tie completely; they are interchangeable, so any order among them
-gives the same result multiset. (They do share one range partition: exact copies of one row
-are not split across tasks.)
-
-When there is no group, or the caller declares the number of groups small, the offsets table is
-broadcast (its size is bounded by N + groups); otherwise AQE picks the join from runtime
-statistics.
+Every step is a deterministic function of the rows, so nothing is cached or sampled and a task
+repeated after an executor loss gives the same numbers. A hot group is spread over its buckets.
+Rows that tie on every order key share a bucket; a hash of the row orders them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_LOCAL_BITS = 33
-_LOCAL_MASK = (1 << _LOCAL_BITS) - 1
-_PERSISTED: list[DataFrame] = []
-
-
-def release() -> None:
-    """Drop the numbered intermediates persisted by earlier ``exact_rank`` calls."""
-    while _PERSISTED:
-        _PERSISTED.pop().unpersist(blocking=False)
-
 
 def _as_col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -51,57 +29,34 @@ def _as_col(c) -> Column:
 def exact_rank(
     df: DataFrame,
     order_by: Sequence,
+    bucket: Column,
     partition_by: Sequence[str] = (),
     rank_col: str = "rank",
     total_col: str | None = None,
-    num_partitions: int | None = None,
     tiebreak: bool = True,
-    small_groups: bool = True,
 ) -> DataFrame:
     """Add ``rank_col`` = 1-based position in ``order_by`` order within ``partition_by`` groups.
 
-    Ascending order, nulls first. ``tiebreak=True`` appends a hash of the full row so rows that
-    tie on ``order_by`` still get a deterministic order. ``total_col``
-    also attaches the size of each group. ``small_groups=False`` says the number of groups may
-    grow with the data; the offsets table is then joined without a broadcast hint.
+    ``bucket`` must not decrease along ``order_by``. Ascending order, nulls first. ``tiebreak=True``
+    appends a hash of the full row, so rows that tie on ``order_by`` still get a deterministic
+    order. ``total_col`` also attaches the size of each group. Pass narrow frames: every column of
+    ``df`` moves with its row.
     """
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    base_cols = list(df.columns)
-    keys = [F.col(g) for g in partition_by] + [_as_col(c) for c in order_by]
+    cols = list(df.columns)
+    groups = list(partition_by)
+    keyed = df.withColumn("_rk_b", bucket)
+    counts = keyed.groupBy(*groups, "_rk_b").agg(F.count(F.lit(1)).alias("_rk_n"))
+    upto = Window.partitionBy(*groups).orderBy(F.col("_rk_b").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    names = [f"_rk_g{i}" for i in range(len(groups))]
+    total = [F.sum("_rk_n").over(Window.partitionBy(*groups)).alias("_rk_total")] if total_col else []
+    offsets = counts.select(*[F.col(g).alias(a) for g, a in zip(groups, names)], F.col("_rk_b").alias("_rk_b2"),
+                            F.coalesce(F.sum("_rk_n").over(upto), F.lit(0)).alias("_rk_off"), *total)
+    order = [_as_col(c).asc_nulls_first() for c in order_by]
     if tiebreak:
-        keys.append(F.xxhash64(*[F.col(c) for c in base_cols]))
-    key_names = [f"_rk_k{i}" for i in range(len(keys))]
-    keyed = df.select(*[F.col(c) for c in base_cols], *[k.alias(nm) for k, nm in zip(keys, key_names)])
-    ordered = [F.col(nm).asc_nulls_first() for nm in key_names]
-    numbered = (
-        keyed.repartitionByRange(n, *ordered)
-        .sortWithinPartitions(*ordered)
-        .withColumn("_rk_mid", F.monotonically_increasing_id())
-        .withColumn("_rk_pid", F.shiftright(F.col("_rk_mid"), _LOCAL_BITS))
-        .withColumn("_rk_loc", F.col("_rk_mid").bitwiseAND(F.lit(_LOCAL_MASK)))
-        .drop(*key_names, "_rk_mid")
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    )
-    _PERSISTED.append(numbered)
-    groups = [F.col(g) for g in partition_by]
-    counts = numbered.groupBy("_rk_pid", *partition_by).agg(
-        F.count(F.lit(1)).alias("_rk_cnt"), F.min("_rk_loc").alias("_rk_first"))
-    w = Window.partitionBy(*groups).orderBy("_rk_pid")
-    offsets = counts.withColumn(
-        "_rk_off",
-        F.coalesce(F.sum("_rk_cnt").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    if total_col:
-        offsets = offsets.withColumn(total_col, F.sum("_rk_cnt").over(Window.partitionBy(*groups)))
-    offsets = offsets.drop("_rk_cnt")
-    gnames = [f"_rk_g{i}" for i in range(len(partition_by))]
-    offsets = offsets.select("_rk_pid", *[F.col(g).alias(a) for g, a in zip(partition_by, gnames)],
-                             "_rk_first", "_rk_off", *([total_col] if total_col else []))
-    if small_groups or not partition_by:
-        offsets = F.broadcast(offsets)
-    cond = [numbered["_rk_pid"] == offsets["_rk_pid"]]
-    cond += [numbered[g].eqNullSafe(offsets[a]) for g, a in zip(partition_by, gnames)]
-    joined = numbered.join(offsets, cond, "inner")
-    rank = (offsets["_rk_off"] + numbered["_rk_loc"] - offsets["_rk_first"] + 1).alias(rank_col)
-    extra = [offsets[total_col]] if total_col else []
-    return joined.select(*[numbered[c] for c in base_cols], rank, *extra)
+        order.append(F.xxhash64(*[F.col(c) for c in cols]).asc())
+    numbered = keyed.withColumn("_rk_in", F.row_number().over(Window.partitionBy(*groups, "_rk_b").orderBy(*order)))
+    cond = numbered["_rk_b"].eqNullSafe(offsets["_rk_b2"])
+    for g, a in zip(groups, names):
+        cond = cond & numbered[g].eqNullSafe(offsets[a])
+    extra = [F.col("_rk_total").alias(total_col)] if total_col else []
+    return numbered.join(offsets, cond).select(*[numbered[c] for c in cols], (F.col("_rk_off") + F.col("_rk_in")).alias(rank_col), *extra)

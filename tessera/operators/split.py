@@ -4,20 +4,25 @@ Sizes follow the rule of a shuffled two-step hold-out split, in double arithmeti
 ``n_test = ceil(test_ratio * n)``, then ``n_val = ceil(val_ratio / (1 - test_ratio) * (n -
 n_test))``, the rest is train; a split that would leave train empty fails. Membership is the
 order of ``md5("<seed>:<id>")``: deterministic, independent of partitioning and input order.
-Positions come from :func:`exact_rank`, so no step funnels the rows through one task, and the
-group sizes come out of the same small offsets table (no extra pass for ``count()``).
+
+A split needs two cuts in that order, not every row's place. Rows are counted per hash prefix, the
+two prefixes that hold a cut are found, only the rows in them are ranked, and every row is then
+labelled where it is scanned, by comparing its hash with the two thresholds. Wide rows are
+never shuffled.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ranking import exact_rank
 
 SPLITS = ("train", "val", "test")
+#: Hex digits of the hash that rows are counted by: 65,536 counts at most, whatever the input.
+PREFIX = 4
 
 
 def hash_key(seed, *parts) -> Column:
@@ -36,22 +41,48 @@ def split_sizes(n: Column, val_ratio: float = 0.1, test_ratio: float = 0.1):
     return n - n_test - n_val, n_val, n_test
 
 
+def split_thresholds(df: DataFrame, id_col: str = "national_number", val_ratio: float = 0.1,
+                     test_ratio: float = 0.1, seed: int = 42) -> DataFrame:
+    """One row ``(n, n_train, n_test, test_upto, val_upto)``: the last hash of each held-out part.
+
+    Reads the id column only. The one window without keys is over the prefix counts.
+    """
+    hashes = df.select(hash_key(seed, id_col).alias("h")).withColumn("p", F.substring("h", 1, PREFIX))
+    counts = hashes.groupBy("p").agg(F.count(F.lit(1)).alias("k"))
+    upto = F.sum("k").over(Window.orderBy(F.col("p").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    n_train, n_val, n_test = split_sizes(F.col("n"), val_ratio, test_ratio)
+    sums = counts.select("p", "k", upto.alias("upto"), F.sum("k").over(Window.partitionBy()).alias("n"))
+    cuts = sums.withColumn("cut", F.explode(F.array(
+        F.struct(F.lit("test").alias("part"), n_test.alias("at")), F.struct(F.lit("val").alias("part"), (n_test + n_val).alias("at")))))
+    cuts = cuts.where((F.col("upto") - F.col("k") < F.col("cut.at")) & (F.col("cut.at") <= F.col("upto"))).select(
+        F.col("p").alias("cp"), "n", "cut.part", (F.col("cut.at") - F.col("upto") + F.col("k")).alias("place"),
+        n_train.alias("n_train"), n_test.alias("n_test"))
+    # Two rows: one prefix for each cut.
+    inside = hashes.join(F.broadcast(cuts), F.col("p").eqNullSafe(F.col("cp")))
+    ranked = inside.withColumn("r", F.row_number().over(Window.partitionBy("part").orderBy("h")))
+    return ranked.where(F.col("r") == F.col("place")).agg(
+        F.max("n").alias("n"), F.max("n_train").alias("n_train"), F.max("n_test").alias("n_test"),
+        F.max(F.when(F.col("part") == "test", F.col("h"))).alias("test_upto"),
+        F.max(F.when(F.col("part") == "val", F.col("h"))).alias("val_upto"))
+
+
 def three_way_split(df: DataFrame, id_col: str = "national_number", val_ratio: float = 0.1,
                     test_ratio: float = 0.1, seed: int = 42, split_col: str = "split") -> DataFrame:
-    """SP-1: add ``split`` in {train, val, test} with exact sizes."""
-    cols = df.columns
-    ranked = exact_rank(df, [hash_key(seed, id_col)], rank_col="_sp_pos", total_col="_sp_n")
-    n = F.col("_sp_n")
-    n_train, n_val, n_test = split_sizes(n, val_ratio, test_ratio)
-    pos = F.col("_sp_pos")
+    """SP-1: add ``split`` in {train, val, test} with exact sizes.
+
+    ``id_col`` is the unit of the split: rows that share an id go to one part.
+    """
+    cut = split_thresholds(df, id_col, val_ratio, test_ratio, seed).select(
+        F.struct("n", "n_train", "n_test", "test_upto", "val_upto").alias("cut")).scalar()
+    h = hash_key(seed, id_col)
     split = (
-        F.when((n - n_test <= 0) | (n_train <= 0),
-               F.raise_error(F.concat(F.lit("split leaves the train set empty, n="), n.cast("string"))))
-        .when(pos <= n_test, F.lit("test"))
-        .when(pos <= n_test + n_val, F.lit("val"))
+        F.when((cut["n"] - cut["n_test"] <= 0) | (cut["n_train"] <= 0),
+               F.raise_error(F.concat(F.lit("split leaves the train set empty, n="), cut["n"].cast("string"))))
+        .when(h <= cut["test_upto"], F.lit("test"))
+        .when(h <= cut["val_upto"], F.lit("val"))
         .otherwise(F.lit("train"))
     )
-    return ranked.select(*cols, split.alias(split_col))
+    return df.select("*", split.alias(split_col))
 
 
 def epoch_shuffle(df: DataFrame, epochs: Sequence[int], id_col: str = "national_number",
@@ -59,11 +90,14 @@ def epoch_shuffle(df: DataFrame, epochs: Sequence[int], id_col: str = "national_
     """SP-4: one row per (epoch, row) with ``pos`` = 1-based position in that epoch's order.
 
     Every loader reshuffles each epoch; the order of epoch ``e`` is ``md5("<seed>:<e>:<id>")``.
+    Only ids are ranked; other columns are joined back by id, which must be unique then.
     """
     ep = F.explode(F.array(*[F.lit(int(e)) for e in epochs])).alias("epoch")
-    fanned = df.select(ep, "*")
-    return exact_rank(fanned, [hash_key(seed, "epoch", id_col)], partition_by=["epoch"],
-                      rank_col=pos_col)
+    fanned = df.select(id_col).select(ep, id_col).withColumn("_sh_h", hash_key(seed, "epoch", id_col))
+    ranked = exact_rank(fanned, ["_sh_h"], F.substring("_sh_h", 1, PREFIX), partition_by=["epoch"], rank_col=pos_col).drop("_sh_h")
+    if df.columns == [id_col]:
+        return ranked
+    return ranked.join(df, id_col).select("epoch", *df.columns, pos_col)
 
 
 def mini_batches(shuffled: DataFrame, batch_size: int, pos_col: str = "pos") -> DataFrame:
@@ -71,11 +105,14 @@ def mini_batches(shuffled: DataFrame, batch_size: int, pos_col: str = "pos") ->
     return shuffled.withColumn("batch_id", F.floor((F.col(pos_col) - 1) / F.lit(batch_size)).cast("bigint"))
 
 
-def head_batches(batched: DataFrame, n: int, batch_size: int, pos_col: str = "pos") -> DataFrame:
+def head_batches(batched: DataFrame, n: int | None, batch_size: int, pos_col: str = "pos") -> DataFrame:
     """SP-6: whole batches until at least ``n`` rows are taken; ``shown`` marks the first ``n``.
 
-    A predicate on ``batch_id`` (no global sort, no limit): batches ``0 .. ceil(n/B) - 1``.
+    A predicate on ``batch_id`` (no global sort, no limit): batches ``0 .. ceil(n/B) - 1``. SP-7:
+    ``n=None`` takes and shows all.
     """
+    if n is None:
+        return batched.withColumn("shown", F.lit(True))
     n_batches = -(-n // batch_size)
     return (batched.where(F.col("batch_id") < n_batches)
             .withColumn("shown", F.col(pos_col) <= F.lit(n)))

@@ -1,40 +1,71 @@
 """Caption tokenization (TX-1..TX-3).
 
-Words are cut in Catalyst (``regexp_extract_all``), so the heavy string work stays on the JVM.
-Subword (WordPiece) tokenization runs once per *distinct* word in an Arrow batch UDF, and the
-ids are joined back to word positions; a hot word (say "the", a third of all tokens) is one
-row of the distinct set, and AQE splits its skewed join partition. The vocabulary is built from
-the corpus with grouped counts and a bounded top-k (its size is a parameter).
+Words are cut in Catalyst, as an uncased encoder's basic tokenization does: control characters
+go, letters are lower-cased and lose their accents, and every punctuation mark is a word of
+its own. Subwords are the longest vocabulary entries from the left. The vocabulary is an input
+table ``(token, id)``; below a checked size it is sent to the workers and each text is encoded in
+its own row, in Arrow batches, without a shuffle. Beyond that size the distinct words are cut by a
+join with the vocabulary and joined back to their places.
 """
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Iterator
+from functools import cache
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from ..session import spread
-
-WORD_PATTERN = r"[\p{L}\p{M}\p{N}]+"
+from pyspark.sql.window import Window
 
-# Special tokens of our corpus vocabulary, with their ids.
-SPECIALS = ["[PAD]", "[UNK]", "[CLS]", "[SEP]", "[MASK]"]
-# The ids the reference's encoder reserves for start and end (BERT convention),
-# used by the length-id encoding of ``pad_truncate``.
+# The ids the reference's encoder reserves for padding, start and end (BERT convention).
 CLS_ID, SEP_ID, PAD_ID = 101, 102, 0
+# Fixed value: the token of a word that the vocabulary cannot spell.
+UNK = "[UNK]"
+# Fixed value: longest word that is spelled at all.
+MAX_CHARS = 100
+
+# One pattern for Java and RE2: control and format characters other than blanks.
+CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F\p{Cf}]"
+#: ASCII signs count as punctuation, also those that Unicode calls symbols.
+MARK = r"!-/:-@\[-`{-~\p{P}"
+WORD_PATTERN = rf"[{MARK}]|[^\s\p{{Z}}{MARK}]+"
+
+#: Vocabulary entries up to which the table is sent to the workers.
+BROADCAST_TOKENS = 200_000
+#: Words whose pieces a worker remembers.
+CACHE_WORDS = 200_000
+
+
+@cache
+def accents() -> tuple[str, str]:
+    """Accented lower-case letters and their bases, from their Unicode decomposition."""
+    pairs = []
+    for code in range(0x80, 0x10000):
+        ch = chr(code)
+        base = "".join(c for c in unicodedata.normalize("NFD", ch) if unicodedata.category(c) != "Mn")
+        if len(base) == 1 and base != ch:
+            pairs.append((ch, base))
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+def uncased(text: Column) -> Column:
+    """Lower case, without control characters, accents and combining marks."""
+    low = F.lower(F.regexp_replace(text, CONTROL, ""))
+    plain = F.octet_length(text) == F.char_length(text)
+    return F.when(plain, low).otherwise(F.regexp_replace(F.translate(low, *accents()), r"\p{Mn}", ""))
 
 
 def split_words(text) -> Column:
-    """Lower-cased runs of letters, marks and digits (blanks and punctuation separate words)."""
+    """Words and punctuation marks of a text, in order (null: none)."""
     t = F.col(text) if isinstance(text, str) else text
-    return F.regexp_extract_all(F.lower(t), F.lit(f"({WORD_PATTERN})"), 1)
+    return F.coalesce(F.regexp_extract_all(uncased(t), F.lit(f"({WORD_PATTERN})"), F.lit(1)), F.array().cast("array<string>"))
 
 
 def caption_words(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(id, pos, word)`` with 0-based word positions (whole texts)."""
-    return spread(df.select(id_col, text_col)).select(
-        id_col, F.posexplode(split_words(text_col)).alias("pos", "word"))
+    return df.select(id_col, text_col).select(id_col, F.posexplode(split_words(text_col)).alias("pos", "word"))
 
 
 def pad_truncate(ids, max_len: int = 256, cls: int = CLS_ID, sep: int = SEP_ID, pad: int = PAD_ID):
@@ -51,96 +82,92 @@ def pad_truncate(ids, max_len: int = 256, cls: int = CLS_ID, sep: int = SEP_ID,
 
 
 def truncation_report(df: DataFrame, group_col: str, n_col: str, budget: int = 254) -> DataFrame:
-    """TX-3: documents per group and how many exceed the token budget."""
+    """TX-3: texts per group, how many exceed the token budget, and how many tokens they lose."""
+    over = F.greatest(F.col(n_col) - budget, F.lit(0))
     return df.groupBy(group_col).agg(
         F.count(F.lit(1)).alias("n_docs"),
-        F.sum(F.when(F.col(n_col) > budget, 1).otherwise(0)).cast("bigint").alias("n_truncated"))
+        F.sum((over > 0).cast("int")).cast("bigint").alias("n_truncated"),
+        F.sum(over).cast("bigint").alias("n_lost_tokens"))
 
 
-def build_vocab(words: DataFrame, size: int = 5000, word_col: str = "word") -> list[str]:
-    """Corpus vocabulary: specials, every character seen (as ``c`` and ``##c``), then the most
-    frequent words, up to ``size`` entries.
+def corpus_vocabulary(words: DataFrame, least_share: float = 1e-4, first_id: int = 1000, word_col: str = "word") -> DataFrame:
+    """A vocabulary table from a corpus, where none is given: ``(token, id)``.
 
-    One distributed word count (partial aggregation, so a hot word costs nothing extra) is
-    cached and feeds both the character and the word ranking; only the top ``size`` entries of
-    each (bounded by the parameter) reach the driver.
+    Every character, alone and as a continuation (``##``), so that any word can be spelled, and every word
+    that makes up ``least_share`` of all (at most ``1 / least_share`` words). Ids follow the tokens' order.
     """
-    wc = words.groupBy(word_col).agg(F.count(F.lit(1)).alias("n")).persist()
-    try:
-        chars = (wc.select(F.explode(F.split(F.col(word_col), "")).alias("ch"), "n")
-                 .where(F.length("ch") > 0).groupBy("ch").agg(F.sum("n").alias("n"))
-                 .orderBy(F.desc("n"), F.asc("ch")).limit(size).collect())
-        vocab = list(SPECIALS)
-        seen = set(vocab)
-        for r in chars:
-            for tok in (r["ch"], "##" + r["ch"]):
-                if tok not in seen and len(vocab) < size:
-                    vocab.append(tok)
-                    seen.add(tok)
-        room = size - len(vocab)
-        if room > 0:
-            top = (wc.where(F.length(word_col) > 1).orderBy(F.desc("n"), F.asc(word_col))
-                   .limit(room + len(seen)).collect())
-            for r in top:
-                w = r[word_col]
-                if w not in seen and len(vocab) < size:
-                    vocab.append(w)
-                    seen.add(w)
-    finally:
-        wc.unpersist()
-    return vocab
-
-
-def wordpiece_greedy(word: str, vocab: dict, unk_id: int, max_chars: int = 100) -> list[int]:
-    """Greedy longest-match-first subwords of one word (fallback when ``tokenizers`` is absent)."""
-    if len(word) > max_chars:
-        return [unk_id]
-    out, start = [], 0
-    while start < len(word):
-        end, cur = len(word), None
-        while start < end:
-            piece = word[start:end] if start == 0 else "##" + word[start:end]
-            if piece in vocab:
-                cur = vocab[piece]
-                break
-            end -= 1
-        if cur is None:
-            return [unk_id]
-        out.append(cur)
-        start = end
-    return out
-
-
-def wordpiece_ids(words: DataFrame, vocab: list[str], id_col: str = "doc_id", max_len: int = 256,
-                  all_ids: DataFrame | None = None) -> DataFrame:
-    """TX-1 + TX-2: ``(id, input_ids[max_len], attention_mask[max_len], n_tokens)``.
-
-    ``words`` is ``(id, pos, word)``. ``n_tokens`` counts the subwords of the whole text before
-    truncation. ``all_ids`` (one column ``id_col``) keeps texts without any word.
+    counts = words.groupBy(F.col(word_col).alias("token")).agg(F.count(F.lit(1)).alias("n"))
+    total = counts.agg(F.sum("n").alias("n")).scalar()
+    chars = counts.select(F.explode(F.array_distinct(F.split("token", ""))).alias("token")).where("token <> ''").distinct()
+    tokens = counts.where(F.col("n") >= least_share * total).select("token").unionByName(chars).unionByName(
+        chars.select(F.concat(F.lit("##"), F.col("token")).alias("token"))).unionByName(words.sparkSession.createDataFrame([(UNK,)], "token string")).distinct()
+    # A row per token, not per word of the corpus.
+    return tokens.select("token", (F.row_number().over(Window.orderBy("token")) - 1 + first_id).cast("int").alias("id"))
+
+
+def longest_pieces(word: str, vocab: dict[str, int], unk: int) -> list[int]:
+    """Ids of the longest entries from the left; the unknown id if some place has none."""
+    out: list[int] = []
+    at = 0
+    while at < len(word) <= MAX_CHARS:
+        ends = (e for e in range(len(word), at, -1) if ("##" * (at > 0) + word[at:e]) in vocab)
+        end = next(ends, None)
+        if end is None:
+            return [unk]
+        out.append(vocab["##" * (at > 0) + word[at:end]])
+        at = end
+    return out if at == len(word) else [unk]
+
+
+def encode(df: DataFrame, vocab: DataFrame, words_col: str = "words", out_col: str = "ids", broadcast_tokens: int = BROADCAST_TOKENS,
+           id_col: str = "doc_id") -> DataFrame:
+    """TX-1: ``df`` with the subword ids of its array of words.
+
+    ``vocab`` is ``(token, id)`` with an entry for ``[UNK]``. ``id_col`` (unique) serves the path beyond
+    ``broadcast_tokens`` only.
     """
-    spark = words.sparkSession
-    index = {t: i for i, t in enumerate(vocab)}
-    b_index = spark.sparkContext.broadcast(index)
-    unk, cls, sep, pad = index["[UNK]"], index["[CLS]"], index["[SEP]"], index["[PAD]"]
-
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def _pieces(ws: pd.Series) -> pd.Series:
-        idx = b_index.value
-        try:
-            from tokenizers.models import WordPiece
-            model = WordPiece(vocab=idx, unk_token="[UNK]", max_input_chars_per_word=100)
-            return ws.map(lambda w: [t.id for t in model.tokenize(w)])
-        except ImportError:
-            return ws.map(lambda w: wordpiece_greedy(w, idx, unk))
-
-    distinct = words.select("word").distinct().withColumn("pieces", _pieces(F.col("word")))
-    joined = words.join(distinct, "word", "inner")
-    per_doc = joined.groupBy(id_col).agg(
-        F.array_sort(F.collect_list(F.struct(F.col("pos").alias("p"), F.col("pieces").alias("ids")))).alias("_w"))
-    flat = per_doc.select(id_col, F.flatten(F.transform("_w", lambda s: s["ids"])).alias("_ids"))
-    if all_ids is not None:
-        flat = all_ids.join(flat, id_col, "left").select(
-            id_col, F.coalesce(F.col("_ids"), F.array().cast("array<int>")).alias("_ids"))
-    input_ids, mask, _ = pad_truncate("_ids", max_len, cls, sep, pad)
-    return flat.select(id_col, input_ids.alias("input_ids"), mask.alias("attention_mask"),
-                       F.size("_ids").alias("n_tokens"))
+    if vocab.limit(broadcast_tokens + 1).count() > broadcast_tokens:
+        return _encode_by_join(df, vocab, words_col, out_col, id_col)
+    table = {r["token"]: r["id"] for r in vocab.collect()}
+    shared = df.sparkSession.sparkContext.broadcast(table)
+
+    @F.pandas_udf("array<int>")
+    def pieces(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        vocab, known = shared.value, {}
+        unk = vocab[UNK]
+        for batch in batches:
+            out = []
+            for words in batch:
+                ids: list[int] = []
+                for w in words if words is not None else ():
+                    p = known.get(w)
+                    if p is None:
+                        if len(known) >= CACHE_WORDS:
+                            known.clear()
+                        p = known[w] = longest_pieces(w, vocab, unk)
+                    ids += p
+                out.append(ids)
+            yield pd.Series(out, dtype=object)
+
+    return df.withColumn(out_col, pieces(words_col))
+
+
+def _encode_by_join(df: DataFrame, vocab: DataFrame, words_col: str, out_col: str, id_col: str) -> DataFrame:
+    """The same for a vocabulary of any size: pieces of each distinct word by a join on its substrings."""
+    places = df.select(id_col, F.posexplode(words_col).alias("_pos", "_word"))
+    words = places.select("_word").distinct()
+    n = F.length("_word")
+    starts = words.where(n <= MAX_CHARS).select("_word", F.explode(F.sequence(F.lit(1), n)).alias("_at"))
+    subs = starts.select("_word", "_at", F.explode(F.sequence(F.lit(1), n - F.col("_at") + 1)).alias("_len"))
+    subs = subs.withColumn("token", F.concat(F.when(F.col("_at") > 1, F.lit("##")).otherwise(F.lit("")), F.substr("_word", F.col("_at"), F.col("_len"))))
+    longest = subs.join(vocab, "token").groupBy("_word", "_at").agg(F.max(F.struct("_len", "id")).alias("best"))
+    per_word = longest.groupBy("_word").agg(F.sort_array(F.collect_list(F.struct("_at", "best"))).alias("steps"))  # within one word
+    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("ids"))
+    walked = F.aggregate("steps", start, lambda a, s: F.when(
+        s["_at"] == a["at"], F.struct((a["at"] + s["best"]["_len"]).alias("at"), F.concat(a["ids"], F.array(s["best"]["id"])).alias("ids"))).otherwise(a))
+    unk = vocab.where(F.col("token") == UNK).agg(F.max("id")).scalar()
+    spelled = words.join(per_word.withColumn("end", walked), "_word", "left").select(
+        "_word", F.when(F.col("end.at") == n + 1, F.col("end.ids")).otherwise(F.array(unk)).alias("ids"))
+    per_text = places.join(spelled, "_word").groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("_pos", "ids"))).alias("_all"))  # within one text
+    out = per_text.select(id_col, F.flatten(F.col("_all.ids")).alias(out_col))
+    return df.join(out, id_col, "left").withColumn(out_col, F.coalesce(out_col, F.array().cast("array<int>")))

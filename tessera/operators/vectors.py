@@ -71,19 +71,20 @@ def normalize_pixels(v) -> Column:
     return F.transform(_c(v), lambda x: (x.cast("double") / 255.0 - 0.5) / 0.5)
 
 
+def matrix(weights: np.ndarray) -> Column:
+    """A fixed matrix as one literal array of its columns (parsed once, not built value by value)."""
+    w = np.asarray(weights, dtype=float)
+    return F.expr("array(" + ", ".join("array(" + ", ".join(f"{float(x)!r}D" for x in w[:, j]) + ")" for j in range(w.shape[1])) + ")")
+
+
 def project(v, weights: np.ndarray) -> Column:
-    """FN-8: ``y_j = sum_i v_i * W[i, j]`` for a small, fixed ``W`` (d_in x d_out).
+    """FN-8: ``y_j = sum_i v_i * W[i, j]`` for a fixed ``W`` (d_in x d_out).
 
-    The matrix is a literal of the plan (bounded by the parameter, not by the data); each
-    output is one ``zip_with`` + ``aggregate``. For large matrices use
-    :func:`project_arrow`.
+    The matrix is a literal of the plan (bounded by the parameter, not by the data). Above
+    some tens of thousands of values use :func:`project_arrow`.
     """
-    w = np.asarray(weights, dtype=float)
-    outs = []
-    for j in range(w.shape[1]):
-        col_j = F.array(*[F.lit(float(x)) for x in w[:, j]])
-        outs.append(dot(v, col_j))
-    return F.array(*outs)
+    v = _c(v)
+    return F.transform(matrix(weights), lambda column: dot(v, column))
 
 
 def project_arrow(df: DataFrame, vec_col: str, weights: np.ndarray, out_col: str = "proj") -> DataFrame:
@@ -166,34 +167,111 @@ def collect_vector(long: DataFrame, key_cols: Sequence[str], dim_col: str = "dim
                     lambda s: s["v"]).alias(out_col))
 
 
+#: Largest bound of a score: beyond it exp() of a score minus its bound could vanish for all positions.
+SCORE_BOUND = 300.0
+
+
+def _head_queries(q: Column, heads: int, query_proj, key_proj) -> Column:
+    """One query per head in the space of the unprojected keys: ``q W_q`` cut by heads, times ``W_k^T``."""
+    if query_proj is not None:
+        q = project(q, query_proj)
+    size = F.size(q) / heads
+    parts = [F.slice(q, (size * h + 1).cast("int"), size.cast("int")) for h in range(heads)]
+    if key_proj is None:
+        if heads > 1:
+            raise ValueError("several heads need a key projection")
+        return F.array(parts[0])
+    w = np.asarray(key_proj, dtype=float)
+    width = w.shape[1] // heads
+    return F.array(*[project(p, w[:, h * width:(h + 1) * width].T) for h, p in enumerate(parts)])
+
+
 def attention_pool(vecs: DataFrame, seq_col: str = "seq_id", mask_col: str = "mask", vec_col: str = "vec",
-                   id_col: str = "vec_id", query_proj: np.ndarray | None = None,
+                   id_col: str = "vec_id", query_proj: np.ndarray | None = None, key_proj: np.ndarray | None = None,
+                   value_proj: np.ndarray | None = None, out_proj: np.ndarray | None = None, heads: int = 1,
                    eps: float = 1e-9) -> tuple[DataFrame, DataFrame]:
-    """AG-10/AG-11: one-query scaled dot-product attention over the valid positions.
+    """AG-10/AG-11: one-query scaled dot-product attention over the valid positions of a sequence.
 
-    query = (projected) masked mean; score_p = q . k_p / sqrt(d) for valid p; weights =
-    softmax over valid positions (masked positions get weight 0); output = sum_p w_p v_p.
-    Returns ``(pooled long (seq, dim, x), weights (seq, id, w))``.
+    query = projected masked mean; per head, score_p = q . k_p / sqrt(head width) for valid p; weights =
+    softmax over valid positions (masked positions get weight 0), averaged over the heads; output =
+    projection of the heads' sum_p w_p v_p. Returns ``(pooled long (seq, dim, x), weights (seq, id, w))``.
 
-    Plan: the per-sequence query (width d) is joined back to its rows; the softmax max and
-    sum are grouped aggregates joined back by sequence (small tables, AQE picks the join and
-    splits skewed partitions); the weighted sum is a partial aggregate by ``(seq, dim)``.
+    Projections are linear, so keys and values are never projected row by row: the query takes the key
+    matrix, and the pooled vector the value matrix. Pooling reads the rows twice and joins once: the
+    first pass gives each sequence its query and its largest key norm, the second sums ``e`` and
+    ``e * v``. The softmax is shifted by the bound ``|q| * max|k|``, which needs no pass of its own; a
+    sequence whose bound exceeds ``SCORE_BOUND`` fails rather than lose its weights to underflow.
     """
-    q_long = masked_mean_pool(vecs, seq_col, mask_col, vec_col, eps)
-    q = collect_vector(q_long, [seq_col], out_col="_q")
-    if query_proj is not None:
-        q = q.withColumn("_q", project("_q", query_proj))
-    d = F.size(F.col(vec_col)).cast("double")
-    scored = vecs.join(q, seq_col, "inner").withColumn(
-        "_s", F.when(F.col(mask_col) != 0, dot(vec_col, "_q") / F.sqrt(d)))
-    stats = scored.where(F.col("_s").isNotNull()).groupBy(seq_col).agg(F.max("_s").alias("_smax"))
-    e = scored.join(stats, seq_col, "left").withColumn(
-        "_e", F.when(F.col("_s").isNotNull(), F.exp(F.col("_s") - F.col("_smax"))).otherwise(F.lit(0.0)))
-    z = e.groupBy(seq_col).agg(F.sum("_e").alias("_z"))
-    # An all-masked sequence has nothing to attend to: NaN weights, as the reference yields.
-    w = e.join(z, seq_col, "inner").withColumn(
-        "w", F.when(F.col("_z") > 0, F.col("_e") / F.col("_z")).otherwise(F.lit(NAN)))
-    weights = w.select(seq_col, id_col, "w")
-    pooled = (w.select(seq_col, F.col("w"), F.posexplode(vec_col).alias("dim", "_x"))
-               .groupBy(seq_col, "dim").agg(F.sum(F.col("w") * F.col("_x")).alias("x")))
+    valid = F.col(mask_col) != 0
+    long = vecs.select(seq_col, F.col(mask_col).cast("double").alias("_m"), F.when(valid, l2_norm(vec_col)).alias("_k"),
+                       F.posexplode(vec_col).alias("dim", "_x"))
+    mean = long.groupBy(seq_col, "dim").agg((F.sum(F.col("_m") * F.col("_x")) / (F.sum("_m") + F.lit(eps))).alias("x"), F.max("_k").alias("_k"))
+    per = mean.groupBy(seq_col).agg(F.array_sort(F.collect_list(F.struct(F.col("dim").alias("d"), F.col("x").alias("v")))).alias("_q"), F.max("_k").alias("_k"))
+    per = per.select(seq_col, F.transform("_q", lambda s: s["v"]).alias("_q"), "_k")
+    width = np.asarray(query_proj).shape[1] // heads if query_proj is not None else None
+    scale = F.sqrt(F.lit(float(width)) if width else F.size("_q").cast("double"))
+    per = per.select(seq_col, "_k", scale.alias("_scale"), _head_queries(F.col("_q"), heads, query_proj, key_proj).alias("_heads"))
+    bound = F.array_max(F.transform("_heads", l2_norm)) * F.coalesce("_k", F.lit(0.0)) / F.col("_scale")
+    bound = F.when(bound > SCORE_BOUND, F.raise_error(F.lit("attention scores may exceed the softmax range")).cast("double")).otherwise(bound)
+    per = per.select(F.col(seq_col).alias("_seq"), "_heads", "_scale", bound.alias("_bound"))
+
+    joined = vecs.join(per, F.col(seq_col).eqNullSafe(F.col("_seq")))
+    v = F.col(vec_col)
+    e = F.transform("_heads", lambda q: F.when(valid, F.exp(dot(v, q) / F.col("_scale") - F.col("_bound"))).otherwise(F.lit(0.0)))
+    scored = joined.withColumn("_e", e)
+    sums = (scored.select(seq_col, vec_col, F.posexplode("_e").alias("_h", "_w")).select(seq_col, "_h", "_w", F.posexplode(vec_col).alias("dim", "_x"))
+            .groupBy(seq_col, "_h", "dim").agg(F.sum("_w").alias("_z"), F.sum(F.col("_w") * F.col("_x")).alias("_s")))
+    # An all-masked sequence has nothing to attend to: NaN, as the reference yields.
+    pooled = sums.select(seq_col, "_h", "dim", F.when(F.col("_z") > 0, F.col("_s") / F.col("_z")).otherwise(F.lit(NAN)).alias("x"))
+    if value_proj is not None or out_proj is not None or heads > 1:
+        pooled = _project_heads(pooled, seq_col, heads, value_proj, out_proj)
+    else:
+        pooled = pooled.drop("_h")
+
+    z = scored.groupBy(seq_col).agg(*[F.sum(F.col("_e")[h]).alias(f"_z{h}") for h in range(heads)])
+    z = z.select(F.col(seq_col).alias("_zseq"), F.array(*[F.col(f"_z{h}") for h in range(heads)]).alias("_z"))
+    shares = F.zip_with("_e", "_z", lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(NAN)))
+    weight = F.aggregate(shares, F.lit(0.0), lambda a, b: a + b) / heads
+    weights = scored.join(z, F.col(seq_col).eqNullSafe(F.col("_zseq"))).select(seq_col, id_col, weight.alias("w"))
     return pooled, weights
+
+
+def _project_heads(pooled: DataFrame, seq_col: str, heads: int, value_proj, out_proj) -> DataFrame:
+    """Per sequence: each head's vector by its columns of ``W_v``, side by side, then ``W_o``; long form."""
+    per = collect_vector(pooled, [seq_col, "_h"], out_col="_v").groupBy(seq_col).agg(F.sort_array(F.collect_list(F.struct("_h", "_v"))).alias("_all"))
+    if value_proj is None:
+        if heads > 1:
+            raise ValueError("several heads need a value projection")
+        out = F.col("_all")[0]["_v"]
+    else:
+        w = np.asarray(value_proj, dtype=float)
+        width = w.shape[1] // heads
+        out = F.concat(*[project(F.col("_all")[h]["_v"], w[:, h * width:(h + 1) * width]) for h in range(heads)])
+    per = per.select(seq_col, out.alias("_o"))
+    if out_proj is not None:
+        per = per.select(seq_col, project("_o", out_proj).alias("_o"))
+    return per.select(seq_col, F.posexplode("_o").alias("dim", "x"))
+
+
+def attention_pool_rows(tokens, mask, eps: float = 1e-9) -> Column:
+    """AG-10 inside a row: ``tokens`` is an array of L vectors, ``mask`` an array of L flags; no shuffle.
+
+    Identity projections; project the result with :func:`project`. Without a valid position: NaNs.
+    """
+    tokens, mask = _c(tokens), F.transform(_c(mask), lambda m: m.cast("double"))
+    zero = F.transform(tokens[0], lambda x: F.lit(0.0))
+
+    def weighted(weights: Column) -> Column:
+        scaled = F.zip_with(tokens, weights, lambda t, w: F.transform(t, lambda x: x * w))
+        return F.aggregate(scaled, zero, lambda a, t: F.zip_with(a, t, lambda x, y: x + y))
+
+    def total(values: Column) -> Column:
+        return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+
+    n = total(mask) + F.lit(eps)
+    query = F.transform(weighted(mask), lambda x: x / n)
+    scores = F.zip_with(tokens, mask, lambda t, m: F.when(m != 0, dot(t, query) / F.sqrt(F.size(t).cast("double"))))
+    top = F.array_max(scores)
+    e = F.transform(scores, lambda x: F.coalesce(F.exp(x - top), F.lit(0.0)))
+    z = total(e)
+    return F.transform(weighted(e), lambda x: F.when(z > 0, x / z).otherwise(F.lit(NAN)))

@@ -72,7 +72,7 @@ SELECT doc_id,
 FROM z, f""")
 def canonical_ids(spark, sf_dir):
     """SC-2: a suffixed (mixed) id column keeps its text; an all-integer one loses leading zeros."""
-    m = B.metadata(spark, sf_dir).select("doc_id", "national_number")
+    m = B.unlabelled(spark, sf_dir).select("doc_id", "national_number")
     z = m.withColumn("padded", padded_id(F.col("doc_id").cast("string"), strict=False))
     z = MD.canonicalize_ids(z, "national_number", "id_mixed")
     z = MD.canonicalize_ids(z, "padded", "id_all_int")
@@ -85,7 +85,7 @@ SELECT doc_id,
        CASE WHEN classification IN ('', 'es', 'src3') THEN NULL ELSE classification END AS classification
 FROM m""")
 def null_tokens_q(spark, sf_dir):
-    m = B.metadata(spark, sf_dir).select("doc_id", "primary_type", "classification")
+    m = B.unlabelled(spark, sf_dir).select("doc_id", "primary_type", "classification")
     return MD.apply_null_tokens(m, ["primary_type", "classification"], ["", "es", "src3"])
 
 
@@ -112,7 +112,7 @@ def clean_text(spark, sf_dir):
 SELECT national_number, base_id, padded_id, {Q.zfill('base_id')} AS zfill_id FROM c""")
 def id_parts(spark, sf_dir):
     """PR-1/PR-2: base id, integer-padded id and text-padded id."""
-    m = AS.asset_candidates(B.metadata(spark, sf_dir).select("national_number"))
+    m = AS.asset_candidates(B.unlabelled(spark, sf_dir).select("national_number"))
     return m.select("national_number", "base_id", "padded_id",
                     padded_id("base_id", strict=False).alias("zfill_id"))
 
@@ -121,7 +121,7 @@ def id_parts(spark, sf_dir):
 SELECT national_number, candidate1, candidate2 FROM c""")
 def asset_candidates_q(spark, sf_dir):
     """PR-3: the two file names tried, in priority order."""
-    m = AS.asset_candidates(B.metadata(spark, sf_dir).select("national_number"))
+    m = AS.asset_candidates(B.unlabelled(spark, sf_dir).select("national_number"))
     return m.select("national_number", "candidate1", "candidate2")
 
 
@@ -146,20 +146,24 @@ def enriched_captions(spark, sf_dir):
 
 
 @query("samples", with_(Q.M, Q.A) + f"""
-SELECT m.national_number, {CAPTION_SQL} AS caption, a.name AS asset_name
-FROM m JOIN a ON a.name = {Q.zfill("split_part(m.national_number, '_', 1)")} || '.png'""")
+SELECT m.national_number, {CAPTION_SQL} AS caption, {Q.zfill("split_part(m.national_number, '_', 1)")} || '.png' AS asset_name,
+       a.name IS NOT NULL AS found
+FROM m LEFT JOIN a ON a.name = {Q.zfill("split_part(m.national_number, '_', 1)")} || '.png'""")
 def samples(spark, sf_dir):
-    """PR-13: what a loader yields per row: id, caption and the (strict) image file."""
+    """PR-13: what a loader yields per row: id, caption and the (strict) image file.
+
+    Rows that would stop the loader are listed too, with ``found`` false.
+    """
     m = B.metadata(spark, sf_dir).withColumn("caption", enriched_caption())
-    s = AS.strict_lookup(m, B.manifest(spark, sf_dir))
-    return s.select("national_number", "caption", F.col("strict_name").alias("asset_name"))
+    s = AS.strict_lookup(m, B.manifest(spark, sf_dir), fail=False)
+    return s.select("national_number", "caption", F.col("strict_name").alias("asset_name"), F.col("image_path").isNotNull().alias("found"))
 
 
 # ---------------------------------------------------------------- lookups
 
 
 def _resolved(spark, sf_dir, cols=("doc_id", "national_number")):
-    m = B.metadata(spark, sf_dir).select(*cols)
+    m = B.unlabelled(spark, sf_dir).select(*cols)
     return AS.resolve_assets(m, B.manifest(spark, sf_dir))
 
 
@@ -202,7 +206,8 @@ def strict_missing_q(spark, sf_dir):
 
 
 def _split(spark, sf_dir, cols=("doc_id", "national_number")):
-    return SP.three_way_split(B.metadata(spark, sf_dir).select(*cols))
+    m = B.metadata(spark, sf_dir) if "secondary_type" in cols else B.unlabelled(spark, sf_dir)
+    return SP.three_way_split(m.select(*cols))
 
 
 @query("three_way_split", with_(Q.M, Q.split_cte()) + """
@@ -226,7 +231,7 @@ SELECT CAST(coalesce(sum(CASE WHEN k > 1 THEN 1 ELSE 0 END), 0) AS BIGINT) AS n_
 FROM k""")
 def split_overlap_q(spark, sf_dir):
     """ST-2: the three parts are disjoint and cover M (returns 0, 0)."""
-    m = B.metadata(spark, sf_dir).select("national_number")
+    m = B.unlabelled(spark, sf_dir).select("national_number")
     s = _split(spark, sf_dir).select("national_number", "split")
     k = m.join(s, "national_number", "left").groupBy("national_number").agg(
         F.count_distinct("split").alias("k"))

@@ -87,14 +87,13 @@ def latest_checkpoint(spark, sf_dir):
     return MT.latest_checkpoint(B.checkpoints(spark, sf_dir))
 
 
-# Fixed values (oracle side): the first five configurations of the grid, in product order.
-_GRID5 = """(VALUES
-  (1, 'ft_lr_0.0001_wd_1e-06_nhe_2_dfn_512_ntel_2', 0.0001, 1e-06, 2, 512, 2),
-  (2, 'ft_lr_0.0001_wd_1e-06_nhe_2_dfn_512_ntel_3', 0.0001, 1e-06, 2, 512, 3),
-  (3, 'ft_lr_0.0001_wd_1e-06_nhe_2_dfn_1024_ntel_2', 0.0001, 1e-06, 2, 1024, 2),
-  (4, 'ft_lr_0.0001_wd_1e-06_nhe_2_dfn_1024_ntel_3', 0.0001, 1e-06, 2, 1024, 3),
-  (5, 'ft_lr_0.0001_wd_1e-06_nhe_4_dfn_512_ntel_2', 0.0001, 1e-06, 4, 512, 2))
-  g(config_no, config_name, learning_rate, weight_decay, n_heads_encoder, dim_feedforward_encoder, num_transformers_encoder_layers)"""
+# Fixed values (oracle side): the grid's axes, the last one varying fastest.
+_GRID = """grid AS (
+  SELECT row_number() OVER (ORDER BY a.i, b.i, c.i, d.i, e.i) AS config_no,
+         'ft_lr_' || a.n || '_wd_' || b.n || '_nhe_' || c.v || '_dfn_' || d.v || '_ntel_' || e.v AS config_name,
+         a.v AS learning_rate, b.v AS weight_decay, c.v AS n_heads_encoder, d.v AS dim_feedforward_encoder, e.v AS num_transformers_encoder_layers
+  FROM (VALUES (1, '0.0001', 0.0001), (2, '1e-05', 0.00001)) a(i, n, v), (VALUES (1, '1e-06', 0.000001), (2, '1e-05', 0.00001)) b(i, n, v),
+       (VALUES (1, 2), (2, 4)) c(i, v), (VALUES (1, 512), (2, 1024)) d(i, v), (VALUES (1, 2), (2, 3)) e(i, v))"""
 
 
 @query("grid_results", with_(*WEIGHTED, Q.PAIR_LONG,
@@ -103,36 +102,31 @@ _GRID5 = """(VALUES
                              """last AS (SELECT config, max(epoch) AS me FROM log GROUP BY config)""",
                              """tb AS (SELECT log.config, batch_id, avg(item_loss) AS bm, count(*) AS bn FROM log JOIN last ON log.config = last.config AND log.epoch = last.me GROUP BY ALL)""",
                              """tl AS (SELECT config, sum(bm * bn) / sum(bn) AS test_loss FROM tb GROUP BY config)""",
-                             """cs AS (SELECT label, avg(c) AS clip FROM (SELECT id_pred, label, sum(p * t) / (sqrt(sum(p * p)) * sqrt(sum(t * t))) AS c FROM pl GROUP BY id_pred, label) GROUP BY label)""") + f"""
+                             """cs AS (SELECT label, avg(c) AS clip FROM (SELECT id_pred, label, sum(p * t) / (sqrt(sum(p * p)) * sqrt(sum(t * t))) AS c FROM pl GROUP BY id_pred, label) GROUP BY label)""", _GRID) + """
 SELECT g.config_name, CAST(g.learning_rate AS DOUBLE) AS learning_rate, CAST(g.weight_decay AS DOUBLE) AS weight_decay,
        round(bv.best_val_loss, 6) AS best_val_loss, round(tl.test_loss, 6) AS test_loss, round(cs.clip, 6) AS clip_score_avg,
        CAST(g.n_heads_encoder AS BIGINT) AS n_heads_encoder, CAST(g.dim_feedforward_encoder AS BIGINT) AS dim_feedforward_encoder,
        CAST(g.num_transformers_encoder_layers AS BIGINT) AS num_transformers_encoder_layers
-FROM {_GRID5}
-JOIN t ON t.config_no = g.config_no
-JOIN bv ON bv.config = t.config JOIN tl ON tl.config = t.config
-JOIN cs ON cs.label = g.config_no - 1""")
+FROM grid g
+LEFT JOIN t ON t.config_no = g.config_no
+LEFT JOIN bv ON bv.config = t.config LEFT JOIN tl ON tl.config = t.config
+LEFT JOIN cs ON cs.label = g.config_no - 1""")
 def grid_results(spark, sf_dir):
-    """ML-4 / SC-9 data: the result table for the first five configurations.
+    """ML-4 / SC-9 data: the result table, a row for every configuration of the grid.
 
     Binding: configuration i is matched to the i-th event type in name order; best val loss =
     best epoch of the val curve; test loss = AG-2 over the config's final epoch; the similarity
-    column = mean cosine of PAIR rows whose label is i - 1.
+    column = mean cosine of PAIR rows whose label is i - 1. What has no match has null metrics.
     """
     log = B.loss_log(spark, sf_dir)
-    types = exact_rank(log.select("config").distinct(), [F.col("config")], rank_col="config_no",
-                       tiebreak=False)
+    types = exact_rank(log.select("config").distinct(), ["config"], F.substring("config", 1, 2), rank_col="config_no", tiebreak=False)
     curve = MT.batch_weighted_loss(log).where(F.col("split") == "val")
     best = MT.best_value(curve, value_col="loss")
     last = log.groupBy("config").agg(F.max("epoch").alias("_last"))
     final = log.join(last, "config").where(F.col("epoch") == F.col("_last"))
     test = MT.batch_weighted_loss(final, keys=["config"], out_col="test_loss")
+    losses = types.join(best, "config", "left").join(test, "config", "left").select(
+        "config_no", F.round("best_val_loss", 6).alias("best_val_loss"), F.round("test_loss", 6).alias("test_loss"))
     pairs = B.pairs(spark, sf_dir).withColumn("cosine", V.cosine("pred", "truth"))
-    clip = pairs.groupBy("label").agg(F.avg("cosine").alias("clip_score_avg"))
-    metrics = (types.join(best, "config").join(test, "config")
-               .join(clip, F.col("label") == F.col("config_no") - 1)
-               .select("config_no", F.round("best_val_loss", 6).alias("best_val_loss"),
-                       F.round("test_loss", 6).alias("test_loss"),
-                       F.round("clip_score_avg", 6).alias("clip_score_avg")))
-    grid = G.grid_frame(spark).where(F.col("config_no") <= 5)
-    return G.result_table(grid, metrics)
+    clip = pairs.groupBy((F.col("label") + 1).cast("long").alias("config_no")).agg(F.round(F.avg("cosine"), 6).alias("clip_score_avg"))
+    return G.result_table(G.grid_frame(spark), losses.join(clip, "config_no", "full"))

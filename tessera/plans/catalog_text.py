@@ -1,4 +1,4 @@
-"""Queries over the word binding (TOK)."""
+"""Queries over caption tokens (TX-1..3): the enriched caption of every row of M."""
 
 from __future__ import annotations
 
@@ -7,45 +7,86 @@ from pyspark.sql import functions as F
 from .. import bindings as B
 from ..operators import tokens as TK
 from . import sql_fragments as Q
-from .catalog import query, with_
+from .catalog import CAPTION_SQL, enriched_caption, query, with_
 
+CAP = [Q.M, f"""cap AS (SELECT doc_id, primary_type AS lang, {CAPTION_SQL} AS caption FROM m)""", Q.caption_tokens("cap")]
+VOCAB = [*CAP, """w AS (SELECT doc_id, unnest(words) AS word FROM tok)""",
+         """wc AS (SELECT word, count(*) AS n FROM w GROUP BY word)""",
+         """ch AS (SELECT DISTINCT unnest(string_split(word, '')) AS c FROM wc)""",
+         """vocab AS (
+  SELECT token, CAST(999 + row_number() OVER (ORDER BY encode(token)) AS INTEGER) AS id FROM (
+    SELECT word AS token FROM wc WHERE n >= 1e-4 * (SELECT sum(n) FROM wc)
+    UNION SELECT c FROM ch WHERE c <> '' UNION SELECT '##' || c FROM ch WHERE c <> '' UNION SELECT '[UNK]'))"""]
+# Longest entry from the left, one step of all distinct words at a time.
+PIECES = [*VOCAB, """enc AS (
+  SELECT word, 1 AS beg, CAST([] AS INTEGER[]) AS ids FROM wc WHERE length(word) <= 100
+  UNION ALL
+  SELECT word, beg, ids FROM (
+    SELECT e.word, e.beg + l.l AS beg, list_append(e.ids, v.id) AS ids,
+           row_number() OVER (PARTITION BY e.word ORDER BY l.l DESC) AS r
+    FROM (SELECT word, beg, ids, unnest(range(1, CAST(length(word) - beg + 2 AS BIGINT))) AS l FROM enc WHERE beg <= length(word)) e(word, beg, ids, l0),
+         LATERAL (SELECT e.l0 AS l) l
+    JOIN vocab v ON v.token = CASE WHEN e.beg > 1 THEN '##' ELSE '' END || substr(e.word, e.beg, l.l)) WHERE r = 1)""",
+          """sp AS (SELECT wc.word, coalesce(e.ids, [(SELECT id FROM vocab WHERE token = '[UNK]')]) AS ids
+  FROM wc LEFT JOIN (SELECT * FROM enc WHERE beg = length(word) + 1) e ON e.word = wc.word)""",
+          """pos AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS p FROM tok)""",
+          """ids AS (SELECT tok.doc_id, tok.lang, coalesce(a.ids, CAST([] AS INTEGER[])) AS ids FROM tok
+  LEFT JOIN (SELECT doc_id, flatten(list(sp.ids ORDER BY p)) AS ids FROM pos JOIN sp USING (word) GROUP BY doc_id) a USING (doc_id))"""]
 
-@query("caption_words", with_(Q.TOK) + """
+
+def with_recursive(*ctes: str) -> str:
+    return "WITH RECURSIVE " + ",\n".join(ctes) + "\n"
+
+
+def _captions(spark, sf_dir):
+    m = B.metadata(spark, sf_dir)
+    return m.select("doc_id", F.col("primary_type").alias("lang"), TK.split_words(enriched_caption()).alias("words"))
+
+
+def _encoded(spark, sf_dir):
+    """Subword ids of every caption, by a vocabulary of the corpus itself."""
+    caps = _captions(spark, sf_dir)
+    vocab = TK.corpus_vocabulary(caps.select(F.explode("words").alias("word")))
+    return TK.encode(caps, vocab)
+
+
+@query("caption_words", with_(*CAP) + """
 SELECT doc_id, CAST(generate_subscripts(words, 1) - 1 AS INTEGER) AS pos, unnest(words) AS word FROM tok""")
 def caption_words(spark, sf_dir):
-    """Word stage of TX-1: every word of every document with its position."""
-    docs = B.table(spark, sf_dir, "documents")
-    return TK.caption_words(docs, "doc_id", "text")
+    """Word stage of TX-1: every word and punctuation mark of every caption with its position."""
+    return _captions(spark, sf_dir).select("doc_id", F.posexplode("words").alias("pos", "word"))
 
 
-@query("pad_truncate", with_(Q.TOK, """ids AS (
+@query("pad_truncate", with_(*CAP, """ids AS (
   SELECT doc_id, list_concat([101], list_slice(list_transform(words, lambda w: CAST(length(w) AS INTEGER)), 1, 254), [102]) AS seq
   FROM tok)""") + """
 SELECT doc_id,
        array_to_string(list_concat(seq, list_transform(range(256 - len(seq)), lambda x: 0)), ',') AS input_ids,
+       array_to_string(list_concat(list_transform(seq, lambda x: 1), list_transform(range(256 - len(seq)), lambda x: 0)), ',') AS attention_mask,
        CAST(len(seq) AS INTEGER) AS n_valid
 FROM ids""")
 def pad_truncate(spark, sf_dir):
-    """TX-2: fixed 256-long encoding (start, 254 ids, end, padding); word id = word length."""
-    w = B.words(spark, sf_dir)
-    ids, _, n = TK.pad_truncate(F.transform("words", lambda x: F.length(x)))
-    return w.select("doc_id", F.array_join(ids, ",").alias("input_ids"), n.alias("n_valid"))
+    """TX-2: fixed 256-long encoding (start, 254 ids, end, padding) and mask; word id = word length."""
+    w = _captions(spark, sf_dir)
+    ids, mask, n = TK.pad_truncate(F.transform("words", lambda x: F.length(x)))
+    return w.select("doc_id", F.array_join(ids, ",").alias("input_ids"), F.array_join(mask, ",").alias("attention_mask"), n.alias("n_valid"))
 
 
-@query("truncation_report", with_(Q.TOK) + """
-SELECT lang, count(*) AS n_docs, CAST(sum(CASE WHEN len(words) > 254 THEN 1 ELSE 0 END) AS BIGINT) AS n_truncated
-FROM tok GROUP BY lang""")
+@query("truncation_report", with_recursive(*PIECES) + """
+SELECT lang, count(*) AS n_docs, CAST(sum(CASE WHEN len(ids) > 254 THEN 1 ELSE 0 END) AS BIGINT) AS n_truncated,
+       CAST(sum(greatest(len(ids) - 254, 0)) AS BIGINT) AS n_lost_tokens
+FROM ids GROUP BY lang""")
 def truncation_report(spark, sf_dir):
-    """TX-3: documents per language whose words exceed the 254-token budget."""
-    w = B.words(spark, sf_dir).withColumn("n_words", F.size("words"))
-    return TK.truncation_report(w, "lang", "n_words", 254)
+    """TX-3: captions per language whose subword tokens exceed the 254-token budget, and their loss."""
+    return TK.truncation_report(_encoded(spark, sf_dir).select("lang", F.size("ids").alias("n_tokens")), "lang", "n_tokens", 254)
 
 
-@query("wordpiece_ids")
+@query("wordpiece_ids", with_recursive(*PIECES) + """
+SELECT doc_id, array_to_string(list_concat(seq, list_transform(range(256 - len(seq)), lambda x: 0)), ',') AS input_ids,
+       CAST(n AS INTEGER) AS n_tokens, CAST(len(seq) AS INTEGER) AS n_valid
+FROM (SELECT doc_id, len(ids) AS n, list_concat([101], list_slice(ids, 1, 254), [102]) AS seq FROM ids)""")
 def wordpiece_ids(spark, sf_dir):
-    """TX-1: WordPiece ids (5,000-entry corpus vocabulary), tokenized once per distinct word,
-    over whole documents; then the fixed 256-long encoding. Rows-only check (no SQL form)."""
-    docs = B.table(spark, sf_dir, "documents")
-    words = TK.caption_words(docs, "doc_id", "text")
-    vocab = TK.build_vocab(words, 5000)
-    return TK.wordpiece_ids(words, vocab, "doc_id", 256, all_ids=docs.select("doc_id"))
+    """TX-1 + TX-2: longest-match subword ids of every caption in the fixed 256-long encoding."""
+    e = _encoded(spark, sf_dir)
+    ids, _, n = TK.pad_truncate("ids")
+    return e.select("doc_id", F.array_join(ids, ",").alias("input_ids"), F.size("ids").alias("n_tokens"), n.alias("n_valid"))

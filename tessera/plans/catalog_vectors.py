@@ -5,12 +5,12 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import bindings as B
 from ..operators import images as IM
+from ..operators import metrics as MT
 from ..operators import scoring as SC
 from ..operators import vectors as V
 from . import sql_fragments as Q
@@ -65,18 +65,35 @@ def similarity_loss(spark, sf_dir):
     return s.select(_r(F.col("similarity_loss"), "similarity_loss"))
 
 
-@query("comparison_pairs", """
-SELECT * FROM (
-  SELECT a.vec_id AS id_pred, b.vec_id AS id_truth, row_number() OVER (ORDER BY a.vec_id) AS rank
-  FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1) WHERE rank <= 10""")
+# Fixed binding: the split of a pair, as LOG splits its items.
+_PAIR_SPLIT = "CASE WHEN id_pred % 4 = 0 THEN 'val' ELSE 'train' END"
+
+
+def _comparison_sql(n: int | None) -> str:
+    return f"""
+SELECT split, id_pred, id_truth, rank, 'plots/ft/epoch_10/' || split || '/image_comparisons' AS path FROM (
+  SELECT *, row_number() OVER (PARTITION BY split ORDER BY id_pred) AS rank FROM (
+    SELECT a.vec_id AS id_pred, b.vec_id AS id_truth, {_PAIR_SPLIT.replace("id_pred", "a.vec_id")} AS split
+    FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)) {"" if n is None else f"WHERE rank <= {n}"}"""
+
+
+def _comparison(spark, sf_dir, n: int | None):
+    pairs = B.pairs(spark, sf_dir).select(F.expr(_PAIR_SPLIT).alias("split"), "id_pred", "id_truth")
+    table = MT.comparison_table(pairs, n, keys=["split"], order_col="id_pred", bucket=F.floor(F.col("id_pred") / 1000))
+    path = MT.comparison_path(F.lit("plots"), F.lit("ft"), F.lit(10), F.col("split"))
+    return table.select("split", "id_pred", "id_truth", "rank", path.alias("path"))
+
+
+@query("comparison_pairs", _comparison_sql(10))
 def comparison_pairs(spark, sf_dir):
-    """SC-11 / TK-2 / SP-7: the first 10 (prediction, truth) pairs of the comparison sheet.
+    """SC-11 / TK-2: the first 10 (prediction, truth) pairs of each split's comparison table."""
+    return _comparison(spark, sf_dir, 10)
 
-    A top-k report: Spark plans ``orderBy + limit`` as a distributed top-k (each task keeps 10,
-    one merge of 10 x tasks rows); the rank is numbered on those 10 rows only.
-    """
-    top = B.pairs(spark, sf_dir).select("id_pred", "id_truth").orderBy("id_pred").limit(10)
-    return top.withColumn("rank", F.row_number().over(Window.orderBy("id_pred")).cast("bigint"))
+
+@query("comparison_all", _comparison_sql(None))
+def comparison_all(spark, sf_dir):
+    """SP-7: the same table with all pairs of each split."""
+    return _comparison(spark, sf_dir, None)
 
 
 @query("evaluation_report", with_("""pr AS (
@@ -198,6 +215,36 @@ def attention_weights(spark, sf_dir):
     return weights.select(F.col("seq_id").alias("label"), "vec_id", _r(F.col("w"), "w"))
 
 
+def _fixed_matrix(a: int, b: int, n: int = 64) -> np.ndarray:
+    """A fixed non-identity projection: ``((a i + b j) mod 11 - 5) / 20``, 0-based."""
+    i, j = np.indices((n, n))
+    return ((a * i + b * j) % 11 - 5) / 20.0
+
+
+def _fixed_sql(a: int, b: int) -> str:
+    return f"(CAST(({a} * i.dim + {b} * j.dim) % 11 - 5 AS DOUBLE) / 20.0)"
+
+
+def _projected(src: str, out: str, a: int, b: int, transposed: bool = False) -> str:
+    w = _fixed_sql(b, a) if transposed else _fixed_sql(a, b)
+    return f"{out} AS (SELECT i.seq_id, j.dim, sum(i.x * {w}) AS x FROM {src} i, (SELECT DISTINCT dim FROM vl) j GROUP BY i.seq_id, j.dim)"
+
+
+@query("attention_projected", with_(
+    Q.VEC_LONG, "m AS (SELECT seq_id, dim, sum(mask * x) / (sum(mask) + 1e-9) AS x FROM vl GROUP BY seq_id, dim)",
+    _projected("m", "q", 7, 3), _projected("q", "k", 5, 2, transposed=True),
+    "s AS (SELECT vl.seq_id, vl.vec_id, sum(vl.x * k.x) / sqrt(64.0) AS s FROM vl JOIN k ON k.seq_id = vl.seq_id AND k.dim = vl.dim WHERE vl.mask <> 0 GROUP BY vl.seq_id, vl.vec_id)",
+    "e AS (SELECT seq_id, vec_id, exp(s - max(s) OVER (PARTITION BY seq_id)) AS e FROM s)",
+    "p AS (SELECT vl.seq_id, vl.dim, sum(e.e * vl.x) / sum(e.e) AS x FROM vl JOIN e ON e.seq_id = vl.seq_id AND e.vec_id = vl.vec_id GROUP BY vl.seq_id, vl.dim)",
+    _projected("p", "v", 3, 8), _projected("v", "o", 4, 9)) + """
+SELECT seq_id AS label, CAST(dim AS INTEGER) AS dim, round(x, 6) AS x FROM o""")
+def attention_projected(spark, sf_dir):
+    """AG-10 with fixed query, key, value and output projections."""
+    pooled, _ = V.attention_pool(B.vectors(spark, sf_dir), query_proj=_fixed_matrix(7, 3), key_proj=_fixed_matrix(5, 2),
+                                 value_proj=_fixed_matrix(3, 8), out_proj=_fixed_matrix(4, 9))
+    return pooled.select(F.col("seq_id").alias("label"), "dim", _r(F.col("x"), "x"))
+
+
 @query("pixel_normalize", with_(Q.IMG_LONG) + """
 SELECT vec_id, pos, round((CAST(b AS DOUBLE) / 255.0 - 0.5) / 0.5, 6) AS x FROM il""")
 def pixel_normalize(spark, sf_dir):

@@ -4,9 +4,12 @@ Each fragment is a CTE body; queries compose them with ``WITH``. They restate
 ``tessera.bindings`` in plain SQL so the oracle never shares code with the Spark side.
 """
 
-from ..functions.text import PY_SPACE_CLASS
-
-STRIP = f"^{PY_SPACE_CLASS}+|{PY_SPACE_CLASS}+$"
+# The blanks that the text rules strip, written out here a second time on purpose.
+SPACE_CLASS = (
+    r"[\t\n\x0b\f\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
+    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+)
+STRIP = f"^{SPACE_CLASS}+|{SPACE_CLASS}+$"
 
 
 def strip(x: str) -> str:
@@ -115,7 +118,12 @@ IMG_LONG = """il AS (
          CAST(floor(greatest(0.0, least(1.0, (CAST(unnest(embedding) AS DOUBLE) + 1.0) / 2.0)) * 255.0) AS INTEGER) AS b
   FROM embeddings)"""
 
-WORD_PATTERN = r"[\p{L}\p{M}\p{N}]+"
 
-TOK = f"""tok AS (
-  SELECT doc_id, lang, regexp_extract_all(lower(text), '{WORD_PATTERN}') AS words FROM documents)"""
+
+def caption_tokens(src: str) -> str:
+    """Words and punctuation marks of the uncased ``caption`` of ``src``."""
+    mark = r"!-/:-@\[-`{-~\p{P}"
+    control = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F\p{Cf}]"
+    plain = f"regexp_replace(strip_accents(lower(regexp_replace(caption, '{control}', '', 'g'))), '\\p{{Mn}}', '', 'g')"
+    return f"""tok AS (
+  SELECT doc_id, lang, regexp_extract_all({plain}, '[{mark}]|[^\\s\\p{{Z}}{mark}]+') AS words FROM {src})"""

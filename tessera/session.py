@@ -8,6 +8,7 @@ storage (sinks, image export). Scratch data always lives under the cluster's sha
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -51,9 +52,11 @@ def checkpoint_root(spark: SparkSession) -> str | None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's checkpoint folder; create a local one only when none is set (tests)."""
+    """Use the cluster's checkpoint folder; create a local one only for a local master (tests)."""
     root = checkpoint_root(spark)
     if root is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="tessera-ckpt-")
         spark.sparkContext.setCheckpointDir(root)
     elif spark.sparkContext.getCheckpointDir() is None:
@@ -66,16 +69,3 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     root = ensure_checkpoint_dir(spark)
     return f"{root}/tessera-scratch/{name}-{uuid.uuid4().hex[:12]}"
 
-
-def spread(df, min_partitions: int | None = None):
-    """Give CPU-heavy per-row work at least one task per core.
-
-    A scan yields one task per file split; a small input (one row group) would run a regex or
-    pixel stage on a single core. When the plan has fewer partitions than the cluster's default
-    parallelism, rows are spread round-robin first; on large inputs (thousands of splits) this is
-    a no-op and adds no shuffle. The check reads the physical plan only, it runs no job.
-    """
-    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
-        return df.repartition(want)
-    return df

@@ -1,6 +1,6 @@
 """Asset folder, image and checkpoint-folder scans (SC-4, SC-5, SC-10).
 
-Folders are read with Spark's own file sources; nothing lists files on the driver. Lookups
+Folders are read with Spark's own file sources (whose file index is on the driver). Lookups
 select only ``name``/``path``/``length`` so the ``binaryFile`` source never reads file bodies
 for them (content is pruned from the scan).
 """
@@ -24,10 +24,33 @@ def scan_assets(spark: SparkSession, folder: str, glob: str = "*.png", with_cont
     return df.select(*cols)
 
 
-def scan_images(spark: SparkSession, folder: str, drop_invalid: bool = True) -> DataFrame:
-    """SC-5: decoded images (Spark ``image`` source: BGR(A) bytes, see ``images.from_spark_image``);
-    undecodable files are dropped."""
-    return spark.read.format("image").option("dropInvalid", drop_invalid).load(folder)
+def scan_images(spark: SparkSession, folder: str, invalid: str = "fail") -> DataFrame:
+    """SC-5: decoded images (Spark ``image`` source: BGR(A) bytes, see ``images.from_spark_image``).
+
+    An undecodable file fails the job; ``invalid="keep"`` returns it with a null ``height``, so
+    that callers can list it (:func:`undecodable_images`). Files are never left out.
+    """
+    if invalid not in ("fail", "keep"):
+        raise ValueError(f"invalid: {invalid!r}")
+    df = spark.read.format("image").option("dropInvalid", False).load(folder)
+    bad = _undecodable()
+    if invalid == "keep":
+        return df.select(F.when(~bad, F.col("image")).otherwise(F.struct(
+            F.col("image.origin"), *[F.lit(None).cast(df.schema["image"].dataType[c].dataType).alias(c)
+                                     for c in ("height", "width", "nChannels", "mode", "data")])).alias("image"))
+    return df.select(F.when(bad, F.raise_error(F.concat(F.lit("Undecodable image "), F.col("image.origin"))).cast(df.schema["image"].dataType))
+                     .otherwise(F.col("image")).alias("image"))
+
+
+def _undecodable():
+    """The ``image`` source marks a file that it cannot decode by a height of -1."""
+    return F.col("image.height") < 0
+
+
+def undecodable_images(spark: SparkSession, folder: str) -> DataFrame:
+    """The violators: ``(name, path)`` of files that no decoder reads."""
+    df = spark.read.format("image").option("dropInvalid", False).load(folder)
+    return df.where(_undecodable()).select(file_name("image.origin").alias("name"), F.col("image.origin").alias("path"))
 
 
 def scan_checkpoints(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:

@@ -68,13 +68,16 @@ def test_png_roundtrip_through_spark_sources(spark, tmp_path):
     _write(f"{local}/rgba.png", IM.encode_png(rgba))
     _write(f"{local}/rgb.png", IM.encode_png(rgb))
     _write(f"{local}/corrupt.png", b"\x89PNG\r\n\x1a\nnot really" + zlib.compress(b"x"))
-    rows = {r.image.origin.rsplit("/", 1)[-1]: r.image for r in SA.scan_images(spark, folder).collect()}
-    assert set(rows) == {"rgba.png", "rgb.png"}
+    rows = {r.image.origin.rsplit("/", 1)[-1]: r.image for r in SA.scan_images(spark, folder, invalid="keep").collect()}
+    assert set(rows) == {"rgba.png", "rgb.png", "corrupt.png"} and rows["corrupt.png"].height is None
+    assert [r.name for r in SA.undecodable_images(spark, folder).collect()] == ["corrupt.png"]
+    with pytest.raises(Exception, match="Undecodable image"):
+        SA.scan_images(spark, folder).collect()
     a, b = rows["rgba.png"], rows["rgb.png"]
     assert (a.nChannels, a.mode, b.nChannels, b.mode) == (4, 24, 3, 16)
     assert np.array_equal(IM.from_spark_image(a.height, a.width, a.nChannels, a.data), rgba)
     assert np.array_equal(IM.from_spark_image(b.height, b.width, b.nChannels, b.data), rgb)
     man = SA.scan_assets(spark, folder).collect()
     assert {r.name for r in man} == {"rgba.png", "rgb.png", "corrupt.png"}
-    t = IM.image_tensors(SA.scan_images(spark, folder))
+    t = IM.image_tensors(SA.scan_images(spark, folder, invalid="keep").where("image.height is not null"))
     assert IM.shape_violations(t).count() == 0

@@ -107,3 +107,20 @@ def test_project_sql_and_arrow_agree(spark):
     a = [r.p for r in df.select(V.project("v", w).alias("p")).collect()]
     b = [list(r.proj) for r in V.project_arrow(df, "v", w).collect()]
     np.testing.assert_allclose(np.array(a), np.array(b))
+
+
+def test_running_best_repeated_epochs_and_hot_config(spark):
+    import random
+
+    from tessera.operators.metrics import running_best
+
+    rnd = random.Random(3)
+    rows = [("hot", e, rnd.random()) for e in range(400) for _ in range(3)] + [("cold", 5, 0.5), ("cold", 9, float("nan")), ("cold", 12, 0.4)]
+    df = spark.createDataFrame(rows, "config string, epoch int, val_loss double")
+    out = running_best(df, block_size=7)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "hint" not in plan.lower() and out.count() == len(rows)
+    for r in out.collect():
+        earlier = [v for c, e, v in rows if c == r.config and e < r.epoch and v == v]
+        assert r.best_before == min(earlier, default=float("inf"))
+        assert r.improved == (r.val_loss == r.val_loss and r.val_loss < r.best_before)

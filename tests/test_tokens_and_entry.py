@@ -8,7 +8,7 @@ from tessera.operators import tokens as TK
 
 from .conftest import SMOKE_DIR
 
-TABLES = "documents labels events embeddings conversations".split()
+TABLES = "documents labels events embeddings conversations benchmark".split()
 
 
 def test_pad_truncate_shapes(spark):
@@ -19,19 +19,36 @@ def test_pad_truncate_shapes(spark):
     assert rows[1].i == [101, 102, 0, 0, 0, 0, 0, 0] and rows[1].m == [1, 1, 0, 0, 0, 0, 0, 0]
 
 
-def test_wordpiece_matches_per_document_brute_force(spark):
-    docs = spark.read.parquet(f"{SMOKE_DIR}/documents.parquet").select("doc_id", "text")
-    words = TK.caption_words(docs, "doc_id", "text")
-    vocab = TK.build_vocab(words, 600)
-    got = {r.doc_id: (r.input_ids, r.n_tokens) for r in
-           TK.wordpiece_ids(words, vocab, "doc_id", 64, all_ids=docs.select("doc_id")).collect()}
-    index = {t: i for i, t in enumerate(vocab)}
-    import regex
-    for r in docs.collect():
-        ws = regex.findall(r"[\p{L}\p{M}\p{N}]+", (r.text or "").lower())
-        ids = [i for w in ws for i in TK.wordpiece_greedy(w, index, index["[UNK]"])]
-        seq = [index["[CLS]"]] + ids[:62] + [index["[SEP]"]]
-        assert got[r.doc_id] == (seq + [0] * (64 - len(seq)), len(ids))
+def test_words_keep_punctuation_and_lose_accents(spark):
+    df = spark.createDataFrame([(1, "Café's seed. It is, of Grass-type!"), (2, None), (3, " \x01Ünï\tcode§ x+y "), (4, "")], "id int, t string")
+    got = {r.id: r.w for r in df.select("id", TK.split_words("t").alias("w")).collect()}
+    assert got[1] == ["cafe", "'", "s", "seed", ".", "it", "is", ",", "of", "grass", "-", "type", "!"]
+    assert got[2] == [] and got[4] == [] and got[3] == ["uni", "code", "§", "x", "+", "y"]
+
+
+def test_encode_matches_brute_force_on_both_paths(spark):
+    docs = spark.read.parquet(f"{SMOKE_DIR}/documents.parquet").limit(40).select("doc_id", TK.split_words("text").alias("words")).cache()
+    vocab = TK.corpus_vocabulary(docs.select(F.explode("words").alias("word")), 1e-3).where("token <> 'e'").cache()
+    table = {r.token: r.id for r in vocab.collect()}
+
+    def plain(word):
+        out, at = [], 0
+        while at < len(word):
+            for end in range(len(word), at, -1):
+                piece = word[at:end] if at == 0 else "##" + word[at:end]
+                if piece in table:
+                    out.append(table[piece])
+                    at = end
+                    break
+            else:
+                return [table["[UNK]"]]
+        return out
+
+    want = {r.doc_id: [i for w in r.words for i in plain(w)] for r in docs.collect()}
+    for limit in (10**6, 0):
+        got = {r.doc_id: r.ids for r in TK.encode(docs, vocab, broadcast_tokens=limit).collect()}
+        assert got == want
+    assert TK.longest_pieces("x" * 101, {"x": 1, "##x": 2}, 9) == [9]
 
 
 def test_entry_runs(spark):
