@@ -9,7 +9,9 @@ the driver, as in any grid search.
 from __future__ import annotations
 
 import itertools
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,20 +72,29 @@ def result_table(grid: DataFrame, metrics: DataFrame, key: str = "config_no") ->
 
 
 def grid_search(spark: SparkSession, train: DataFrame, val: DataFrame, test: DataFrame,
-                axes: dict[str, list], fit: Callable[[DataFrame, dict], object],
-                score: Callable[[object, DataFrame], dict]) -> DataFrame:
-    """ML-3: fit one model per configuration (each fit is a distributed job) and collect scores.
+                axes: dict[str, list], fit: Callable[[DataFrame, dict], Iterable[tuple[int, object]]],
+                score: Callable[[object, DataFrame], dict], labels: dict = AXIS_LABELS, parallel: int = 4) -> DataFrame:
+    """ML-3: per configuration the models of its epochs, the best of them by validation loss, and its test scores.
 
-    ``fit(train, params) -> model``; ``score(model, df) -> {"loss": .., "similarity": ..}``.
-    The per-config loop is the only driver-side iteration; it runs over the grid, not the data.
+    ``fit(train, params)`` yields ``(epoch, model)``; ``score(model, df) -> {"loss": .., "accuracy": ..}``. A NaN loss never
+    is the best. Fits are distributed jobs; at most ``parallel`` configurations are under way at a time.
+    The result has a row per configuration: its axes, ``best_epoch, best_val_loss, test_loss, test_accuracy``.
     """
-    grid = grid_frame(spark, axes)
-    results = []
-    for row in grid.collect():  # the grid: bounded by the product of the axis lengths
+    grid = grid_frame(spark, axes, labels)
+
+    def one(row):
         params = {k: row[k] for k in axes}
-        model = fit(train, params)
-        v = score(model, val)
-        t = score(model, test)
-        results.append((row["config_no"], float(v["loss"]), float(t["loss"]), float(t.get("similarity", float("nan")))))
-    schema = "config_no long, best_val_loss double, test_loss double, clip_score_avg double"
-    return result_table(grid, spark.createDataFrame(results, schema))
+        best = (math.inf, None, None)
+        for epoch, model in fit(train, params):
+            loss = float(score(model, val)["loss"])
+            if loss < best[0]:
+                best = (loss, epoch, model)
+        if best[2] is None:
+            return row["config_no"], math.inf, None, None, None
+        t = score(best[2], test)
+        return row["config_no"], best[0], best[1], float(t["loss"]), float(t["accuracy"])
+
+    with ThreadPoolExecutor(max(1, parallel)) as pool:
+        results = list(pool.map(one, grid.collect()))  # the grid: bounded by the product of the axis lengths
+    schema = "config_no long, best_val_loss double, best_epoch int, test_loss double, test_accuracy double"
+    return grid.join(spark.createDataFrame(results, schema), "config_no", "left")

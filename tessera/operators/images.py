@@ -315,8 +315,8 @@ def augmented_images(rasters: DataFrame, k: int, id_col: str = "vec_id") -> Data
 def export_pngs(rasters: DataFrame, out_dir: str, id_col: str = "vec_id", name_fmt: str = "{:03d}.png") -> None:
     """Write one PNG per raster into ``out_dir`` (shared storage), from the executors.
 
-    Files go through ``pyarrow.fs``, so any URI the cluster mounts (local, HDFS, object store)
-    works; nothing passes through the driver.
+    Files go through ``pyarrow.fs``, so the folder's URI must be of a scheme that it knows (``file``,
+    ``hdfs``, ``s3``, ``gs``); nothing passes through the driver.
     """
     def write(rows):
         from pyarrow import fs as pafs
@@ -331,5 +331,20 @@ def export_pngs(rasters: DataFrame, out_dir: str, id_col: str = "vec_id", name_f
 
 
 def checksum(col: str = "rgb") -> Column:
-    """Sum of all values of an array column (a compact, order-free digest for checks)."""
-    return F.aggregate(F.col(col), F.lit(0).cast("bigint"), lambda acc, v: acc + v.cast("bigint"))
+    """Sum of (place * value) of an array column, places from 1: moved values change it."""
+    placed = F.transform(F.col(col), lambda v, i: v.cast("bigint") * (i + 1))
+    return F.aggregate(placed, F.lit(0).cast("bigint"), lambda acc, v: acc + v)
+
+
+def quarter_turn_expr(rgb, height, width, channels: int = 3) -> Column:
+    """IM-2 for 90 degrees, counter-clockwise, as a column: row-major pixels, ``width`` x ``height`` afterwards."""
+    rgb, h, w = (F.col(x) if isinstance(x, str) else x for x in (rgb, height, width))
+    c = F.lit(channels)
+
+    def source(i):
+        pixel, channel = F.floor(i / c), i % c
+        row, column = F.floor(pixel / h), pixel % h
+        # The pixel at (row, column) stood in the column ``width - 1 - row`` of that row number.
+        return F.get(rgb, ((column * w + (w - 1 - row)) * c + channel).cast("int"))
+
+    return F.transform(F.sequence(F.lit(0).cast("bigint"), (h * w * c - 1).cast("bigint")), source)

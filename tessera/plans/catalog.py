@@ -59,7 +59,7 @@ def metadata_scan(spark, sf_dir):
     m = B.metadata(spark, sf_dir).select(
         "national_number", "description", "primary_type", "secondary_type", "classification")
     path = scratch_path(spark, "metadata-csv")
-    m.write.mode("overwrite").options(**MD._CSV_OPTIONS).option("sep", ";").csv(path)
+    m.write.mode("overwrite").options(**MD._CSV_OPTIONS).option("sep", ";").option("maxRecordsPerFile", MD.CSV_FILE_ROWS).csv(path)
     return MD.read_metadata(spark, path, sep=";")
 
 
@@ -278,13 +278,31 @@ def augmented_rows_q(spark, sf_dir):
     return _prepared(spark, sf_dir, 2).select("split", "national_number", "aug_no", "angle")
 
 
-@query("split_assets", with_(*SPLIT_RESOLVED) + """
-SELECT DISTINCT split, asset_name AS name FROM r WHERE match_rank IS NOT NULL""")
+_ASSET_FILES = """af AS (
+  SELECT DISTINCT split, CASE WHEN t.aug_no = 0 THEN asset_name ELSE padded_id || '_aug' || CAST(t.aug_no AS VARCHAR) || '.png' END AS name,
+         asset_name AS source, CAST(t.aug_no AS DOUBLE) * 360.0 / 3.0 AS angle
+  FROM r, (VALUES (0), (1), (2)) t(aug_no) WHERE match_rank IS NOT NULL)"""
+
+
+@query("split_assets", with_(*SPLIT_RESOLVED, _ASSET_FILES) + """
+SELECT DISTINCT split, name FROM af""")
 def split_assets_q(spark, sf_dir):
-    """SC-7: distinct files per split folder (a repeated copy overwrites)."""
-    s = _split(spark, sf_dir)
-    resolved = AS.resolve_assets(s, B.manifest(spark, sf_dir))
-    return MD.split_assets(resolved).select("split", "name")
+    """SC-7/SC-8: distinct files per split folder with k=2 turned copies (a repeated copy overwrites)."""
+    return MD.split_assets(_prepared(spark, sf_dir, 2)).select("split", "name")
+
+
+@query("split_assets_roundtrip", with_(*SPLIT_RESOLVED, _ASSET_FILES) + """
+SELECT split, name, md5(min(source)) AS content FROM af GROUP BY split, name""")
+def split_assets_roundtrip(spark, sf_dir):
+    """SC-7/SC-8 sink: files with their contents written per split to shared storage and read back.
+
+    Binding: the content of a sprite file is the UTF-8 text of its name.
+    """
+    files = B.manifest(spark, sf_dir).select("path", F.encode("name", "UTF-8").alias("content"))
+    path = scratch_path(spark, "split-assets")
+    MD.write_split_assets(MD.split_assets(_prepared(spark, sf_dir, 2)), files, path)
+    back = spark.read.parquet(path)
+    return back.select("split", "name", F.md5("content").alias("content"))
 
 
 @query("split_sink_roundtrip", with_(Q.M, Q.split_cte()) + """

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from ..functions.text import canonical_id, null_tokens
 
+#: Rows of one CSV file at most: a file of quoted line breaks is read by one task.
+CSV_FILE_ROWS = 200_000
+
 _CSV_OPTIONS = {
     "header": "true",
-    "multiLine": "true",   # descriptions hold line breaks inside quotes
     "quote": '"',
     "escape": '"',
     # Writers trim blanks by default; the reader here must see text exactly as written.
@@ -20,13 +22,16 @@ _CSV_OPTIONS = {
 }
 
 
-def read_metadata(spark: SparkSession, path: str, sep: str = ";", schema=None) -> DataFrame:
+def read_metadata(spark: SparkSession, path: str, sep: str = ";", schema=None, multi_line: bool = True) -> DataFrame:
     """SC-1: header row, ``sep``-separated; every column is text unless ``schema`` says otherwise.
 
+    ``multi_line``: fields hold line breaks inside quotes; Spark then cannot split a file, so write
+    many of them (the sinks here do). Without such fields pass False, and files are split.
+
     Ids are read as text on purpose: leading zeros survive. :func:`canonicalize_ids` reproduces
     a type-inferring reader where that matters.
     """
-    reader = spark.read.options(**_CSV_OPTIONS).option("sep", sep)
+    reader = spark.read.options(**_CSV_OPTIONS).option("sep", sep).option("multiLine", multi_line)
     if schema is not None:
         reader = reader.schema(schema)
     return reader.csv(path)
@@ -52,7 +57,7 @@ def write_splits(df: DataFrame, out_dir: str, fmt: str = "csv", sep: str = ";",
     """SC-6: one folder per split (``split=train/...``); readers prune by ``split``."""
     w = df.write.mode(mode).partitionBy(split_col)
     if fmt == "csv":
-        w.options(**_CSV_OPTIONS).option("sep", sep).csv(out_dir)
+        w.options(**_CSV_OPTIONS).option("sep", sep).option("maxRecordsPerFile", CSV_FILE_ROWS).csv(out_dir)
     else:
         w.format(fmt).save(out_dir)
 
@@ -74,10 +79,17 @@ def split_assets(resolved: DataFrame, split_col: str = "split") -> DataFrame:
 
     The reference copies one file per kept row; copying the same name twice leaves one file, so
     the folder is the distinct ``(split, name)`` set. Which path wins a name clash is fixed:
-    the smallest one.
+    the smallest one. SC-8: rows of a fan-out (with ``aug_no``) have a file of their own,
+    ``<id>.png`` of the augmented id, whose ``path`` is the original that is turned by ``angle``.
     """
     kept = resolved.where(F.col("asset_name").isNotNull())
-    return kept.groupBy(split_col, F.col("asset_name").alias("name")).agg(F.min("asset_path").alias("path"))
+    name, angle = F.col("asset_name"), F.lit(0.0)
+    if "aug_no" in resolved.columns:
+        turned = F.col("aug_no") > 0
+        name = F.when(turned, F.concat(F.col("national_number"), F.lit(".png"))).otherwise(name)
+        angle = F.when(turned, F.col("angle")).otherwise(angle)
+    rows = kept.select(split_col, name.alias("name"), F.struct(F.col("asset_path").alias("path"), angle.alias("angle")).alias("file"))
+    return rows.groupBy(split_col, "name").agg(F.min("file").alias("file")).select(split_col, "name", "file.path", "file.angle")
 
 
 def write_split_assets(assets: DataFrame, files: DataFrame, out_dir: str,

@@ -81,3 +81,12 @@ def test_png_roundtrip_through_spark_sources(spark, tmp_path):
     assert {r.name for r in man} == {"rgba.png", "rgb.png", "corrupt.png"}
     t = IM.image_tensors(SA.scan_images(spark, folder, invalid="keep").where("image.height is not null"))
     assert IM.shape_violations(t).count() == 0
+
+
+def test_quarter_turn_matches_numpy(spark):
+    rng = np.random.default_rng(0)
+    img = rng.integers(0, 256, (3, 5, 3))
+    df = spark.createDataFrame([(img.ravel().tolist(), 3, 5)], "rgb array<int>, h int, w int")
+    got = df.select(IM.quarter_turn_expr("rgb", "h", "w").alias("t"), IM.checksum("rgb").alias("c")).first()
+    assert np.array_equal(np.array(got.t).reshape(5, 3, 3), np.rot90(img))
+    assert got.c == sum((i + 1) * int(v) for i, v in enumerate(img.ravel()))
