@@ -6,6 +6,8 @@ Everything intermediate is written below the cluster's shared ``spark.checkpoint
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,9 +55,12 @@ def byte_size(text: Column) -> Column:
 def settled(df: DataFrame, name: str) -> DataFrame:
     """``written``, and then the shuffle files behind it may go.
 
-    Spark deletes the files of a shuffle when the driver's JVM collects the plan that made them. An operator of several
-    large steps would else hold the files of all of them until its end.
+    Spark deletes the files of a shuffle when the driver's JVM collects the plan that made them, and the last plan
+    stays reachable until another job has run. An operator of several large steps would else hold the files of all of
+    them until its end.
     """
     out = written(df, name)
+    df.sparkSession.range(1).count()
+    gc.collect()
     df.sparkSession.sparkContext._jvm.System.gc()
     return out
