@@ -15,9 +15,13 @@ ones first, and only a prefix is posted: partners share one of it. And a large s
 common with a chance of at least the threshold, so the sketches share at least ``least_common`` of them but for
 a chance below 1e-12 a pair - a chance of the order of a 64-bit hash collision, and the only one taken.
 
-No list is expanded to all its pairs at first. In star rounds each list's members are compared with one member,
-and what links becomes one component. At last all remaining pairs of a list in different components are compared. Every
-pair is verified on whole sets; a link between different texts is never lost.
+No list is expanded to all its pairs. In a round each list's members are measured against one of them, the
+centre (the member whose elements are the most common ones), and what links becomes one component. A member
+that does not link to its centre can link to another member only by what it does not share with the
+centre: near members (distance up to 4.5 link distances) are posted again under the elements that they or the centre have alone, in short
+new lists; others (above 3.45, by the triangle inequality) stay in their list for another centre. A linked pair is
+together in one of the two. Lists of one component are done, and what is left after the last round is compared pair by pair.
+Links are counted on whole sets; a link between different texts is never lost.
 
 Defined results: a null, empty or blank text has an empty set and links with nothing; a text of fewer words
 than a shingle has one shingle; equal rows and rows that share an id are nodes by their text; a null id
@@ -35,6 +39,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessera.llm.arrow import pieces
 from tessera.llm.common import sized, written
@@ -46,8 +51,12 @@ MISS = 1e-12
 SKETCH = {90: 32, 80: 48}
 #: No set of more elements enumerates subsets, whatever the cost.
 LIGHT_MOST = 20
-#: Star rounds before the remaining pairs are compared.
-STARS = 2
+#: Rounds of lists before the remaining pairs are compared, if these are not few enough before.
+ROUNDS = 5
+#: Pairs in lists for each node that cost less than another round.
+PAIRS_PER_NODE = 8
+#: Bounds of near and far members, in link distances; they overlap by more than one.
+NEAR, FAR = 4.5, 3.45
 #: Rows of the table of frequent elements.
 FREQUENT_ROWS = 1 << 18
 
@@ -88,18 +97,22 @@ def shingle_sets(data: np.ndarray, starts: np.ndarray, k: int) -> tuple[np.ndarr
     return row[fresh], out[fresh]
 
 
-@cache
-def sketch_plan(percent: int) -> tuple[int, int]:
-    """(elements of a sketch, least number that sketches of a linked pair share)."""
-    size = SKETCH.get(percent) or (32 if percent >= 90 else 96 if percent < 80 else 48)
-    t = percent / 100
+def least_common(size: int, similarity: float) -> int:
+    """Elements that two sketches of ``size`` share, but for a chance of MISS, if the sets are so similar."""
     tail, least = 0.0, 0
     while least < size:
-        tail += math.comb(size, least) * t**least * (1 - t) ** (size - least)
+        tail += math.comb(size, least) * similarity**least * (1 - similarity) ** (size - least)
         if tail > MISS:
             break
         least += 1
-    return size, max(1, least)
+    return least
+
+
+@cache
+def sketch_plan(percent: int) -> tuple[int, int]:
+    """(elements of a sketch, least number that sketches of a linked pair share)."""
+    size = SKETCH.get(percent) or (32 if percent >= 90 else 96 if percent < 80 else 48)
+    return size, max(1, least_common(size, percent / 100))
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -187,30 +200,32 @@ def _subset_keys(keys: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _postings(nodes: DataFrame, percent: int, x: int, frequent) -> DataFrame:
-    """(key, node): subset keys of light sets, prefix elements of heavy ones."""
+    """(key, node, weight): subset keys of light sets, prefix elements of heavy ones; how common its elements are."""
     spark = nodes.sparkSession
     shared = spark.sparkContext.broadcast(frequent)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot, often = shared.value
         for batch in batches:
-            keys, owners = [], []
+            keys, owners, weights = [], [], []
             for node, n, sketch in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 own = np.asarray(sketch.values)
+                f = np.zeros(len(own), np.int64)
+                if len(hot):
+                    at = np.minimum(np.searchsorted(hot, own), len(hot) - 1)
+                    f = np.where(hot[at] == own, often[at], 0)
                 if n <= x:
                     keys.append(_subset_keys(own, percent))
-                    owners.append(np.full(len(keys[-1]), node))
                 if n > x or 100 * n // percent > x:
-                    f = np.zeros(len(own), np.int64)
-                    if len(hot):
-                        at = np.minimum(np.searchsorted(hot, own), len(hot) - 1)
-                        f = np.where(hot[at] == own, often[at], 0)
-                    keys.append(own[np.lexsort((own, f))][:prefix_length(n, percent)])
-                    owners.append(np.full(len(keys[-1]), node))
+                    mine = own[np.lexsort((own, f))][:prefix_length(n, percent)]
+                    keys.append(np.concatenate([keys.pop(), mine]) if n <= x else mine)
+                owners.append(np.full(len(keys[-1]), node))
+                weights.append(np.full(len(keys[-1]), np.log2(1 + f).sum() / len(own)))
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).astype(np.int64)), pa.array(np.concatenate(owners).astype(np.int64))], names=["key", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).astype(np.int64)), pa.array(np.concatenate(owners).astype(np.int64)),
+                                                  pa.array(np.concatenate(weights))], names=["key", "node", "weight"])
 
-    return nodes.select("node", "n", "keys").mapInArrow(work, "key long, node long")
+    return nodes.select("node", "n", "keys").mapInArrow(work, "key long, node long, weight double")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -231,27 +246,69 @@ def components(edges: DataFrame) -> DataFrame:
         labels = fresh.select("node", "label")
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The linked ones of candidate ``pairs`` (a, b): first by sizes and sketches, then on whole sets."""
-    least = sketch_plan(percent)[1]
-    small = nodes.select("node", "n", "keys")
+def _measured(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent: int, similarity: float) -> DataFrame:
+    """``pairs`` (a, b) that may be as similar as ``similarity``, on whole sets: n_a, n_b, common, total (of the union), linked, delta.
+
+    ``delta``: the elements that one of the two has alone.
+    """
+    size = sketch_plan(percent)[0]
+
     def sides(left: DataFrame, table: DataFrame) -> DataFrame:
         for s in ("a", "b"):
             left = left.join(table.select(*[F.col(c).alias(s if c == "node" else f"{c}_{s}") for c in table.columns]), s)
         return left
-    near = sides(pairs, small)
+
+    near = sides(pairs, nodes.select("node", "n", "keys"))
     low, high = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
-    need = F.least(F.lit(least), F.ceil(low * percent / 100))
-    near = near.where((low * 100 >= high * percent) & (F.size(F.array_intersect("keys_a", "keys_b")) >= need)).select("a", "b")
+    need = F.least(F.lit(least_common(size, similarity)), F.floor(high * similarity))
+    near = near.where((low >= F.floor(high * similarity)) & (F.size(F.array_intersect("keys_a", "keys_b")) >= need)).select("a", "b")
     near = written(near, "jaccard-near")
     # The whole sets of the nodes left, from one text each.
     wanted = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
     keep = written(nodes.join(wanted, "node", "left_semi").select("node", F.col("from.doc_id").alias("k_id"), F.col("from.text_key").alias("k_key")), "jaccard-wanted")
     texts = docs.join(sized(keep), (F.col("text_key") == F.col("k_key")) & F.col("doc_id").eqNullSafe(F.col("k_id")), "left_semi")
     sets = written(_sets(texts, k, percent, True).select("node", "n", "keys").dropDuplicates(["node"]), "jaccard-sets")
-    full = sides(near, sets)
-    common = F.size(F.array_intersect("keys_a", "keys_b"))
-    return full.where(common * 100 >= (F.col("n_a") + F.col("n_b") - common) * percent).select("a", "b")
+    full = sides(near, sets).withColumn("common", F.size(F.array_intersect("keys_a", "keys_b")))
+    full = full.withColumn("total", F.col("n_a") + F.col("n_b") - F.col("common"))
+    linked = F.col("common") * 100 >= F.col("total") * percent
+    delta = F.concat(F.array_except("keys_a", "keys_b"), F.array_except("keys_b", "keys_a"))
+    return full.select("a", "b", "n_a", "n_b", "common", "total", linked.alias("linked"), delta.alias("delta"))
+
+
+def _next_lists(lists: DataFrame, measured: DataFrame, percent: int) -> DataFrame:
+    """Lists (key, node, comp, weight, center) still of several components -> the next round's.
+
+    With D the elements that a member or the centre has alone, two members differ by
+    ``|D_u| + |D_v| - 2 |common|``, so a member that failed to link shares a known part of D with each partner: a
+    prefix of D, rare elements first, shares one.
+    """
+    t = percent / 100
+    delta = 1 - t
+    gap = 1 - F.col("common") / F.col("total")
+    one = measured.select(F.col("a").alias("center"), F.col("b").alias("node"), F.col("n_b").alias("n"), gap.alias("gap"), "linked", "delta")
+    two = measured.select(F.col("b").alias("center"), F.col("a").alias("node"), F.col("n_a").alias("n"), gap.alias("gap"), "linked", "delta")
+    placed = lists.where("node != center").join(one.unionByName(two), ["center", "node"], "left")
+    # Most elements that a partner of the member may differ by, whatever the partner's size.
+    most = F.col("n") * (delta / (1 + t) * (1 + 1 / t))
+    d = F.size("delta")
+    near = placed.where(F.col("gap") <= NEAR * delta).dropDuplicates(["center", "node"]).select(
+        "center", "node", "comp", "weight", "linked", "delta", most.alias("most"), d.alias("d"))
+    # Without a member that failed to link, the centre has brought all its near members together.
+    least = near.groupBy("center").agg(F.min("d").alias("d_any"), F.min(F.when(~F.col("linked"), F.col("d"))).alias("d_open")).where("d_open IS NOT NULL")
+    near = near.join(least, "center")
+    # A linked member has to meet those only that failed.
+    need = F.ceil((F.col("d") + F.when(F.col("linked"), F.col("d_open")).otherwise(F.col("d_any")) - F.col("most")) / 2)
+    near = near.withColumn("need", need)
+    # So close to the bound that nothing need be shared: these stay in their list.
+    loose = near.where("need < 1 AND NOT linked").select("center", "node", F.lit(True).alias("loose"))
+    far = placed.join(loose, ["center", "node"], "left").where(F.col("gap").isNull() | (F.col("gap") > FAR * delta) | F.col("loose")).select("key", "node", "comp", "weight")
+    each = near.where("need >= 1").select("center", "node", "comp", "weight", "linked", (F.col("d") - F.col("need") + 1).alias("prefix"), F.explode("delta").alias("element"))
+    often = each.groupBy("center", "element").agg(F.count("*").alias("f"))
+    order = Window.partitionBy("center", "node").orderBy("f", "element")
+    first = each.join(often, ["center", "element"]).withColumn("place", F.row_number().over(order)).where(F.col("place") <= F.col("prefix"))
+    near = first.select(F.xxhash64("center", "element").alias("key"), "node", "comp", "weight", "linked")
+    useful = near.groupBy("key").agg(F.min("linked").alias("all_linked")).where("NOT all_linked").select("key")
+    return far.unionByName(near.join(useful, "key", "left_semi").drop("linked")).dropDuplicates(["key", "node"])
 
 
 def similar_groups(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -270,29 +327,35 @@ def similar_groups(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str =
     x = boundary([tuple(r) for r in sizes], percent)
 
     posted = written(_postings(nodes, percent, x, _frequent(keys)), "jaccard-postings")
-    lists = posted.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key")
-    posted = written(posted.join(lists, "key", "left_semi"), "jaccard-lists").withColumn("comp", F.col("node"))
-    tested = labels = links = None
-    for turn in range(STARS + 1):
+    lists, links, labels = posted.withColumn("comp", F.col("node")), None, None
+    delta, few = 1 - percent / 100, PAIRS_PER_NODE * nodes.count()
+    for turn in range(ROUNDS + 1):
         if labels is not None:
-            posted = posted.drop("comp").join(labels.withColumnRenamed("label", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        mixed = posted.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"),
-                                          F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node"), F.col("comp"))).alias("c")).where("lo < hi")
-        if turn < STARS:
-            # One member a list, another in each round, is the one that all others meet.
-            met = posted.join(mixed, "key").select("node", "comp", F.col("c.node").alias("other"), F.col("c.comp").alias("other_comp"))
+            lists = lists.drop("comp").join(labels.withColumnRenamed("label", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        mixed = lists.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.struct("weight", "node")).alias("c"), F.count("*").alias("members")).where("lo < hi")
+        lists = written(lists.join(mixed.select("key", F.col("c.node").alias("center"), "members"), "key"), "jaccard-lists")
+        open_pairs = lists.agg(F.sum((F.col("members") - 1) / 2)).first()[0]
+        if not open_pairs:
+            break
+        last = turn == ROUNDS or open_pairs <= few
+        if not last:
+            pairs = lists.where("node != center").select(F.least("node", "center").alias("a"), F.greatest("node", "center").alias("b"))
+            similarity = 1 - NEAR * delta
         else:
-            # What is left: members of one list in different components.
-            left = written(posted.join(mixed.select("key"), "key", "left_semi"), "jaccard-left")
-            met = left.join(left.select("key", F.col("node").alias("other"), F.col("comp").alias("other_comp")), "key").where("node < other")
-        pairs = met.where("comp != other_comp").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = written(pairs, "jaccard-pairs")
-        found = written(_verified(pairs, nodes, rows, k, percent), "jaccard-links")
-        tested = pairs if tested is None else tested.unionByName(pairs)
+            other = lists.select("key", F.col("node").alias("other"), F.col("comp").alias("other_comp"))
+            pairs = lists.join(other, "key").where("node < other AND comp != other_comp").select(F.col("node").alias("a"), F.col("other").alias("b"))
+            similarity = percent / 100
+        measured = written(_measured(written(pairs.distinct(), "jaccard-pairs"), nodes, rows, k, percent, similarity), "jaccard-measured")
+        found = measured.where("linked").select("a", "b")
         links = found if links is None else links.unionByName(found)
         labels = components(links)
+        if last:
+            break
+        lists = lists.drop("comp", "members").join(labels.withColumnRenamed("label", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        still = lists.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+        lists = written(_next_lists(lists.join(still, "key", "left_semi"), measured, percent), "jaccard-next")
+    if labels is None:
+        labels = nodes.select("node", F.col("node").alias("label"))
     named = nodes.select("node", "least").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = named.groupBy("label").agg(F.min("least").alias("component_id"))
     of_node = named.select("node", F.col("label").alias("group")).join(smallest.withColumnRenamed("label", "group"), "group").select("node", "component_id", "group")

@@ -243,6 +243,24 @@ def test_jaccard_small_sets_and_near_copies(spark):
         assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == brute_components(texts, k, percent)
 
 
+def test_jaccard_large_group_whose_copies_differ(spark):
+    """Copies of a text, and copies of copies, that link through others or not at all."""
+    rng = np.random.default_rng(5)
+    vocabulary = [f"v{i}" for i in range(5000)]
+    texts = {0: list(rng.choice(vocabulary, 150))}
+    for i in range(1, 260):
+        own = list(texts[0] if i < 120 else texts[int(rng.integers(0, 120))])
+        for _ in range(int(rng.integers(1, 8))):
+            own[int(rng.integers(0, len(own)))] = str(rng.choice(vocabulary))
+        texts[i] = own
+    texts = {i: " ".join(t) for i, t in texts.items()}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = brute_components(texts, 3, 90)
+    assert len({c for _, c in want.values()}) > 10
+    got = by_id(jaccard.similar_groups(df, 3, 90))
+    assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == want
+
+
 def test_jaccard_boundary_and_subsets():
     assert jaccard.subset_sizes(5, 90) == (5,) and jaccard.subset_count(12, 90) == 13
     rare = [(n, 1000, 10**9) for n in range(1, 20)]
