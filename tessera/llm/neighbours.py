@@ -164,7 +164,10 @@ def search(vectors: DataFrame, queries: DataFrame, top: int = TOP, id_col: str =
         nearest, "query long, class array<long>, score array<double>")
     # TABLES * probes * (top + 1) entries a query at most, for each block a bucket is dealt into.
     merged = met.select("query", F.arrays_zip("score", "class").alias("found")).groupBy("query").agg(
-        F.slice(F.sort_array(F.array_distinct(F.flatten(F.collect_list("found"))), asc=False), 1, 4 * (top + 1)).alias("found"))
+        F.sort_array(F.flatten(F.collect_list("found")), asc=False).alias("found"))
+    # Sorted, what was met more than once stands together.
+    fresh = F.filter("found", lambda x, i: (i == 0) | (x != F.get(F.col("found"), i - 1)))
+    merged = merged.select("query", F.slice(fresh, 1, 4 * (top + 1)).alias("found"))
     ranked = merged.select("query", F.inline("found")).join(members, "class")
     order = W.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     ranked = ranked.withColumn("r", F.row_number().over(order)).where(F.col("r") <= top + 1).select("query", "vec_id", "score")
