@@ -18,8 +18,8 @@ a chance below 1e-12 a pair - a chance of the order of a 64-bit hash collision,
 No list is expanded to all its pairs. In a round each list's members are measured against one of them, the
 centre (the member whose elements are the most common ones), and what links becomes one component. A member
 that does not link to its centre can link to another member only by what it does not share with the
-centre: near members (distance up to 4.5 link distances) are posted again under the elements that they or the centre have alone, in short
-new lists; others (above 3.45, by the triangle inequality) stay in their list for another centre. A linked pair is
+centre: near members (distance up to ``NEAR``) are posted again under the elements that they or the centre have alone, in short
+new lists; others (beyond ``NEAR`` less a link distance, by the triangle inequality) stay in their list for another centre. A linked pair is
 together in one of the two. Lists of one component are done, and what is left after the last round is compared pair by pair.
 Links are counted on whole sets; a link between different texts is never lost.
 
@@ -54,9 +54,9 @@ LIGHT_MOST = 20
 #: Rounds of lists before the remaining pairs are compared, if these are not few enough before.
 ROUNDS = 5
 #: Pairs in lists for each node that cost less than another round.
-PAIRS_PER_NODE = 8
-#: Bounds of near and far members, in link distances; they overlap by more than one.
-NEAR, FAR = 4.5, 3.45
+PAIRS_PER_NODE = 20
+#: Largest distance of a near member. Far ones begin more than a link distance below it.
+NEAR = 0.45
 #: Rows of the table of frequent elements.
 FREQUENT_ROWS = 1 << 18
 
@@ -291,7 +291,7 @@ def _next_lists(lists: DataFrame, measured: DataFrame, percent: int) -> DataFram
     # Most elements that a partner of the member may differ by, whatever the partner's size.
     most = F.col("n") * (delta / (1 + t) * (1 + 1 / t))
     d = F.size("delta")
-    near = placed.where(F.col("gap") <= NEAR * delta).dropDuplicates(["center", "node"]).select(
+    near = placed.where(F.col("gap") <= NEAR).dropDuplicates(["center", "node"]).select(
         "center", "node", "comp", "weight", "linked", "delta", most.alias("most"), d.alias("d"))
     # Without a member that failed to link, the centre has brought all its near members together.
     least = near.groupBy("center").agg(F.min("d").alias("d_any"), F.min(F.when(~F.col("linked"), F.col("d"))).alias("d_open")).where("d_open IS NOT NULL")
@@ -301,7 +301,7 @@ def _next_lists(lists: DataFrame, measured: DataFrame, percent: int) -> DataFram
     near = near.withColumn("need", need)
     # So close to the bound that nothing need be shared: these stay in their list.
     loose = near.where("need < 1 AND NOT linked").select("center", "node", F.lit(True).alias("loose"))
-    far = placed.join(loose, ["center", "node"], "left").where(F.col("gap").isNull() | (F.col("gap") > FAR * delta) | F.col("loose")).select("key", "node", "comp", "weight")
+    far = placed.join(loose, ["center", "node"], "left").where(F.col("gap").isNull() | (F.col("gap") > NEAR - 1.05 * delta) | F.col("loose")).select("key", "node", "comp", "weight")
     each = near.where("need >= 1").select("center", "node", "comp", "weight", "linked", (F.col("d") - F.col("need") + 1).alias("prefix"), F.explode("delta").alias("element"))
     often = each.groupBy("center", "element").agg(F.count("*").alias("f"))
     order = Window.partitionBy("center", "node").orderBy("f", "element")
@@ -328,7 +328,7 @@ def similar_groups(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str =
 
     posted = written(_postings(nodes, percent, x, _frequent(keys)), "jaccard-postings")
     lists, links, labels = posted.withColumn("comp", F.col("node")), None, None
-    delta, few = 1 - percent / 100, PAIRS_PER_NODE * nodes.count()
+    few = PAIRS_PER_NODE * nodes.count()
     for turn in range(ROUNDS + 1):
         if labels is not None:
             lists = lists.drop("comp").join(labels.withColumnRenamed("label", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
@@ -340,7 +340,7 @@ def similar_groups(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str =
         last = turn == ROUNDS or open_pairs <= few
         if not last:
             pairs = lists.where("node != center").select(F.least("node", "center").alias("a"), F.greatest("node", "center").alias("b"))
-            similarity = 1 - NEAR * delta
+            similarity = 1 - NEAR
         else:
             other = lists.select("key", F.col("node").alias("other"), F.col("comp").alias("other_comp"))
             pairs = lists.join(other, "key").where("node < other AND comp != other_comp").select(F.col("node").alias("a"), F.col("other").alias("b"))

@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pyarrow.parquet as pq
+import pytest
 
 from tessera.llm import decontaminate, jaccard, language, mixing, neighbours, queries, secrets, shards, spans, suffix, suffix_tree
 
@@ -243,8 +244,10 @@ def test_jaccard_small_sets_and_near_copies(spark):
         assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == brute_components(texts, k, percent)
 
 
-def test_jaccard_large_group_whose_copies_differ(spark):
-    """Copies of a text, and copies of copies, that link through others or not at all."""
+@pytest.mark.parametrize("pairs_per_node", [0, 20])
+def test_jaccard_large_group_whose_copies_differ(spark, monkeypatch, pairs_per_node):
+    """Copies of a text, and copies of copies, that link through others or not at all; by all rounds, and at once."""
+    monkeypatch.setattr(jaccard, "PAIRS_PER_NODE", pairs_per_node)
     rng = np.random.default_rng(5)
     vocabulary = [f"v{i}" for i in range(5000)]
     texts = {0: list(rng.choice(vocabulary, 150))}
