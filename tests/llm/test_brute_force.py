@@ -248,11 +248,12 @@ def test_jaccard_small_sets_and_near_copies(spark):
 def test_jaccard_large_group_whose_copies_differ(spark, monkeypatch, pairs_per_node):
     """Copies of a text, and copies of copies, that link through others or not at all; by all rounds, and at once."""
     monkeypatch.setattr(jaccard, "PAIRS_PER_NODE", pairs_per_node)
+    monkeypatch.setattr(jaccard, "ROUNDS", 1)
     rng = np.random.default_rng(5)
     vocabulary = [f"v{i}" for i in range(5000)]
     texts = {0: list(rng.choice(vocabulary, 150))}
-    for i in range(1, 260):
-        own = list(texts[0] if i < 120 else texts[int(rng.integers(0, 120))])
+    for i in range(1, 140):
+        own = list(texts[0] if i < 70 else texts[int(rng.integers(0, 70))])
         for _ in range(int(rng.integers(1, 8))):
             own[int(rng.integers(0, len(own)))] = str(rng.choice(vocabulary))
         texts[i] = own
