@@ -280,16 +280,16 @@ def _next_lists(lists: DataFrame, measured: DataFrame, percent: int) -> DataFram
 
     With D the elements that a member or the centre has alone, two members differ by
     ``|D_u| + |D_v| - 2 |common|``, so a member that failed to link shares a known part of D with each partner: a
-    prefix of D, rare elements first, shares one.
+    prefix of D, rare elements first, shares one. Members that may share nothing (loose ones) post all of D, for partners
+    that must share some, and stay in their list for each other.
     """
-    t = percent / 100
-    delta = 1 - t
+    delta = 1 - percent / 100
     gap = 1 - F.col("common") / F.col("total")
     one = measured.select(F.col("a").alias("center"), F.col("b").alias("node"), F.col("n_b").alias("n"), gap.alias("gap"), "linked", "delta")
     two = measured.select(F.col("b").alias("center"), F.col("a").alias("node"), F.col("n_a").alias("n"), gap.alias("gap"), "linked", "delta")
     placed = lists.where("node != center").join(one.unionByName(two), ["center", "node"], "left")
-    # Most elements that a partner of the member may differ by, whatever the partner's size.
-    most = F.col("n") * (delta / (1 + t) * (1 + 1 / t))
+    # Most elements that a linked partner of the member may differ by, whatever the partner's size.
+    most = F.floor(F.col("n") * (100 - percent) / percent)
     d = F.size("delta")
     near = placed.where(F.col("gap") <= NEAR).dropDuplicates(["center", "node"]).select(
         "center", "node", "comp", "weight", "linked", "delta", most.alias("most"), d.alias("d"))
@@ -299,10 +299,14 @@ def _next_lists(lists: DataFrame, measured: DataFrame, percent: int) -> DataFram
     # A linked member has to meet those only that failed.
     need = F.ceil((F.col("d") + F.when(F.col("linked"), F.col("d_open")).otherwise(F.col("d_any")) - F.col("most")) / 2)
     near = near.withColumn("need", need)
-    # So close to the bound that nothing need be shared: these stay in their list.
-    loose = near.where("need < 1 AND NOT linked").select("center", "node", F.lit(True).alias("loose"))
-    far = placed.join(loose, ["center", "node"], "left").where(F.col("gap").isNull() | (F.col("gap") > NEAR - 1.05 * delta) | F.col("loose")).select("key", "node", "comp", "weight")
-    each = near.where("need >= 1").select("center", "node", "comp", "weight", "linked", (F.col("d") - F.col("need") + 1).alias("prefix"), F.explode("delta").alias("element"))
+    # So close to the bound that nothing need be shared: two such members, one of them not linked, may share nothing, so
+    # these stay in their list as well where it holds a partner for them. All others share an element of D with every partner.
+    loose = placed.select("key", "center", "node").join(near.where("need < 1").select("center", "node", "linked", "d", "most"), ["center", "node"])
+    of_list = loose.groupBy("key").agg(F.min("d").alias("k_any"), F.min(F.when(~F.col("linked"), F.col("d"))).alias("k_open")).where("k_open IS NOT NULL")
+    loose = loose.join(of_list, "key").where(F.col("d") + F.when(F.col("linked"), F.col("k_open")).otherwise(F.col("k_any")) <= F.col("most"))
+    loose = loose.select("key", "node", F.lit(True).alias("loose"))
+    far = placed.join(loose, ["key", "node"], "left").where(F.col("gap").isNull() | (F.col("gap") > NEAR - 1.05 * delta) | F.col("loose")).select("key", "node", "comp", "weight")
+    each = near.select("center", "node", "comp", "weight", "linked", (F.col("d") - F.greatest("need", F.lit(1)) + 1).alias("prefix"), F.explode("delta").alias("element"))
     often = each.groupBy("center", "element").agg(F.count("*").alias("f"))
     order = Window.partitionBy("center", "node").orderBy("f", "element")
     first = each.join(often, ["center", "element"]).withColumn("place", F.row_number().over(order)).where(F.col("place") <= F.col("prefix"))

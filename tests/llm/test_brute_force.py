@@ -265,6 +265,29 @@ def test_jaccard_large_group_whose_copies_differ(spark, monkeypatch, pairs_per_n
     assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == want
 
 
+@pytest.mark.parametrize("percent", [80, 90])
+def test_jaccard_rounds_with_extended_and_cut_copies(spark, monkeypatch, percent):
+    """Members that link to each other and share nothing, or little, of what they do not share with their centre."""
+    monkeypatch.setattr(jaccard, "PAIRS_PER_NODE", 0)
+    rng = np.random.default_rng(percent)
+    texts = {}
+    for g in range(60):
+        n = int(rng.integers(60, 100))
+        base, extra = [f"g{g}b{i}" for i in range(n)], [f"g{g}e{i}" for i in range(40)]
+        most = n * (100 - percent) // percent
+        members = [base]
+        for _ in range(7):
+            more, less = int(rng.integers(0, most + 4)), int(rng.integers(0, 4))
+            members.append(base[less:] + list(rng.choice(extra, more, replace=False)))
+        members += [base + extra[:1], base + extra[:most], base[:-1], base[1:]]
+        for c, m in enumerate(members):
+            texts[g * 20 + c] = " ".join(m)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = brute_components(texts, 1, percent)
+    got = by_id(jaccard.similar_groups(df, 1, percent))
+    assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == want
+
+
 def test_jaccard_boundary_and_subsets():
     assert jaccard.subset_sizes(5, 90) == (5,) and jaccard.subset_count(12, 90) == 13
     rare = [(n, 1000, 10**9) for n in range(1, 20)]
