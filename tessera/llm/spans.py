@@ -2,7 +2,8 @@
 
 A text is cut into sentences; a long sentence is cut further after words chosen by their hash, so
 that the same passage is cut alike wherever it stands. From each sentence on, the run of several
-(``LEAST_SENTENCES``) or more consecutive sentences that reaches ``LEAST_WORDS`` words is hashed. Runs
+(``LEAST_SENTENCES``) or more consecutive sentences that reaches ``LEAST_WORDS`` words is hashed, and so is the
+shortest such run up to each sentence: two hashes a sentence cover every sentence of a longer repeated run. Runs
 are joined globally on the hash: a run that also occurs in a document with a smaller id, or
 earlier in its own, is a non-first one, and the sentences it covers are removed.
 
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.arrow import pieces
-from tessera.llm.common import written
+from tessera.llm.common import settled, written
 from tessera.llm.hashing import mix, span_hashes
 
 LEAST_SENTENCES = 2
@@ -89,24 +90,21 @@ def sentences(data: np.ndarray, starts: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def runs(found: dict[str, np.ndarray], least_sentences: int = LEAST_SENTENCES, least_words: int = LEAST_WORDS) -> tuple[np.ndarray, ...]:
-    """(first sentence, one past the last, hash) of every run that is long enough, within one text."""
+    """(first sentence, one past the last, hash) of the shortest long-enough run from and up to each sentence, within one text."""
     words, key, row = found["words"], found["key"], found["row"]
     n = len(words)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     upto = np.r_[0, np.cumsum(words)]
-    a = np.arange(n)
-    b = np.maximum(np.searchsorted(upto, upto[:-1] + least_words, side="left"), a + least_sentences)
+    at = np.arange(n)
+    b = np.maximum(np.searchsorted(upto, upto[:-1] + least_words, side="left"), at + least_sentences)
     ok = b <= n
-    ok[ok] &= row[np.minimum(b[ok], n) - 1] == row[a[ok]]
-    a, b = a[ok], b[ok]
-    # What is left at the end of a text stands in the shortest run that ends there.
-    edge = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-    stop = np.r_[edge[1:], n]
-    tail = np.minimum(np.searchsorted(upto, upto[stop] - least_words, side="right") - 1, stop - least_sentences)
-    fits = tail >= edge
-    tail, stop = tail[fits], stop[fits]
-    both = np.unique(np.r_[a, tail] * (n + 1) + np.r_[b, stop])
+    ok[ok] &= row[np.minimum(b[ok], n) - 1] == row[at[ok]]
+    # A repeated passage is covered to its last sentence by the shortest run that ends there.
+    a = np.minimum(np.searchsorted(upto, upto[1:] - least_words, side="right") - 1, at + 1 - least_sentences)
+    fits = a >= 0
+    fits[fits] &= row[a[fits]] == row[at[fits]]
+    both = np.unique(np.r_[at[ok], a[fits]] * (n + 1) + np.r_[b[ok], at[fits] + 1])
     a, b = both // (n + 1), both % (n + 1)
     out = np.zeros(len(a), np.uint64)
     open_, j = np.arange(len(a)), 0
@@ -149,11 +147,11 @@ def repeated_sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     each = packed.select("doc_id", "text_key", F.inline(F.arrays_zip("key", "a", "b", "again")))
     firsts = each.where(~F.col("again")).groupBy("key").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"),
                                                              F.max(F.col("doc_id").isNull()).alias("some_null"))
-    shared = written(firsts.where(F.col("first_id").isNotNull() & ((F.col("first_id") < F.col("last_id")) | F.col("some_null")))
+    shared = settled(firsts.where(F.col("first_id").isNotNull() & ((F.col("first_id") < F.col("last_id")) | F.col("some_null")))
                      .select("key", "first_id"), "span-shared")
     later = each.join(shared, "key").where(F.col("doc_id").isNull() | (F.col("doc_id") > F.col("first_id"))).select("doc_id", "text_key", "a", "b")
     gone = later.unionByName(each.where("again").select("doc_id", "text_key", "a", "b"))
-    return gone.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("a", "b")).alias("gone"))  # bounded by one text
+    return settled(gone.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("a", "b")).alias("gone")), "span-gone")  # bounded by one text
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", report: bool = False) -> DataFrame:

@@ -313,6 +313,26 @@ def test_spans_remove_later_passage(spark):
             assert got[i].text.startswith(texts[i][:40]) and got[i].text.endswith(texts[i][-40:])
 
 
+def test_spans_remove_whole_passage(spark):
+    """Every sentence of a repeated run goes, also the short ones at its end, wherever the passage stands."""
+    word = iter(f"w{i}x" for i in range(100_000))
+    sentence = lambda n: " ".join(next(word) for _ in range(n)).capitalize() + "."
+    cuts = [(12, 7, 5, 5), (10, 9, 5, 5), (11, 8, 4, 4, 3), (5, 5, 12, 12, 1), (4, 4, 4, 4, 4, 4, 2)]
+    passages = [" ".join(sentence(n) for n in c) for c in cuts]
+    texts = {}
+    for k, p in enumerate(passages):
+        texts[10 * k] = sentence(9) + " " + p + " " + sentence(8)
+        texts[10 * k + 1] = sentence(7) + " " + p + " " + sentence(6)
+        texts[10 * k + 2] = sentence(7) + " " + p
+        texts[10 * k + 3] = p + " " + sentence(11)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = by_id(spans.remove_repeats(df, report=True))
+    for k, p in enumerate(passages):
+        assert got[10 * k].n_removed == 0
+        for i in range(10 * k + 1, 10 * k + 4):
+            assert got[i].n_removed == len(cuts[k]) and got[i].text.split() == texts[i].replace(p, "").split()
+
+
 def test_spans_against_plain_runs(spark, documents):
     """The operator's own cut into sentences, joined by plain dictionaries."""
     seen, want, own = {}, {}, {}
