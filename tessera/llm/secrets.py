@@ -2,8 +2,8 @@
 
 Candidate strings are long runs of key characters. A window slides over each; symbol counts
 change by one in and one out, so the entropy of every window costs a constant. The threshold
-depends on the character class of the window. Windows over it are merged to spans; allow-listed
-shapes and what a base pattern has found already are suppressed.
+depends on the character class of the window. Windows over it are merged to spans; windows over allow-listed
+shapes and spans that a base pattern has found already are suppressed.
 
 One pass over the texts in Arrow batches, no shuffle; memory is bounded by a batch.
 
@@ -34,15 +34,22 @@ KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 
 #: Window of the entropy scan, in characters; shorter candidates are not judged.
 WINDOW = 20
-#: Least bits per character by class of the window's characters (20 distinct ones have 4.32).
-#: Words of letters alone come near 3.9, so letters need almost all distinct.
-BITS = {"hex": 3.3, "letters": 4.2, "mixed": 3.6}
-#: Shapes that are no secrets: UUIDs, runs of one symbol, the alphabet, and documentation samples.
-ALLOW = (
-    re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"),
-    re.compile(r"(?i)example|sample|placeholder|x{8}|0123456789|abcdefghij"),
-    re.compile(r"[a-z]+(?:[-_/][a-z]+)+", re.IGNORECASE),
-)
+
+
+def expected_bits(symbols: int, n: int = WINDOW) -> float:
+    """Mean entropy of ``n`` random characters of an alphabet of so many symbols."""
+    return math.log2(n) - symbols / n * sum(math.comb(n, c) * (1 / symbols) ** c * (1 - 1 / symbols) ** (n - c) * c * math.log2(c) for c in range(1, n + 1))
+
+
+#: So much below the mean, about 99 of 100 random keys of 32 characters have a window that reaches the threshold.
+BELOW = 0.2
+#: Least bits per character by class of the window's characters (20 distinct ones have 4.32): hex digits of one case, letters
+#: of one case, letters of both, letters with separators (paths of words come near 3.9), digits and letters.
+BITS = {"hex": expected_bits(16) - BELOW, "one_case": expected_bits(26) - BELOW, "two_cases": expected_bits(52) - BELOW, "letters": 4.2, "mixed": 3.6}
+#: Shapes that are no secrets: UUIDs, documentation samples, runs of one symbol, the alphabet, and words (shorter than a window) with separators.
+UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
+SAMPLE = re.compile(r"(?i)example|sample|placeholder|x{8,}|0123456789|abcdefghij")
+PATH = re.compile(rf"[a-z]{{1,{WINDOW - 1}}}(?:[-_/][a-z]{{1,{WINDOW - 1}}})+", re.IGNORECASE)
 
 _CANDIDATE = np.zeros(256, bool)
 _CANDIDATE[[c for c in range(128) if chr(c).isalnum() or chr(c) in "+/_=-"]] = True
@@ -50,13 +57,17 @@ _HEX = np.zeros(256, bool)
 _HEX[[ord(c) for c in "0123456789abcdef"]] = True
 
 
-def _class(digits: int, letters: int, hexes: int, n: int) -> str | None:
-    """Class of a window from its counts of digits, letters and lower-case hex digits."""
+def _class(digits: int, letters: int, hexes: int, n: int, upper_hexes: int = 0, lowers: int = 0) -> str | None:
+    """Class of a window from its counts of digits, letters, lower-case and upper-case hex digits and lower-case letters."""
     if digits == n or not letters:
         return None
-    if hexes == n:
+    if hexes == n or upper_hexes == n:
         return "hex"
-    return "letters" if not digits else "mixed"
+    if digits:
+        return "mixed"
+    if letters < n:
+        return "letters"
+    return "one_case" if lowers in (0, n) else "two_cases"
 
 
 def entropy_spans(s: str, window: int = WINDOW, bits: dict | None = None) -> list[tuple[int, int]]:
@@ -67,7 +78,7 @@ def entropy_spans(s: str, window: int = WINDOW, bits: dict | None = None) -> lis
         return []
     weigh = [0.0] + [c * math.log2(c) for c in range(1, window + 1)]
     counts: dict[str, int] = {}
-    total = digits = letters = hexes = 0.0
+    total = digits = letters = hexes = upper_hexes = lowers = 0.0
     found: list[tuple[int, int]] = []
     for i, ch in enumerate(s):
         c = counts.get(ch, 0)
@@ -76,6 +87,8 @@ def entropy_spans(s: str, window: int = WINDOW, bits: dict | None = None) -> lis
         digits += "0" <= ch <= "9"
         letters += ch.isalpha()
         hexes += ch in "0123456789abcdef"
+        upper_hexes += ch in "0123456789ABCDEF"
+        lowers += "a" <= ch <= "z"
         if i >= window:
             old = s[i - window]
             c = counts[old]
@@ -84,8 +97,10 @@ def entropy_spans(s: str, window: int = WINDOW, bits: dict | None = None) -> lis
             digits -= "0" <= old <= "9"
             letters -= old.isalpha()
             hexes -= old in "0123456789abcdef"
+            upper_hexes -= old in "0123456789ABCDEF"
+            lowers -= "a" <= old <= "z"
         if i >= window - 1:
-            kind = _class(digits, letters, hexes, window)
+            kind = _class(digits, letters, hexes, window, upper_hexes, lowers)
             if kind and math.log2(window) - total / window >= bits[kind]:
                 a, b = i - window + 1, i + 1
                 if found and a <= found[-1][1]:
@@ -95,8 +110,15 @@ def entropy_spans(s: str, window: int = WINDOW, bits: dict | None = None) -> lis
     return found
 
 
-def _allowed(s: str) -> bool:
-    return any(p.fullmatch(s) if k != 1 else p.search(s) for k, p in enumerate(ALLOW))
+def judged_spans(s: str) -> list[tuple[int, int]]:
+    """Entropy spans of a candidate, of the windows that overlap no sample; a UUID or a path of words is none."""
+    if UUID.fullmatch(s):
+        return []
+    out, begin = [], 0
+    for a, b in [*(m.span() for m in SAMPLE.finditer(s)), (len(s), len(s))]:
+        out += [(begin + x, begin + y) for x, y in entropy_spans(s[begin:a])]
+        begin = b
+    return [(x, y) for x, y in out if not UUID.fullmatch(s[x:y]) and not PATH.fullmatch(s[x:y])]
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -135,15 +157,13 @@ def scan_piece(data: np.ndarray, starts: np.ndarray) -> dict[int, tuple[list, li
         out.setdefault(row, ([], []))[0].append(("hex", p, p + int(b - a)))
     for a, b in zip(*runs(_CANDIDATE[data], starts, WINDOW)):
         s = raw[a:b].decode("ascii")
-        if _allowed(s):
-            continue
-        spans = entropy_spans(s)
+        spans = judged_spans(s)
         if spans:
             row = int(np.searchsorted(starts, a, side="right")) - 1
             p, entry = point(row, a), out.setdefault(row, ([], []))
             base = entry[0]
             entry[1].extend(("entropy", p + x, p + y) for x, y in spans
-                            if not _allowed(s[x:y]) and not any(u <= p + x and p + y <= v for _, u, v in base))
+                            if not any(u <= p + x and p + y <= v for _, u, v in base))
     return out
 
 
