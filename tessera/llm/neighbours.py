@@ -5,7 +5,9 @@ to one whose nearest signed axis is its bucket; several rotations make several t
 the axes nearest to it in every table, and what it meets is ranked by exact inner products.
 
 The largest inner product becomes the smallest angle by one more coordinate: an indexed vector x gets
-``sqrt(M^2 - |x|^2)`` (M: the largest norm), a query gets 0.
+``sqrt(M^2 - |x|^2)``, a query gets 0. M is the largest norm of the vector's band: norms are banded by factors of
+sqrt(2) below the largest, so that long vectors do not send the others into one bucket, and a query probes every band.
+A query that finds fewer than ``top`` rows in its buckets is compared with all rows, in blocks too.
 
 Equal vectors are one class, searched once; of a class only its ``top + 1`` smallest ids can be in an
 answer, so no more are kept, and nothing is lost. A bucket is joined in blocks of bounded size on both sides
@@ -13,8 +15,8 @@ answer, so no more are kept, and nothing is lost. A bucket is joined in blocks o
 bucket is met. Each block keeps a query's best ``top + 1``, which is all that the final merge can use.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components take no part,
-neither do those of another length than ``dim``; ties go to the smaller id; with fewer candidates than ``top`` all that
-are found are returned; rows that share an id and a vector are one row; an empty table has no rows.
+neither do those of another length than ``dim``; ties go to the smaller id; with fewer candidates than ``top`` all of them
+are returned; rows that share an id and a vector are one row; an empty table has no rows.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tessera.llm.common import written
+from tessera.llm.common import sized, written
 
 #: Tables, and the share of a table's buckets that a query probes. Measured recall: see the README.
 TABLES = 10
@@ -64,8 +66,8 @@ def _padded(x: np.ndarray, extra: np.ndarray) -> np.ndarray:
     return out
 
 
-def buckets(x: np.ndarray, largest: float) -> np.ndarray:
-    """Bucket of each indexed vector in each table: the axis, plus the dimension if negative."""
+def buckets(x: np.ndarray, largest: np.ndarray) -> np.ndarray:
+    """Bucket of each indexed vector (largest norm of its band) in each table: the axis, plus the dimension if negative."""
     x = _padded(x, np.sqrt(np.maximum(largest**2 - (x * x).sum(axis=1), 0)))
     out = np.empty((len(x), TABLES), np.int32)
     for t in range(TABLES):
@@ -111,7 +113,10 @@ def search(vectors: DataFrame, queries: DataFrame, top: int = TOP, id_col: str =
     # Of equal vectors the smallest ids; Spark limits each group before it shuffles.
     smallest = F.row_number().over(W.partitionBy("class").orderBy("vec_id"))
     members = written(rows.select("class", "vec_id").distinct().withColumn("r", smallest).where(F.col("r") <= top + 1).drop("r"), "ann-members")
-    vec_of = written(rows.groupBy("class").agg(F.any_value("vec").alias("vec")), "ann-classes")
+    band = F.floor(2 * F.log2(F.lit(largest) / F.sqrt("square")))
+    vec_of = written(rows.withColumn("band", band).groupBy("class").agg(F.any_value("vec").alias("vec"), F.any_value("band").alias("band"), F.any_value("square").alias("square")), "ann-classes")
+    # A row per band: two for each power of two between the norms.
+    bands = {r["band"]: float(np.sqrt(r["square"])) for r in vec_of.groupBy("band").agg(F.max("square").alias("square")).collect()}
     wanted = written(asked.groupBy("class").agg(F.any_value("vec").alias("vec")), "ann-queries")
 
     def floats(column: pa.Array) -> np.ndarray:
@@ -120,8 +125,8 @@ def search(vectors: DataFrame, queries: DataFrame, top: int = TOP, id_col: str =
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                b = buckets(floats(batch.column(1)), largest)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(b), pa.list_(pa.int32()))], names=["class", "vec", "b"])
+                b = buckets(floats(batch.column(1)), np.array([bands[k] for k in batch.column(2).to_pylist()]))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(list(b), pa.list_(pa.int32()))], names=["class", "vec", "band", "b"])
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,19 +136,20 @@ def search(vectors: DataFrame, queries: DataFrame, top: int = TOP, id_col: str =
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(flat), pa.list_(pa.int32()))], names=["class", "vec", "b"])
 
     kind = "class long, vec array<double>, b array<int>"
-    stored = vec_of.mapInArrow(index, kind).select("class", "vec", F.posexplode("b").alias("t", "b")).select(
-        "class", "vec", (F.col("t") * (1 << 20) + F.col("b")).alias("bucket"))
+    stored = vec_of.select("class", "vec", "band").mapInArrow(index, "class long, vec array<double>, band long, b array<int>").select(
+        "class", "vec", "band", F.posexplode("b").alias("t", "b")).select("class", "vec", "band", (F.col("t") * (1 << 20) + F.col("b")).alias("bucket"))
     probing = wanted.mapInArrow(probe, kind).select("class", "vec", F.explode("b").alias("bucket"))
-    # A row per bucket: TABLES times twice the dimension, whatever the input.
-    held = stored.groupBy("bucket").agg(F.count("*").alias("n"))
+    # A row per band and bucket: TABLES times twice the dimension for each band.
+    held = stored.groupBy("band", "bucket").agg(F.count("*").alias("n"))
     asks = probing.groupBy("bucket").agg(F.count("*").alias("q"))
-    blocks = written(held.join(asks, "bucket").select("bucket", F.ceil(F.col("n") / INDEX_BLOCK).cast("int").alias("parts"),
+    blocks = written(held.join(asks, "bucket").select("band", "bucket", F.ceil(F.col("n") / INDEX_BLOCK).cast("int").alias("parts"),
                                                      F.ceil(F.col("q") / PROBE_BLOCK).cast("int").alias("turns")), "ann-blocks")
-    grid = F.broadcast(blocks)
-    stored = stored.join(grid, "bucket").withColumn("part", F.pmod(F.xxhash64("class"), "parts").cast("int")) \
-        .withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1))).select("bucket", "part", "turn", "class", "vec")
+    grid = sized(blocks)
+    place = ["band", "bucket", "part", "turn"]
+    stored = stored.join(grid, ["band", "bucket"]).withColumn("part", F.pmod(F.xxhash64("class"), "parts").cast("int")) \
+        .withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1))).select(*place, "class", "vec")
     probing = probing.join(grid, "bucket").withColumn("turn", F.pmod(F.xxhash64("class", F.lit(1)), "turns").cast("int")) \
-        .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("bucket", "part", "turn", "class", "vec")
+        .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(*place, "class", "vec")
 
     def nearest(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []
@@ -160,18 +166,37 @@ def search(vectors: DataFrame, queries: DataFrame, top: int = TOP, id_col: str =
                 out.extend(zip(q["class"].to_numpy()[k:k + 256], names[best], exact))
         return pd.DataFrame({"query": [o[0] for o in out], "class": [o[1] for o in out], "score": [o[2] for o in out]})
 
-    met = probing.groupBy("bucket", "part", "turn").cogroup(stored.groupBy("bucket", "part", "turn")).applyInPandas(
-        nearest, "query long, class array<long>, score array<double>")
-    # TABLES * probes * (top + 1) entries a query at most, for each block a bucket is dealt into.
-    merged = met.select("query", F.arrays_zip("score", "class").alias("found")).groupBy("query").agg(
-        F.sort_array(F.flatten(F.collect_list("found")), asc=False).alias("found"))
-    # Sorted, what was met more than once stands together.
-    fresh = F.filter("found", lambda x, i: (i == 0) | (x != F.get(F.col("found"), i - 1)))
-    merged = merged.select("query", F.slice(fresh, 1, 4 * (top + 1)).alias("found"))
-    ranked = merged.select("query", F.inline("found")).join(members, "class")
-    order = W.partitionBy("query").orderBy(F.desc("score"), "vec_id")
-    ranked = ranked.withColumn("r", F.row_number().over(order)).where(F.col("r") <= top + 1).select("query", "vec_id", "score")
     ids = asked.select(F.col("class").alias("query"), F.col("vec_id").alias("query_id")).distinct()
-    each = ids.join(ranked, "query").where("vec_id != query_id")
-    place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return each.withColumn("rank", place.cast("int")).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
+
+    def answers(probing: DataFrame, stored: DataFrame) -> DataFrame:
+        """(query, query_id, rank, vec_id, score) of what ``probing`` meets in ``stored``, block by block."""
+        met = probing.groupBy(*place).cogroup(stored.groupBy(*place)).applyInPandas(nearest, "query long, class array<long>, score array<double>")
+        # TABLES * probes * (top + 1) entries a query and band at most, for each block a bucket is dealt into.
+        merged = met.select("query", F.arrays_zip("score", "class").alias("found")).groupBy("query").agg(
+            F.sort_array(F.flatten(F.collect_list("found")), asc=False).alias("found"))
+        # Sorted, what was met more than once stands together.
+        fresh = F.filter("found", lambda x, i: (i == 0) | (x != F.get(F.col("found"), i - 1)))
+        merged = merged.select("query", F.slice(fresh, 1, 4 * (top + 1)).alias("found"))
+        ranked = merged.select("query", F.inline("found")).join(members, "class")
+        order = W.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+        ranked = ranked.withColumn("r", F.row_number().over(order)).where(F.col("r") <= top + 1).select("query", "vec_id", "score")
+        each = ids.join(ranked, "query").where("vec_id != query_id")
+        rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        return each.withColumn("rank", rank.cast("int")).where(F.col("rank") <= top).select("query", "query_id", "rank", "vec_id", "score")
+
+    first = written(answers(probing, stored), "ann-answers")
+    result = ["query_id", "rank", "vec_id", "score"]
+    full = first.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= top)
+    short = written(ids.join(full, "query_id", "left_anti"), "ann-short")
+    if not short.limit(1).count():
+        return first.select(*result)
+    # Too few rows met: all rows, in blocks.
+    again = wanted.join(short.select(F.col("query").alias("class")).distinct(), "class", "left_semi")
+    parts, turns = (max(1, -(-df.count() // size)) for df, size in ((vec_of, INDEX_BLOCK), (again, PROBE_BLOCK)))
+    one = [F.lit(0).alias("band"), F.lit(0).alias("bucket")]
+    dealt = lambda seed, n: F.pmod(F.xxhash64("class", F.lit(seed)), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    stored = vec_of.select(*one, dealt(0, parts).alias("part"), every(turns).alias("turn"), "class", "vec")
+    probing = again.select(*one, every(parts).alias("part"), dealt(1, turns).alias("turn"), "class", "vec")
+    whole = answers(probing, stored).join(short.select("query_id"), "query_id", "left_semi")
+    return first.join(short.select("query_id"), "query_id", "left_anti").unionByName(whole).select(*result)

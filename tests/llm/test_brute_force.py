@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, jaccard, language, mixing, neighbours, queries, secrets, shards, spans, suffix, suffix_tree
 
@@ -81,6 +82,28 @@ def test_neighbours_recall_and_scores(spark):
     assert hits >= 0.9 * total
 
 
+def test_neighbours_few_rows_and_unequal_norms(spark):
+    """Fewer rows than an answer has are all found; one row of 100 times the norm, and mixed norms, hide no other rows."""
+    rng = np.random.default_rng(4)
+
+    def compared(v, asked):
+        df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+        got = collections.defaultdict(list)
+        for r in sorted(neighbours.search(df, df.where(F.col("vec_id") < asked)).collect(), key=lambda r: (r.query_id, r.rank)):
+            got[r.query_id].append(r.vec_id)
+        return [(got[q], sorted((j for j in range(len(v)) if j != q), key=lambda j: (-(v[j] @ v[q]), j))[:20]) for q in range(asked)]
+
+    few = rng.normal(size=(15, 16))
+    assert all(mine == best for mine, best in compared(few, 15))
+    many = rng.normal(size=(600, 16))
+    many /= np.linalg.norm(many, axis=1)[:, None]
+    many[599] *= 100
+    for v in (many, many * np.exp(rng.normal(size=(600, 1)))):
+        both = compared(v, 100)
+        assert all(len(mine) == 20 for mine, _ in both)
+        assert sum(len({*mine} & {*best}) for mine, best in both) >= 0.9 * 20 * len(both)
+
+
 def brute_suffix(texts, length=50):
     first, out = set(), {}
     for i in sorted(texts):
