@@ -12,7 +12,7 @@ A query that finds fewer than ``top`` rows in its buckets is compared with all r
 Equal vectors are one class, searched once; of a class only its ``top + 1`` smallest ids can be in an
 answer, so no more are kept, and nothing is lost. A bucket is joined in blocks of bounded size on both sides
 (index rows dealt by hash, probes by another), whatever its share of the rows; every index row of a probed
-bucket is met. Each block keeps a query's best ``top + 1``, which is all that the final merge can use.
+bucket is met. Each block keeps a query's best ``top + 1``, of equal scores the classes of smallest ids, which is all that the final merge can use.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components take no part,
 neither do those of another length than ``dim``; ties go to the smaller id; with fewer candidates than ``top`` all of them
@@ -114,7 +114,7 @@ def search(vectors: DataFrame, queries: DataFrame, top: int = TOP, id_col: str =
     smallest = F.row_number().over(W.partitionBy("class").orderBy("vec_id"))
     members = written(rows.select("class", "vec_id").distinct().withColumn("r", smallest).where(F.col("r") <= top + 1).drop("r"), "ann-members")
     band = F.floor(2 * F.log2(F.lit(largest) / F.sqrt("square")))
-    vec_of = written(rows.withColumn("band", band).groupBy("class").agg(F.any_value("vec").alias("vec"), F.any_value("band").alias("band"), F.any_value("square").alias("square")), "ann-classes")
+    vec_of = written(rows.withColumn("band", band).groupBy("class").agg(F.min("vec_id").alias("least"), F.any_value("vec").alias("vec"), F.any_value("band").alias("band"), F.any_value("square").alias("square")), "ann-classes")
     # A row per band: two for each power of two between the norms.
     bands = {r["band"]: float(np.sqrt(r["square"])) for r in vec_of.groupBy("band").agg(F.max("square").alias("square")).collect()}
     wanted = written(asked.groupBy("class").agg(F.any_value("vec").alias("vec")), "ann-queries")
@@ -126,7 +126,7 @@ def search(vectors: DataFrame, queries: DataFrame, top: int = TOP, id_col: str =
         for batch in batches:
             if batch.num_rows:
                 b = buckets(floats(batch.column(1)), np.array([bands[k] for k in batch.column(2).to_pylist()]))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(list(b), pa.list_(pa.int32()))], names=["class", "vec", "band", "b"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), batch.column(3), pa.array(list(b), pa.list_(pa.int32()))], names=["class", "vec", "band", "least", "b"])
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,8 +136,8 @@ def search(vectors: DataFrame, queries: DataFrame, top: int = TOP, id_col: str =
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(flat), pa.list_(pa.int32()))], names=["class", "vec", "b"])
 
     kind = "class long, vec array<double>, b array<int>"
-    stored = vec_of.select("class", "vec", "band").mapInArrow(index, "class long, vec array<double>, band long, b array<int>").select(
-        "class", "vec", "band", F.posexplode("b").alias("t", "b")).select("class", "vec", "band", (F.col("t") * (1 << 20) + F.col("b")).alias("bucket"))
+    stored = vec_of.select("class", "vec", "band", "least").mapInArrow(index, "class long, vec array<double>, band long, least long, b array<int>").select(
+        "class", "vec", "band", "least", F.posexplode("b").alias("t", "b")).select("class", "vec", "band", "least", (F.col("t") * (1 << 20) + F.col("b")).alias("bucket"))
     probing = wanted.mapInArrow(probe, kind).select("class", "vec", F.explode("b").alias("bucket"))
     # A row per band and bucket: TABLES times twice the dimension for each band.
     held = stored.groupBy("band", "bucket").agg(F.count("*").alias("n"))
@@ -147,7 +147,7 @@ def search(vectors: DataFrame, queries: DataFrame, top: int = TOP, id_col: str =
     grid = sized(blocks)
     place = ["band", "bucket", "part", "turn"]
     stored = stored.join(grid, ["band", "bucket"]).withColumn("part", F.pmod(F.xxhash64("class"), "parts").cast("int")) \
-        .withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1))).select(*place, "class", "vec")
+        .withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1))).select(*place, "class", "vec", "least")
     probing = probing.join(grid, "bucket").withColumn("turn", F.pmod(F.xxhash64("class", F.lit(1)), "turns").cast("int")) \
         .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(*place, "class", "vec")
 
@@ -156,27 +156,33 @@ def search(vectors: DataFrame, queries: DataFrame, top: int = TOP, id_col: str =
         if len(q) and len(x):
             x = x.sort_values("class")
             a, b = np.stack(q["vec"].to_numpy()), np.stack(x["vec"].to_numpy())
-            names = x["class"].to_numpy()
+            names, least = x["class"].to_numpy(), x["least"].to_numpy()
+            length = np.sqrt((b * b).sum(axis=1)).max()
             take = min(top + 1, len(b))
             for k in range(0, len(a), 256):
                 s = a[k:k + 256] @ b.T
-                best = np.argpartition(-s, take - 1, axis=1)[:, :take]
-                # The exact score of a pair doesn't depend on the block that it is met in.
-                exact = (a[k:k + 256, None, :] * b[best]).sum(axis=2)
-                out.extend(zip(q["class"].to_numpy()[k:k + 256], names[best], exact))
-        return pd.DataFrame({"query": [o[0] for o in out], "class": [o[1] for o in out], "score": [o[2] for o in out]})
+                # The product may differ from the exact score by rounding, so ties are told from what is near the last place.
+                last = np.partition(s, len(b) - take, axis=1)[:, len(b) - take]
+                slack = 1e-12 * length * np.sqrt((a[k:k + 256] ** 2).sum(axis=1))
+                for j, name in enumerate(q["class"].to_numpy()[k:k + 256]):
+                    best = np.flatnonzero(s[j] >= last[j] - slack[j])
+                    # The exact score of a pair doesn't depend on the block that it is met in.
+                    exact = (a[k + j] * b[best]).sum(axis=1)
+                    order = np.lexsort((least[best], -exact))[:take]
+                    out.append((name, names[best[order]], exact[order], least[best[order]]))
+        return pd.DataFrame({"query": [o[0] for o in out], "class": [o[1] for o in out], "score": [o[2] for o in out], "least": [o[3] for o in out]})
 
     ids = asked.select(F.col("class").alias("query"), F.col("vec_id").alias("query_id")).distinct()
 
     def answers(probing: DataFrame, stored: DataFrame) -> DataFrame:
         """(query, query_id, rank, vec_id, score) of what ``probing`` meets in ``stored``, block by block."""
-        met = probing.groupBy(*place).cogroup(stored.groupBy(*place)).applyInPandas(nearest, "query long, class array<long>, score array<double>")
+        met = probing.groupBy(*place).cogroup(stored.groupBy(*place)).applyInPandas(nearest, "query long, class array<long>, score array<double>, least array<long>")
         # TABLES * probes * (top + 1) entries a query and band at most, for each block a bucket is dealt into.
-        merged = met.select("query", F.arrays_zip("score", "class").alias("found")).groupBy("query").agg(
+        merged = met.select("query", F.arrays_zip("score", F.transform("least", F.bitwise_not).alias("before"), "class").alias("found")).groupBy("query").agg(
             F.sort_array(F.flatten(F.collect_list("found")), asc=False).alias("found"))
-        # Sorted, what was met more than once stands together.
+        # Of equal scores the class of the smallest id comes first. Sorted, what was met more than once stands together.
         fresh = F.filter("found", lambda x, i: (i == 0) | (x != F.get(F.col("found"), i - 1)))
-        merged = merged.select("query", F.slice(fresh, 1, 4 * (top + 1)).alias("found"))
+        merged = merged.select("query", F.slice(fresh, 1, top + 1).alias("found"))
         ranked = merged.select("query", F.inline("found")).join(members, "class")
         order = W.partitionBy("query").orderBy(F.desc("score"), "vec_id")
         ranked = ranked.withColumn("r", F.row_number().over(order)).where(F.col("r") <= top + 1).select("query", "vec_id", "score")
@@ -196,7 +202,7 @@ def search(vectors: DataFrame, queries: DataFrame, top: int = TOP, id_col: str =
     one = [F.lit(0).alias("band"), F.lit(0).alias("bucket")]
     dealt = lambda seed, n: F.pmod(F.xxhash64("class", F.lit(seed)), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    stored = vec_of.select(*one, dealt(0, parts).alias("part"), every(turns).alias("turn"), "class", "vec")
+    stored = vec_of.select(*one, dealt(0, parts).alias("part"), every(turns).alias("turn"), "class", "vec", "least")
     probing = again.select(*one, every(parts).alias("part"), dealt(1, turns).alias("turn"), "class", "vec")
     whole = answers(probing, stored).join(short.select("query_id"), "query_id", "left_semi")
     return first.join(short.select("query_id"), "query_id", "left_anti").unionByName(whole).select(*result)

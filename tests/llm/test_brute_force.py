@@ -104,6 +104,20 @@ def test_neighbours_few_rows_and_unequal_norms(spark):
         assert sum(len({*mine} & {*best}) for mine, best in both) >= 0.9 * 20 * len(both)
 
 
+def test_neighbours_ties_of_many_vectors(spark):
+    """Of more distinct vectors of one score than an answer holds, the smallest ids."""
+    rows = [(q, np.eye(256)[0].tolist()) for q in (0,)] + [(i, (0.5 * np.eye(256)[0] + np.eye(256)[i]).tolist()) for i in range(1, 250)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = df.repartition(3).where("vec_id > 0").unionByName(df.where("vec_id = 0"))
+    probing = neighbours.PROBE_SHARE
+    try:
+        neighbours.PROBE_SHARE = 1
+        got = neighbours.search(whole, df.where("vec_id = 0")).collect()
+    finally:
+        neighbours.PROBE_SHARE = probing
+    assert [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r.rank)] == [(i, 0.5) for i in range(1, 21)]
+
+
 def brute_suffix(texts, length=50):
     first, out = set(), {}
     for i in sorted(texts):
