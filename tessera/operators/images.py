@@ -348,3 +348,55 @@ def quarter_turn_expr(rgb, height, width, channels: int = 3) -> Column:
         return F.get(rgb, ((column * w + (w - 1 - row)) * c + channel).cast("int"))
 
     return F.transform(F.sequence(F.lit(0).cast("bigint"), (h * w * c - 1).cast("bigint")), source)
+
+
+def turned_bytes(content, angle, height, width, channels: int = 3) -> Column:
+    """IM-2 for quarter turns of raw pixel bytes: row-major, channels last; null for other angles.
+
+    The turned picture is a map of places: each pixel of the result is read from its place in ``content``.
+    """
+    content, angle, h, w = (F.col(x) if isinstance(x, str) else x for x in (content, angle, height, width))
+    turns = F.pmod(F.round(angle / 90.0), F.lit(4)).cast("int")
+    wide = F.when(turns % 2 == 1, h).otherwise(w)  # of the result
+    text = F.hex(content)
+
+    def source(i):
+        row, column = F.floor(i / wide), i % wide
+        from_row = F.when(turns == 1, column).when(turns == 2, h - 1 - row).when(turns == 3, h - 1 - column).otherwise(row)
+        from_column = F.when(turns == 1, w - 1 - row).when(turns == 2, w - 1 - column).when(turns == 3, row).otherwise(column)
+        return F.substr(text, ((from_row * w + from_column) * (2 * channels) + 1).cast("int"), F.lit(2 * channels))
+
+    pixels = F.transform(F.sequence(F.lit(0).cast("bigint"), (h * w - 1).cast("bigint")), source)
+    return F.when(angle % 90.0 == 0.0, F.unhex(F.array_join(pixels, "")))
+
+
+def byte_values(content) -> Column:
+    """The bytes of a binary column as an array of numbers 0 to 255."""
+    content = F.col(content) if isinstance(content, str) else content
+    text, n = F.hex(content), F.octet_length(content)
+    each = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.conv(F.substr(text, i * 2 + 1, F.lit(2)), 16, 10).cast("int"))
+    return F.when(n > 0, each).otherwise(F.array().cast("array<int>"))
+
+
+def channel_planar_expr(pixels, height, width, channels: int = 3) -> Column:
+    """FN-11: row-major pixels, channels last (HWC), to one plane after the other (CHW); any element type, no Python.
+
+    A map of places: value ``(c, y, x)`` of the result is read from ``(y, x, c)``.
+    """
+    pixels, h, w = (F.col(x) if isinstance(x, str) else x for x in (pixels, height, width))
+    area = (h * w).cast("int")
+    places = F.sequence(F.lit(0), area * channels - 1)
+    return F.when(area > 0, F.transform(places, lambda i: F.get(pixels, ((i % area) * channels + F.floor(i / area)).cast("int")))).otherwise(F.slice(pixels, 1, 0))
+
+
+def has_shape(values, c, h, w, want: tuple[int, int, int] = (3, OUTPUT_SIZE, OUTPUT_SIZE)) -> Column:
+    """FN-11 check: the picture is ``want`` (channels, height, width), and as many values are there."""
+    values, c, h, w = (F.col(x) if isinstance(x, str) else x if isinstance(x, Column) else F.lit(x) for x in (values, c, h, w))
+    return (c == want[0]) & (h == want[1]) & (w == want[2]) & (F.size(values) == want[0] * want[1] * want[2])
+
+
+def require_shape(values, c, h, w, want: tuple[int, int, int] = (3, OUTPUT_SIZE, OUTPUT_SIZE)) -> Column:
+    """FN-11: ``values``, or a failure of the job where their shape is another one."""
+    text = F.concat_ws("x", *[(F.col(x) if isinstance(x, str) else x if isinstance(x, Column) else F.lit(x)).cast("string") for x in (c, h, w)])
+    out = F.col(values) if isinstance(values, str) else values
+    return F.when(has_shape(values, c, h, w, want), out).otherwise(F.raise_error(F.concat(F.lit("Image tensor shape mismatch: "), text)))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import canonical_id, null_tokens
@@ -92,15 +92,35 @@ def split_assets(resolved: DataFrame, split_col: str = "split") -> DataFrame:
     return rows.groupBy(split_col, "name").agg(F.min("file").alias("file")).select(split_col, "name", "file.path", "file.angle")
 
 
+def asset_contents(assets: DataFrame, files: DataFrame, turn: Callable[[Column, Column], Column] | None = None,
+                   split_col: str = "split") -> DataFrame:
+    """``(split, name, path, angle, content, digest)`` of every asset; nothing is left out.
+
+    ``files`` is a ``binaryFile`` scan ``(path, content)``, a path once. An asset whose file is not there fails the job in the plan. A copy
+    with an angle holds ``turn(content, angle)``, never its original's bytes: without ``turn``, and where it gives
+    null, the job fails. ``digest`` is the SHA-256 of the content.
+    """
+    bodies = files.select(F.col("path").alias("_path"), F.col("content").alias("_body"))
+    joined = assets.join(bodies, F.col("path") == F.col("_path"), "left")
+
+    def refuse(reason: str) -> Column:
+        return F.raise_error(F.concat(F.lit(reason), F.col("name"), F.lit(" from "), F.coalesce("path", F.lit("no file")))).cast("binary")
+
+    turned = turn(F.col("_body"), F.col("angle")) if turn else F.lit(None).cast("binary")
+    content = (F.when(F.col("_body").isNull(), refuse("No contents for "))
+               .when(F.coalesce("angle", F.lit(0.0)) == 0.0, F.col("_body"))
+               .otherwise(F.coalesce(turned, refuse("No turned contents for "))))
+    out = joined.select(split_col, "name", "path", "angle", content.alias("content"))
+    return out.withColumn("digest", F.sha2("content", 256))
+
+
 def write_split_assets(assets: DataFrame, files: DataFrame, out_dir: str,
-                       split_col: str = "split") -> None:
-    """SC-7/SC-8 sink: ``(split, name, content)`` parquet, partitioned by split.
+                       split_col: str = "split", turn: Callable[[Column, Column], Column] | None = None) -> None:
+    """SC-7/SC-8 sink: :func:`asset_contents` as parquet, partitioned by split.
 
-    ``files`` is a ``binaryFile`` scan ``(path, content)``; content is joined here, once, after
-    all lookups ran on names only.
+    Content is joined here, once, after all lookups ran on names only.
     """
-    with_bytes = assets.join(files.select("path", "content"), "path", "inner")
-    with_bytes.select(split_col, "name", "content").write.mode("overwrite").partitionBy(split_col).parquet(out_dir)
+    asset_contents(assets, files, turn, split_col).write.mode("overwrite").partitionBy(split_col).parquet(out_dir)
 
 
 def write_results(df: DataFrame, path: str) -> None:
