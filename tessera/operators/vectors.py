@@ -56,6 +56,11 @@ def apply_mask(v, mask) -> Column:
     return F.transform(_c(v), lambda x: x * _c(mask).cast("double"))
 
 
+def invert_mask(mask) -> Column:
+    """FN-7: the padding flag, true where the validity flag is 0."""
+    return _c(mask) == 0
+
+
 def denormalize(v, clamp: bool = True) -> Column:
     """FN-6: ``(x + 1) / 2``, clamped to [0, 1] unless ``clamp=False``. NaN stays NaN."""
     def f(x):
@@ -77,25 +82,33 @@ def matrix(weights: np.ndarray) -> Column:
     return F.expr("array(" + ", ".join("array(" + ", ".join(f"{float(x)!r}D" for x in w[:, j]) + ")" for j in range(w.shape[1])) + ")")
 
 
-def project(v, weights: np.ndarray) -> Column:
-    """FN-8: ``y_j = sum_i v_i * W[i, j]`` for a fixed ``W`` (d_in x d_out).
+def _literal(values: np.ndarray) -> Column:
+    return F.expr("array(" + ", ".join(f"{float(x)!r}D" for x in np.asarray(values, dtype=float)) + ")")
+
+
+def project(v, weights: np.ndarray, bias: np.ndarray | None = None) -> Column:
+    """FN-8: ``y_j = sum_i v_i * W[i, j] + b_j`` for a fixed ``W`` (d_in x d_out) and ``b`` (none: zeros).
 
-    The matrix is a literal of the plan (bounded by the parameter, not by the data). Above
+    Matrix and bias are literals of the plan (bounded by the parameter, not by the data). Above
     some tens of thousands of values use :func:`project_arrow`.
     """
     v = _c(v)
-    return F.transform(matrix(weights), lambda column: dot(v, column))
+    out = F.transform(matrix(weights), lambda column: dot(v, column))
+    return out if bias is None else F.zip_with(out, _literal(bias), lambda y, b: y + b)
 
 
-def project_arrow(df: DataFrame, vec_col: str, weights: np.ndarray, out_col: str = "proj") -> DataFrame:
+def project_arrow(df: DataFrame, vec_col: str, weights: np.ndarray, out_col: str = "proj", bias: np.ndarray | None = None) -> DataFrame:
     """FN-8, large-matrix form: numpy matmul per Arrow batch inside a pandas UDF."""
     w = np.asarray(weights, dtype=np.float64)
-    bw = df.sparkSession.sparkContext.broadcast(w)
+    b = np.zeros(w.shape[1]) if bias is None else np.asarray(bias, dtype=np.float64)
+    shared = df.sparkSession.sparkContext.broadcast((w, b))
 
     @F.pandas_udf("array<double>")
     def _proj(s: pd.Series) -> pd.Series:
+        if not len(s):
+            return pd.Series([], dtype=object)
         m = np.stack(s.to_numpy())
-        return pd.Series(list(m @ bw.value))
+        return pd.Series(list(m @ shared.value[0] + shared.value[1]))
 
     return df.withColumn(out_col, _proj(F.col(vec_col)))
 
@@ -167,21 +180,29 @@ def collect_vector(long: DataFrame, key_cols: Sequence[str], dim_col: str = "dim
                     lambda s: s["v"]).alias(out_col))
 
 
-#: Largest bound of a score: beyond it exp() of a score minus its bound could vanish for all positions.
-SCORE_BOUND = 300.0
+#: Width of a block of scores. Within a block ``exp(score - start of the block)`` is at most ``e**256``, far from overflow.
+SCORE_BLOCK = 256.0
 
 
-def _head_queries(q: Column, heads: int, query_proj, key_proj) -> Column:
-    """One query per head in the space of the unprojected keys: ``q W_q`` cut by heads, times ``W_k^T``."""
+def _head_queries(q: Column, heads: int, query_proj, key_proj, query_bias, key_bias) -> Column:
+    """One query per head in the space of the unprojected keys: ``q W_q + b_q`` cut by heads, times ``W_k^T``.
+
+    Its last coordinate is the query's product with the key bias: keys are read with a coordinate 1 behind them.
+    """
     if query_proj is not None:
-        q = project(q, query_proj)
+        q = project(q, query_proj, query_bias)
+    elif query_bias is not None:
+        q = F.zip_with(q, _literal(query_bias), lambda x, b: x + b)
     size = F.size(q) / heads
     parts = [F.slice(q, (size * h + 1).cast("int"), size.cast("int")) for h in range(heads)]
     if key_proj is None:
         if heads > 1:
             raise ValueError("several heads need a key projection")
-        return F.array(parts[0])
+        return F.array(F.concat(parts[0], F.array(F.lit(0.0) if key_bias is None else dot(parts[0], _literal(key_bias)))))
     w = np.asarray(key_proj, dtype=float)
+    b = np.zeros(w.shape[1]) if key_bias is None else np.asarray(key_bias, dtype=float)
+    # One row more: the bias.
+    w = np.vstack([w, b])
     width = w.shape[1] // heads
     return F.array(*[project(p, w[:, h * width:(h + 1) * width].T) for h, p in enumerate(parts)])
 
@@ -189,67 +210,81 @@ def _head_queries(q: Column, heads: int, query_proj, key_proj) -> Column:
 def attention_pool(vecs: DataFrame, seq_col: str = "seq_id", mask_col: str = "mask", vec_col: str = "vec",
                    id_col: str = "vec_id", query_proj: np.ndarray | None = None, key_proj: np.ndarray | None = None,
                    value_proj: np.ndarray | None = None, out_proj: np.ndarray | None = None, heads: int = 1,
-                   eps: float = 1e-9) -> tuple[DataFrame, DataFrame]:
+                   eps: float = 1e-9, query_bias: np.ndarray | None = None, key_bias: np.ndarray | None = None,
+                   value_bias: np.ndarray | None = None, out_bias: np.ndarray | None = None) -> tuple[DataFrame, DataFrame]:
     """AG-10/AG-11: one-query scaled dot-product attention over the valid positions of a sequence.
 
     query = projected masked mean; per head, score_p = q . k_p / sqrt(head width) for valid p; weights =
     softmax over valid positions (masked positions get weight 0), averaged over the heads; output =
     projection of the heads' sum_p w_p v_p. Returns ``(pooled long (seq, dim, x), weights (seq, id, w))``.
 
-    Projections are linear, so keys and values are never projected row by row: the query takes the key
-    matrix, and the pooled vector the value matrix. Pooling reads the rows twice and joins once: the
-    first pass gives each sequence its query and its largest key norm, the second sums ``e`` and
-    ``e * v``. The softmax is shifted by the bound ``|q| * max|k|``, which needs no pass of its own; a
-    sequence whose bound exceeds ``SCORE_BOUND`` fails rather than lose its weights to underflow.
+    Projections are affine, so keys and values are never projected row by row: the query takes the key
+    matrix (and, as one more coordinate, the key bias), and the pooled vector the value matrix and bias. Pooling reads the rows twice and joins once:
+    the first pass gives each sequence its query, the second sums ``e`` and ``e * v``. The softmax has a state that merges, per
+    block of scores ``SCORE_BLOCK`` wide: the block, the sum of ``exp(score - start of the block)`` and the weighted sum of the
+    vectors. States of a block add up in any order (partial sums on the map side), and those of a sequence are brought to its highest
+    block at the end, so scores may be of any size and no pass looks for a maximum.
     """
     valid = F.col(mask_col) != 0
-    long = vecs.select(seq_col, F.col(mask_col).cast("double").alias("_m"), F.when(valid, l2_norm(vec_col)).alias("_k"),
-                       F.posexplode(vec_col).alias("dim", "_x"))
-    mean = long.groupBy(seq_col, "dim").agg((F.sum(F.col("_m") * F.col("_x")) / (F.sum("_m") + F.lit(eps))).alias("x"), F.max("_k").alias("_k"))
-    per = mean.groupBy(seq_col).agg(F.array_sort(F.collect_list(F.struct(F.col("dim").alias("d"), F.col("x").alias("v")))).alias("_q"), F.max("_k").alias("_k"))
-    per = per.select(seq_col, F.transform("_q", lambda s: s["v"]).alias("_q"), "_k")
+    mean = masked_mean_pool(vecs, seq_col, mask_col, vec_col, eps)
+    per = collect_vector(mean, [seq_col], out_col="_q")
     width = np.asarray(query_proj).shape[1] // heads if query_proj is not None else None
     scale = F.sqrt(F.lit(float(width)) if width else F.size("_q").cast("double"))
-    per = per.select(seq_col, "_k", scale.alias("_scale"), _head_queries(F.col("_q"), heads, query_proj, key_proj).alias("_heads"))
-    bound = F.array_max(F.transform("_heads", l2_norm)) * F.coalesce("_k", F.lit(0.0)) / F.col("_scale")
-    bound = F.when(bound > SCORE_BOUND, F.raise_error(F.lit("attention scores may exceed the softmax range")).cast("double")).otherwise(bound)
-    per = per.select(F.col(seq_col).alias("_seq"), "_heads", "_scale", bound.alias("_bound"))
+    per = per.select(F.col(seq_col).alias("_seq"), scale.alias("_scale"),
+                     _head_queries(F.col("_q"), heads, query_proj, key_proj, query_bias, key_bias).alias("_heads"))
 
     joined = vecs.join(per, F.col(seq_col).eqNullSafe(F.col("_seq")))
-    v = F.col(vec_col)
-    e = F.transform("_heads", lambda q: F.when(valid, F.exp(dot(v, q) / F.col("_scale") - F.col("_bound"))).otherwise(F.lit(0.0)))
-    scored = joined.withColumn("_e", e)
-    sums = (scored.select(seq_col, vec_col, F.posexplode("_e").alias("_h", "_w")).select(seq_col, "_h", "_w", F.posexplode(vec_col).alias("dim", "_x"))
-            .groupBy(seq_col, "_h", "dim").agg(F.sum("_w").alias("_z"), F.sum(F.col("_w") * F.col("_x")).alias("_s")))
-    # An all-masked sequence has nothing to attend to: NaN, as the reference yields.
-    pooled = sums.select(seq_col, "_h", "dim", F.when(F.col("_z") > 0, F.col("_s") / F.col("_z")).otherwise(F.lit(NAN)).alias("x"))
-    if value_proj is not None or out_proj is not None or heads > 1:
-        pooled = _project_heads(pooled, seq_col, heads, value_proj, out_proj)
+    v = F.concat(F.col(vec_col), F.array(F.lit(1.0)))
+    scored = joined.withColumn("_s", F.transform("_heads", lambda q: F.when(valid, dot(v, q) / F.col("_scale"))))
+    block = F.transform("_s", lambda s: F.floor(s / SCORE_BLOCK))
+    state = F.transform(F.arrays_zip("_s", "_b"), lambda x: F.struct(
+        x["_b"].alias("b"), F.exp(x["_s"] - x["_b"] * SCORE_BLOCK).alias("e")))
+    scored = scored.withColumn("_b", block).withColumn("_e", state)
+    long = scored.select(seq_col, vec_col, F.posexplode("_e").alias("_h", "_e")).select(seq_col, "_h", F.col("_e.b").alias("_b"), F.col("_e.e").alias("_w"), vec_col)
+    long = long.select(seq_col, "_h", "_b", "_w", F.posexplode(vec_col).alias("dim", "_x"))
+    states = long.groupBy(seq_col, "_h", "dim", "_b").agg(F.sum("_w").alias("_z"), F.sum(F.col("_w") * F.col("_x")).alias("_s"))
+    # Masked positions have no block; a sequence without valid ones has nothing to attend to: NaN, as the reference yields.
+    merged = states.groupBy(seq_col, "_h", "dim").agg(F.max("_b").alias("_top"), F.collect_list(F.when(F.col("_b").isNotNull(), F.struct("_b", "_z", "_s"))).alias("_all"))
+    down = lambda x: F.exp((x["_b"] - F.col("_top")) * SCORE_BLOCK)
+    merged = merged.select(seq_col, "_h", "dim", "_top", F.aggregate("_all", F.lit(0.0), lambda a, x: a + x["_z"] * down(x)).alias("_z"),
+                           F.aggregate("_all", F.lit(0.0), lambda a, x: a + x["_s"] * down(x)).alias("_s"))
+    pooled = merged.select(seq_col, "_h", "dim", F.when(F.col("_top").isNotNull(), F.col("_s") / F.col("_z")).otherwise(F.lit(NAN)).alias("x"))
+    if any(x is not None for x in (value_proj, out_proj, value_bias, out_bias)) or heads > 1:
+        pooled = _project_heads(pooled, seq_col, heads, value_proj, out_proj, value_bias, out_bias)
     else:
         pooled = pooled.drop("_h")
 
-    z = scored.groupBy(seq_col).agg(*[F.sum(F.col("_e")[h]).alias(f"_z{h}") for h in range(heads)])
-    z = z.select(F.col(seq_col).alias("_zseq"), F.array(*[F.col(f"_z{h}") for h in range(heads)]).alias("_z"))
-    shares = F.zip_with("_e", "_z", lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(NAN)))
+    z = scored.select(seq_col, F.posexplode("_e").alias("_h", "_e")).groupBy(seq_col, "_h", F.col("_e.b").alias("_b")).agg(F.sum("_e.e").alias("_z"))
+    z = z.groupBy(seq_col, "_h").agg(F.max("_b").alias("_top"), F.collect_list(F.when(F.col("_b").isNotNull(), F.struct("_b", "_z"))).alias("_all"))
+    z = z.select(seq_col, "_h", "_top", F.aggregate("_all", F.lit(0.0), lambda a, x: a + x["_z"] * down(x)).alias("_z"))
+    z = z.groupBy(seq_col).agg(F.sort_array(F.collect_list(F.struct("_h", "_top", "_z"))).alias("_z")).select(F.col(seq_col).alias("_zseq"), "_z")  # a row per head
+    shares = F.zip_with("_e", "_z", lambda e, z: F.when(z["_top"].isNull(), F.lit(NAN)).otherwise(
+        F.coalesce(e["e"] * F.exp((e["b"] - z["_top"]) * SCORE_BLOCK) / z["_z"], F.lit(0.0))))
     weight = F.aggregate(shares, F.lit(0.0), lambda a, b: a + b) / heads
     weights = scored.join(z, F.col(seq_col).eqNullSafe(F.col("_zseq"))).select(seq_col, id_col, weight.alias("w"))
     return pooled, weights
 
 
-def _project_heads(pooled: DataFrame, seq_col: str, heads: int, value_proj, out_proj) -> DataFrame:
-    """Per sequence: each head's vector by its columns of ``W_v``, side by side, then ``W_o``; long form."""
+def _project_heads(pooled: DataFrame, seq_col: str, heads: int, value_proj, out_proj, value_bias, out_bias) -> DataFrame:
+    """Per sequence: each head's vector by its columns of ``W_v`` and its part of ``b_v``, side by side, then ``W_o`` and ``b_o``; long form."""
     per = collect_vector(pooled, [seq_col, "_h"], out_col="_v").groupBy(seq_col).agg(F.sort_array(F.collect_list(F.struct("_h", "_v"))).alias("_all"))
     if value_proj is None:
         if heads > 1:
             raise ValueError("several heads need a value projection")
         out = F.col("_all")[0]["_v"]
+        if value_bias is not None:
+            out = F.zip_with(out, _literal(value_bias), lambda x, b: x + b)
     else:
         w = np.asarray(value_proj, dtype=float)
+        b = np.zeros(w.shape[1]) if value_bias is None else np.asarray(value_bias, dtype=float)
         width = w.shape[1] // heads
-        out = F.concat(*[project(F.col("_all")[h]["_v"], w[:, h * width:(h + 1) * width]) for h in range(heads)])
+        cut = [slice(h * width, (h + 1) * width) for h in range(heads)]
+        out = F.concat(*[project(F.col("_all")[h]["_v"], w[:, cut[h]], b[cut[h]]) for h in range(heads)])
     per = per.select(seq_col, out.alias("_o"))
     if out_proj is not None:
-        per = per.select(seq_col, project("_o", out_proj).alias("_o"))
+        per = per.select(seq_col, project("_o", out_proj, out_bias).alias("_o"))
+    elif out_bias is not None:
+        per = per.select(seq_col, F.zip_with("_o", _literal(out_bias), lambda x, b: x + b).alias("_o"))
     return per.select(seq_col, F.posexplode("_o").alias("dim", "x"))
 
 
@@ -258,20 +293,22 @@ def attention_pool_rows(tokens, mask, eps: float = 1e-9) -> Column:
 
     Identity projections; project the result with :func:`project`. Without a valid position: NaNs.
     """
-    tokens, mask = _c(tokens), F.transform(_c(mask), lambda m: m.cast("double"))
-    zero = F.transform(tokens[0], lambda x: F.lit(0.0))
+    def total(values: Column) -> Column:
+        return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
 
-    def weighted(weights: Column) -> Column:
+    def weighted(tokens: Column, weights: Column) -> Column:
         scaled = F.zip_with(tokens, weights, lambda t, w: F.transform(t, lambda x: x * w))
-        return F.aggregate(scaled, zero, lambda a, t: F.zip_with(a, t, lambda x, y: x + y))
+        return _let(scaled, lambda s: F.aggregate(F.slice(s, F.lit(2), F.size(s)), F.get(s, F.lit(0)), lambda a, t: F.zip_with(a, t, lambda x, y: x + y)))
+
+    def pooled(tokens: Column, mask: Column) -> Column:
+        query = F.transform(weighted(tokens, mask), lambda x: x / (total(mask) + F.lit(eps)))
+        scores = _let(query, lambda q: F.zip_with(tokens, mask, lambda t, m: F.when(m != 0, dot(t, q) / F.sqrt(F.size(t).cast("double")))))
+        e = _let(scores, lambda s: _let(F.array_max(s), lambda top: F.transform(s, lambda x: F.coalesce(F.exp(x - top), F.lit(0.0)))))
+        return _let(e, lambda e: _let(total(e), lambda z: F.transform(weighted(tokens, e), lambda x: F.when(z > 0, x / z).otherwise(F.lit(NAN)))))
+
+    return _let(_c(tokens), lambda t: _let(F.transform(_c(mask), lambda m: m.cast("double")), lambda m: pooled(t, m)))
 
-    def total(values: Column) -> Column:
-        return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
 
-    n = total(mask) + F.lit(eps)
-    query = F.transform(weighted(mask), lambda x: x / n)
-    scores = F.zip_with(tokens, mask, lambda t, m: F.when(m != 0, dot(t, query) / F.sqrt(F.size(t).cast("double"))))
-    top = F.array_max(scores)
-    e = F.transform(scores, lambda x: F.coalesce(F.exp(x - top), F.lit(0.0)))
-    z = total(e)
-    return F.transform(weighted(e), lambda x: F.when(z > 0, x / z).otherwise(F.lit(NAN)))
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once: an expression that a lambda repeats would be computed for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -272,3 +272,88 @@ def composite_white(spark, sf_dir):
     long = r.select("vec_id", F.posexplode("rgb").alias("i", "value"))
     return long.select("vec_id", (F.col("i") / 3).cast("int").alias("pixel"),
                        (F.col("i") % 3).cast("int").alias("channel"), F.col("value").cast("int").alias("value"))
+
+
+@query("masked_vectors", with_(Q.VEC_LONG) + """
+SELECT vec_id, dim, round(x * mask, 6) + 0.0 AS x, mask = 0 AS padding FROM vl""")
+def masked_vectors(spark, sf_dir):
+    """FN-7: the validity mask applied to every vector, and the inverted mask."""
+    v = B.vectors(spark, sf_dir).select("vec_id", V.apply_mask("vec", "mask").alias("v"), V.invert_mask("mask").alias("padding"))
+    return v.select("vec_id", "padding", F.posexplode("v").alias("dim", "_x")).select("vec_id", "dim", _r(F.col("_x"), "x"), "padding")
+
+
+_AFFINE_B = [(j * 5 % 7 - 3) / 4.0 for j in range(4)]
+
+
+@query("affine_vectors", with_(Q.VEC_LONG) + """
+SELECT vec_id, CAST(j AS INTEGER) AS j, round(sum(x * cos(dim * (j + 1))) + (j * 5 % 7 - 3) / 4.0, 6) AS y
+FROM vl, range(4) t(j) GROUP BY vec_id, j""")
+def affine_vectors(spark, sf_dir):
+    """FN-8 with a bias: 64 -> 4, ``W[i, j] = cos(i * (j + 1))``, ``b[j] = (5 j mod 7 - 3) / 4``."""
+    v = B.vectors(spark, sf_dir).withColumn("p", V.project("vec", _PROJ_W, _AFFINE_B))
+    return _long(v, "p", ["vec_id"], dim="j", val="y")
+
+
+def _fixed_bias(a: int, n: int = 64) -> np.ndarray:
+    """A fixed bias: ``(a j mod 7 - 3) / 10``."""
+    return (a * np.arange(n) % 7 - 3) / 10.0
+
+
+def _biased(src: str, out: str, a: int, b: int, bias: int, keys: str) -> str:
+    return (f"{out} AS (SELECT {keys}, j.dim, sum(i.x * {_fixed_sql(a, b)}) + CAST({bias} * j.dim % 7 - 3 AS DOUBLE) / 10.0 AS x "
+            f"FROM {src} i, (SELECT DISTINCT dim FROM vl) j GROUP BY {keys}, j.dim)")
+
+
+_HEADS = [Q.VEC_LONG, "m AS (SELECT seq_id, dim, sum(mask * x) / (sum(mask) + 1e-9) AS x FROM vl GROUP BY seq_id, dim)",
+          "ok AS (SELECT seq_id, vec_id, dim, x FROM vl WHERE mask <> 0)",
+          _biased("m", "q", 7, 3, 2, "i.seq_id"), _biased("ok", "k", 5, 2, 3, "i.seq_id, i.vec_id"), _biased("ok", "v", 3, 8, 4, "i.seq_id, i.vec_id"),
+          "s AS (SELECT k.seq_id, k.vec_id, k.dim // 32 AS h, sum(k.x * q.x) / sqrt(32.0) AS s FROM k JOIN q ON q.seq_id = k.seq_id AND q.dim = k.dim GROUP BY ALL)",
+          "e AS (SELECT *, exp(s - max(s) OVER (PARTITION BY seq_id, h)) AS e FROM s)",
+          "w AS (SELECT seq_id, vec_id, h, e / sum(e) OVER (PARTITION BY seq_id, h) AS w FROM e)",
+          "p AS (SELECT v.seq_id, v.dim, sum(w.w * v.x) AS x FROM v JOIN w ON w.seq_id = v.seq_id AND w.vec_id = v.vec_id AND w.h = v.dim // 32 GROUP BY v.seq_id, v.dim)",
+          _biased("p", "o", 4, 9, 5, "i.seq_id")]
+
+
+def _two_heads(spark, sf_dir):
+    return V.attention_pool(B.vectors(spark, sf_dir), heads=2, query_proj=_fixed_matrix(7, 3), key_proj=_fixed_matrix(5, 2), value_proj=_fixed_matrix(3, 8),
+                            out_proj=_fixed_matrix(4, 9), query_bias=_fixed_bias(2), key_bias=_fixed_bias(3), value_bias=_fixed_bias(4), out_bias=_fixed_bias(5))
+
+
+@query("attention_heads", with_(*_HEADS) + """
+SELECT seq_id AS label, CAST(dim AS INTEGER) AS dim, round(x, 6) AS x FROM o""")
+def attention_heads(spark, sf_dir):
+    """AG-10 with two heads and the weights and biases of query, key, value and output."""
+    return _two_heads(spark, sf_dir)[0].select(F.col("seq_id").alias("label"), "dim", _r(F.col("x"), "x"))
+
+
+@query("attention_head_weights", with_(*_HEADS) + """
+SELECT m.label, m.vec_id, round(coalesce(a.w, 0.0), 6) AS w FROM embeddings m LEFT JOIN (SELECT vec_id, avg(w) AS w FROM w GROUP BY vec_id) a USING (vec_id)""")
+def attention_head_weights(spark, sf_dir):
+    """AG-11 with two heads: weights averaged over the heads."""
+    return _two_heads(spark, sf_dir)[1].select(F.col("seq_id").alias("label"), "vec_id", _r(F.col("w"), "w"))
+
+
+@query("attention_large_scores", with_(Q.VEC_LONG.replace("CAST(unnest(embedding) AS DOUBLE)", "400.0 * CAST(unnest(embedding) AS DOUBLE)"), *ATTN[1:]) + """
+SELECT vl.seq_id AS label, vl.dim, round(sum(w.w * vl.x), 6) AS x
+FROM vl JOIN w ON vl.seq_id = w.seq_id AND vl.vec_id = w.vec_id GROUP BY vl.seq_id, vl.dim""")
+def attention_large_scores(spark, sf_dir):
+    """AG-10 on vectors 400 times as long: scores in the thousands."""
+    vecs = B.vectors(spark, sf_dir).withColumn("vec", F.transform("vec", lambda x: x * 400.0))
+    pooled, _ = V.attention_pool(vecs)
+    return pooled.select(F.col("seq_id").alias("label"), "dim", _r(F.col("x"), "x"))
+
+
+@query("attention_rows", with_("""tk AS (
+  SELECT vec_id, (dim // 8) AS t, dim % 8 AS d, x, CASE WHEN (vec_id + dim // 8) % 3 <> 0 THEN 1 ELSE 0 END AS mask FROM (
+    SELECT vec_id, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS dim, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings))""",
+                               "q AS (SELECT vec_id, d, sum(mask * x) / (sum(mask) + 1e-9) AS q FROM tk GROUP BY vec_id, d)",
+                               "sc AS (SELECT vec_id, t, sum(x * q) / sqrt(8.0) AS s FROM tk JOIN q USING (vec_id, d) WHERE mask = 1 GROUP BY vec_id, t)",
+                               "e AS (SELECT vec_id, t, exp(s - max(s) OVER (PARTITION BY vec_id)) AS e FROM sc)") + """
+SELECT vec_id, CAST(d AS INTEGER) AS dim, round(sum(e * x) / sum(e), 6) AS x FROM tk JOIN e USING (vec_id, t) GROUP BY vec_id, d""")
+def attention_rows(spark, sf_dir):
+    """AG-10 inside a row: every vector as eight tokens of eight numbers, every third one masked; no shuffle."""
+    v = B.vectors(spark, sf_dir)
+    tokens = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda t: F.slice("vec", t * 8 + 1, F.lit(8)))
+    mask = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda t: F.when((F.col("vec_id") + t) % 3 != 0, 1).otherwise(0))
+    rows = v.select("vec_id", tokens.alias("tokens"), mask.alias("valid")).select("vec_id", V.attention_pool_rows("tokens", "valid").alias("p"))
+    return _long(rows, "p", ["vec_id"])
