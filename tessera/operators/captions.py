@@ -18,14 +18,14 @@ def caption_expr(noun: str = "item", description: str = "description",
     ``str()`` of a missing pandas cell would. ``concat`` is null-strict, so the optional clause
     is an explicit ``when``.
     """
-    sec = F.col(secondary)
-    clause = F.when(sec.isNotNull() & (F.length(sec) > 0),
-                    F.concat(F.lit(" and "), py_capitalize(sec), F.lit(" type"))).otherwise(F.lit(""))
     return F.concat(
         py_strip(py_str(description)), F.lit(f" This {noun} is classified as a "),
-        py_strip(py_str(classification)), F.lit(". It is of "),
-        py_capitalize(py_str(primary)), F.lit(" type"), clause)
+        py_strip(py_str(classification)), F.lit(". "), type_suffix(primary, secondary))
 
 
-def enrich_captions(df: DataFrame, noun: str = "item", out_col: str = "caption") -> DataFrame:
-    return df.withColumn(out_col, caption_expr(noun))
+def type_suffix(primary: str = "primary_type", secondary: str = "secondary_type") -> Column:
+    """The end of a caption that names its types: ``"It is of <Type> type[ and <Type2> type]"``."""
+    sec = F.col(secondary)
+    clause = F.when(sec.isNotNull() & (F.length(sec) > 0),
+                    F.concat(F.lit(" and "), py_capitalize(sec), F.lit(" type"))).otherwise(F.lit(""))
+    return F.concat(F.lit("It is of "), py_capitalize(py_str(primary)), F.lit(" type"), clause)

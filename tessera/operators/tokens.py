@@ -1,11 +1,14 @@
 """Caption tokenization (TX-1..TX-3).
 
-Words are cut in Catalyst, as an uncased encoder's basic tokenization does: control characters
-go, letters are lower-cased and lose their accents, and every punctuation mark is a word of
-its own. Subwords are the longest vocabulary entries from the left. The vocabulary is an input
-table ``(token, id)``; below a checked size it is sent to the workers and each text is encoded in
-its own row, in Arrow batches, without a shuffle. Beyond that size the distinct words are cut by a
-join with the vocabulary and joined back to their places.
+Words are cut in Catalyst by one pattern, as an uncased encoder's basic tokenization does: letters are lower-cased, and every
+punctuation mark is a word of its own. Words that are not plain ASCII then lose control characters, accents and combining
+marks, word by word, so plain texts pay for one pass. Subwords are the longest vocabulary entries from the
+left. The vocabulary is an input table ``(token, id)``; below a checked size it goes to the workers as a trie in one sorted array of
+edges, and the distinct words of an Arrow batch walk it side by side, one step a character, without a shuffle. Beyond that size
+the distinct words are cut by a join with the vocabulary and joined back to their places.
+
+Character offsets: :func:`segments` cuts a text into words and the blanks between them, so lengths add up to
+places in the text, and :func:`encode` turns them into the end of every subword.
 """
 
 from __future__ import annotations
@@ -14,33 +17,35 @@ import unicodedata
 from collections.abc import Iterator
 from functools import cache
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..session import stored
+
 # The ids the reference's encoder reserves for padding, start and end (BERT convention).
 CLS_ID, SEP_ID, PAD_ID = 101, 102, 0
 # Fixed value: the token of a word that the vocabulary cannot spell.
 UNK = "[UNK]"
 # Fixed value: longest word that is spelled at all.
 MAX_CHARS = 100
+#: Subwords of a text that fit beside the start and the end.
+BUDGET = 254
 
-# One pattern for Java and RE2: control and format characters other than blanks.
-CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F\p{Cf}]"
-#: ASCII signs count as punctuation, also those that Unicode calls symbols.
-MARK = r"!-/:-@\[-`{-~\p{P}"
-WORD_PATTERN = rf"[{MARK}]|[^\s\p{{Z}}{MARK}]+"
+# Control and format characters other than tab and line ends are left out of words.
+CONTROL = r"\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F\p{Cf}"
+BLANK = r"\t\n\r\p{Z}"
 
 #: Vocabulary entries up to which the table is sent to the workers.
 BROADCAST_TOKENS = 200_000
-#: Words whose pieces a worker remembers.
-CACHE_WORDS = 200_000
 
 
 @cache
 def accents() -> tuple[str, str]:
-    """Accented lower-case letters and their bases, from their Unicode decomposition."""
+    """Accented characters and their bases, from their Unicode decomposition."""
     pairs = []
     for code in range(0x80, 0x10000):
         ch = chr(code)
@@ -50,22 +55,49 @@ def accents() -> tuple[str, str]:
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
 
-def uncased(text: Column) -> Column:
-    """Lower case, without control characters, accents and combining marks."""
-    low = F.lower(F.regexp_replace(text, CONTROL, ""))
-    plain = F.octet_length(text) == F.char_length(text)
-    return F.when(plain, low).otherwise(F.regexp_replace(F.translate(low, *accents()), r"\p{Mn}", ""))
+@cache
+def marks() -> str:
+    """Punctuation as a character class: ASCII signs, also those that Unicode calls symbols, and what decomposes to one."""
+    signs = "".join(a for a, b in zip(*accents()) if b < "\x80" and not b.isalnum())
+    return r"!-/:-@\[-`{-~\p{P}" + "".join(f"\\x{{{ord(c):x}}}" for c in signs)
+
+
+def word_pattern() -> str:
+    return rf"[{marks()}]|[^{BLANK}{marks()}]+"
+
+
+def folded(word: Column) -> Column:
+    """A lower-case word without control characters, accents and combining marks; plain ASCII words stay."""
+    bare = F.regexp_replace(F.translate(word, *accents()), rf"[{CONTROL}\p{{Mn}}]", "")
+    return F.when((F.octet_length(word) == F.char_length(word)) & ~word.rlike(r"[\x00-\x1F\x7F]"), word).otherwise(bare)
 
 
 def split_words(text) -> Column:
     """Words and punctuation marks of a text, in order (null: none)."""
     t = F.col(text) if isinstance(text, str) else text
-    return F.coalesce(F.regexp_extract_all(uncased(t), F.lit(f"({WORD_PATTERN})"), F.lit(1)), F.array().cast("array<string>"))
+    cut = F.regexp_extract_all(F.lower(t), F.lit(f"({word_pattern()})"), F.lit(1))
+    plain = (F.octet_length(t) == F.char_length(t)) & ~t.rlike(r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]")
+    return F.coalesce(F.when(plain, cut).otherwise(F.filter(F.transform(cut, folded), lambda w: w != "")), F.array().cast("array<string>"))
+
+
+def segments(text) -> Column:
+    """A text cut without loss, as it is: words, punctuation marks and runs of blanks (null: none)."""
+    t = F.col(text) if isinstance(text, str) else text
+    return F.coalesce(F.regexp_extract_all(t, F.lit(f"({word_pattern()}|[{BLANK}]+)"), F.lit(1)), F.array().cast("array<string>"))
 
 
 def caption_words(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(id, pos, word)`` with 0-based word positions (whole texts)."""
-    return df.select(id_col, text_col).select(id_col, F.posexplode(split_words(text_col)).alias("pos", "word"))
+    return exploded_words(df.select(id_col, split_words(text_col).alias("words")), [id_col])
+
+
+def exploded_words(df: DataFrame, keep: list[str], words_col: str = "words") -> DataFrame:
+    """One row per word: ``keep``, ``pos`` and ``word``.
+
+    An outer explode and a filter on its result: for a plain one Spark infers a filter on the array's size, and evaluates the
+    cutting of the words once more for it.
+    """
+    return df.select(*keep, F.posexplode_outer(words_col).alias("pos", "word")).where(F.col("pos").isNotNull())
 
 
 def pad_truncate(ids, max_len: int = 256, cls: int = CLS_ID, sep: int = SEP_ID, pad: int = PAD_ID):
@@ -90,66 +122,151 @@ def truncation_report(df: DataFrame, group_col: str, n_col: str, budget: int = 2
         F.sum(over).cast("bigint").alias("n_lost_tokens"))
 
 
+def lost_suffix(df: DataFrame, suffix_col: str, text_col: str = "caption", budget: int = BUDGET, seg_col: str = "segments", ids_col: str = "ids") -> DataFrame:
+    """TX-3: what is left of each text's suffix (``suffix_col``, the end of ``text_col``) within ``budget`` subwords.
+
+    Adds ``n_tokens``, ``kept_chars`` (the end, in the text, of the last subword that fits), ``suffix_start`` and ``suffix``:
+    ``whole``, ``part`` or ``none``. ``df`` was encoded with ends (:func:`encode`).
+    """
+    n = F.size(ids_col)
+    length = F.char_length(text_col)
+    kept = F.when(n <= budget, length).otherwise(F.element_at("ends", budget))
+    start = length - F.char_length(suffix_col)
+    left = F.when(kept >= length, F.lit("whole")).when(kept > start, F.lit("part")).otherwise(F.lit("none"))
+    return df.select("*", n.alias("n_tokens"), kept.alias("kept_chars"), start.alias("suffix_start"), left.alias("suffix"))
+
+
 def corpus_vocabulary(words: DataFrame, least_share: float = 1e-4, first_id: int = 1000, word_col: str = "word") -> DataFrame:
     """A vocabulary table from a corpus, where none is given: ``(token, id)``.
 
     Every character, alone and as a continuation (``##``), so that any word can be spelled, and every word
-    that makes up ``least_share`` of all (at most ``1 / least_share`` words). Ids follow the tokens' order.
+    that makes up ``least_share`` of all (at most ``1 / least_share`` words). Ids follow the tokens' order. The
+    counts of distinct words are written once; total, characters and words are read from them.
     """
-    counts = words.groupBy(F.col(word_col).alias("token")).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n").alias("n")).scalar()
+    counts = stored(words.groupBy(F.col(word_col).alias("token")).agg(F.count(F.lit(1)).alias("n")), "word-counts")
+    total = counts.agg(F.sum("n").alias("n")).first()["n"] or 0
     chars = counts.select(F.explode(F.array_distinct(F.split("token", ""))).alias("token")).where("token <> ''").distinct()
     tokens = counts.where(F.col("n") >= least_share * total).select("token").unionByName(chars).unionByName(
         chars.select(F.concat(F.lit("##"), F.col("token")).alias("token"))).unionByName(words.sparkSession.createDataFrame([(UNK,)], "token string")).distinct()
     # A row per token, not per word of the corpus.
-    return tokens.select("token", (F.row_number().over(Window.orderBy("token")) - 1 + first_id).cast("int").alias("id"))
+    numbered = tokens.select("token", (F.row_number().over(Window.orderBy("token")) - 1 + first_id).cast("int").alias("id"))
+    return stored(numbered, "vocabulary")
+
+
+class Trie:
+    """Vocabulary entries as one sorted array of edges ``node * 2**21 + character``; word starts at node 0, continuations at node 1."""
+
+    def __init__(self, entries: dict[str, int]):
+        self.unk = entries[UNK]
+        edges: dict[int, int] = {}
+        ids = [-1, -1]
+        for token, number in entries.items():
+            node, text = (1, token[2:]) if token.startswith("##") and len(token) > 2 else (0, token)
+            for ch in text:
+                key = (node << 21) | ord(ch)
+                node = edges.setdefault(key, len(ids))
+                if node == len(ids):
+                    ids.append(-1)
+            ids[node] = number
+        keys = sorted(edges)
+        self.keys = np.array(keys + [np.iinfo(np.int64).max], np.int64)
+        self.child = np.array([edges[k] for k in keys] + [0], np.int64)
+        self.ids = np.array(ids, np.int64)
+
+    def cut(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids and lengths of the longest pieces of all words, and where each word's begin (one entry more than words)."""
+        size = np.array([len(w) for w in words], np.int64)
+        end = np.cumsum(size)
+        begin = end - size
+        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        unspelled = size > MAX_CHARS
+        active = np.flatnonzero((size > 0) & ~unspelled)
+        at, start = begin.copy(), begin.copy()
+        node, best, best_end = np.zeros(len(words), np.int64), np.full(len(words), -1, np.int64), begin.copy()
+        found = []
+        while len(active):
+            here = np.minimum(at[active], len(codes) - 1)
+            key = np.where(at[active] < end[active], (node[active] << 21) | codes[here], np.iinfo(np.int64).max - 1)
+            edge = np.searchsorted(self.keys, key)
+            step = self.keys[edge] == key
+            on = active[step]
+            node[on] = self.child[edge[step]]
+            at[on] += 1
+            entry = self.ids[node[on]]
+            hit = on[entry >= 0]
+            best[hit], best_end[hit] = entry[entry >= 0], at[hit]
+            off = active[~step]
+            stuck = off[best[off] < 0]
+            unspelled[stuck] = True
+            piece = off[best[off] >= 0]
+            found.append((piece, start[piece], best[piece], best_end[piece] - start[piece]))
+            at[piece] = start[piece] = best_end[piece]
+            node[piece], best[piece] = 1, -1
+            active = np.concatenate([on, piece[at[piece] < end[piece]]])
+        found.append((np.flatnonzero(unspelled), begin[unspelled], np.full(unspelled.sum(), self.unk), size[unspelled]))
+        word, place, ids, length = (np.concatenate([f[i] for f in found]) for i in range(4))
+        good = ~unspelled[word]
+        good[len(word) - unspelled.sum():] = True
+        word, place, ids, length = word[good], place[good], ids[good], length[good]
+        order = np.lexsort((place, word))
+        return ids[order], length[order], np.searchsorted(word[order], np.arange(len(words) + 1))
 
 
 def longest_pieces(word: str, vocab: dict[str, int], unk: int) -> list[int]:
-    """Ids of the longest entries from the left; the unknown id if some place has none."""
-    out: list[int] = []
-    at = 0
-    while at < len(word) <= MAX_CHARS:
-        ends = (e for e in range(len(word), at, -1) if ("##" * (at > 0) + word[at:e]) in vocab)
-        end = next(ends, None)
-        if end is None:
-            return [unk]
-        out.append(vocab["##" * (at > 0) + word[at:end]])
-        at = end
-    return out if at == len(word) else [unk]
+    """Ids of one word's longest entries from the left; the unknown id if some place has none."""
+    return Trie({**vocab, UNK: unk}).cut([word])[0].tolist()
+
+
+def _fold_word(word: str) -> str:
+    """:func:`folded` of a lower-cased segment; blanks have no word."""
+    if word.isascii() and word.isprintable():
+        return "" if word.isspace() else word.lower()
+    low = unicodedata.normalize("NFD", word.lower())
+    return "".join(c for c in low if unicodedata.category(c) not in ("Mn", "Cc", "Cf") and not c.isspace())
 
 
 def encode(df: DataFrame, vocab: DataFrame, words_col: str = "words", out_col: str = "ids", broadcast_tokens: int = BROADCAST_TOKENS,
-           id_col: str = "doc_id") -> DataFrame:
+           id_col: str = "doc_id", ends: bool = False) -> DataFrame:
     """TX-1: ``df`` with the subword ids of its array of words.
 
     ``vocab`` is ``(token, id)`` with an entry for ``[UNK]``. ``id_col`` (unique) serves the path beyond
-    ``broadcast_tokens`` only.
+    ``broadcast_tokens`` only. With ``ends`` the array holds the :func:`segments` of a text, and a column ``ends`` has the place in the text
+    where each subword ends; a subword that ends a word ends with it.
     """
     if vocab.limit(broadcast_tokens + 1).count() > broadcast_tokens:
+        if ends:
+            raise ValueError(f"ends need a vocabulary of at most {broadcast_tokens} entries")
         return _encode_by_join(df, vocab, words_col, out_col, id_col)
-    table = {r["token"]: r["id"] for r in vocab.collect()}
-    shared = df.sparkSession.sparkContext.broadcast(table)
+    shared = df.sparkSession.sparkContext.broadcast(Trie({r["token"]: r["id"] for r in vocab.collect()}))
 
-    @F.pandas_udf("array<int>")
-    def pieces(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        vocab, known = shared.value, {}
-        unk = vocab[UNK]
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie = shared.value
         for batch in batches:
-            out = []
-            for words in batch:
-                ids: list[int] = []
-                for w in words if words is not None else ():
-                    p = known.get(w)
-                    if p is None:
-                        if len(known) >= CACHE_WORDS:
-                            known.clear()
-                        p = known[w] = longest_pieces(w, vocab, unk)
-                    ids += p
-                out.append(ids)
-            yield pd.Series(out, dtype=object)
-
-    return df.withColumn(out_col, pieces(words_col))
+            lists = batch.column(words_col)
+            coded = lists.flatten().dictionary_encode()
+            words = coded.dictionary.to_pylist()
+            which = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            bound = np.r_[0, np.cumsum(np.diff(lists.offsets.to_numpy()))]
+            ids, length, starts = trie.cut([_fold_word(w) for w in words] if ends else words)
+            n = np.diff(starts)[which]
+            upto = np.r_[0, np.cumsum(n)]
+            piece = np.repeat(starts[which] - upto[:-1], n) + np.arange(upto[-1])
+            cuts = pa.array(upto[bound].astype(np.int32))
+            columns = [*batch.columns, pa.ListArray.from_arrays(cuts, pa.array(ids[piece].astype(np.int32)))]
+            names = [*batch.schema.names, out_col]
+            if ends:
+                size = np.array([len(w) for w in words], np.int64)[which]
+                stop = np.cumsum(size) - np.repeat(np.r_[0, np.cumsum(size)][bound[:-1]], np.diff(bound))
+                inner = np.cumsum(length) - np.repeat(np.r_[0, np.cumsum(length)][starts[:-1]], np.diff(starts))
+                place = np.minimum(np.repeat(stop - size, n) + inner[piece], np.repeat(stop, n))
+                last = np.zeros(len(piece), bool)
+                last[upto[1:][n > 0] - 1] = True
+                columns.append(pa.ListArray.from_arrays(cuts, pa.array(np.where(last, np.repeat(stop, n), place).astype(np.int32))))
+                names.append("ends")
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    added = [T.StructField(c, T.ArrayType(T.IntegerType())) for c in ([out_col, "ends"] if ends else [out_col])]
+    return df.mapInArrow(work, T.StructType([*df.schema.fields, *added]))
 
 
 def _encode_by_join(df: DataFrame, vocab: DataFrame, words_col: str, out_col: str, id_col: str) -> DataFrame:

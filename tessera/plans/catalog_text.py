@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import bindings as B
+from ..operators import samples as SM
 from ..operators import tokens as TK
+from ..operators.captions import type_suffix
+from ..session import stored
 from . import sql_fragments as Q
-from .catalog import CAPTION_SQL, enriched_caption, query, with_
+from .catalog import _PRIM, _SEC, CAPTION_SQL, enriched_caption, query, with_
 
 CAP = [Q.M, f"""cap AS (SELECT doc_id, primary_type AS lang, {CAPTION_SQL} AS caption FROM m)""", Q.caption_tokens("cap")]
 VOCAB = [*CAP, """w AS (SELECT doc_id, unnest(words) AS word FROM tok)""",
@@ -43,18 +46,22 @@ def _captions(spark, sf_dir):
     return m.select("doc_id", F.col("primary_type").alias("lang"), TK.split_words(enriched_caption()).alias("words"))
 
 
+def _vocabulary(captions):
+    """A vocabulary of the captions themselves."""
+    return TK.corpus_vocabulary(TK.exploded_words(captions, []).select("word"))
+
+
 def _encoded(spark, sf_dir):
-    """Subword ids of every caption, by a vocabulary of the corpus itself."""
-    caps = _captions(spark, sf_dir)
-    vocab = TK.corpus_vocabulary(caps.select(F.explode("words").alias("word")))
-    return TK.encode(caps, vocab)
+    """Subword ids of every caption, by a vocabulary of the corpus itself; texts are cut once."""
+    caps = stored(_captions(spark, sf_dir), "caption-words")
+    return TK.encode(caps, _vocabulary(caps))
 
 
 @query("caption_words", with_(*CAP) + """
 SELECT doc_id, CAST(generate_subscripts(words, 1) - 1 AS INTEGER) AS pos, unnest(words) AS word FROM tok""")
 def caption_words(spark, sf_dir):
     """Word stage of TX-1: every word and punctuation mark of every caption with its position."""
-    return _captions(spark, sf_dir).select("doc_id", F.posexplode("words").alias("pos", "word"))
+    return TK.exploded_words(_captions(spark, sf_dir), ["doc_id"])
 
 
 @query("pad_truncate", with_(*CAP, """ids AS (
@@ -90,3 +97,49 @@ def wordpiece_ids(spark, sf_dir):
     e = _encoded(spark, sf_dir)
     ids, _, n = TK.pad_truncate("ids")
     return e.select("doc_id", F.array_join(ids, ",").alias("input_ids"), F.size("ids").alias("n_tokens"), n.alias("n_valid"))
+
+
+# Segments are cut from the caption as it is; a word's pieces take their lengths from the vocabulary.
+_MARK = r"!-/:-@\[-`{-~\p{P}"
+_BLANK = r"\t\n\r\p{Z}"
+ENDS = [*PIECES, f"""cp AS (SELECT doc_id, {CAPTION_SQL} AS caption, length('It is of ' || {_PRIM} || ' type' || CASE WHEN secondary_type IS NOT NULL AND length(secondary_type) > 0
+    THEN ' and ' || {_SEC} || ' type' ELSE '' END) AS suffix FROM m)""",
+        f"""sg AS (SELECT doc_id, unnest(segs) AS seg, generate_subscripts(segs, 1) AS p FROM (
+  SELECT doc_id, regexp_extract_all(caption, '[{_MARK}]|[^{_BLANK}{_MARK}]+|[{_BLANK}]+') AS segs FROM cp))""",
+        rf"""sw AS (SELECT doc_id, p, sum(length(seg)) OVER (PARTITION BY doc_id ORDER BY p) AS stop, length(seg) AS size,
+         regexp_replace(strip_accents(lower(regexp_replace(seg, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F\p{{Cf}}]', '', 'g'))), '\p{{Mn}}|[{_BLANK}]', '', 'g') AS word FROM sg)""",
+        """tk AS (SELECT doc_id, p, stop, size, unnest(sp.ids) AS id, generate_subscripts(sp.ids, 1) AS j, len(sp.ids) AS k FROM sw JOIN sp USING (word))""",
+        """tl AS (SELECT tk.*, CASE WHEN v.token = '[UNK]' THEN size WHEN j > 1 THEN length(v.token) - 2 ELSE length(v.token) END AS l FROM tk JOIN vocab v USING (id))""",
+        """te AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY p, j) AS t,
+         CASE WHEN j = k THEN stop ELSE least(stop, stop - size + sum(l) OVER (PARTITION BY doc_id, p ORDER BY j)) END AS e FROM tl)""",
+        """tn AS (SELECT doc_id, count(*) AS n, max(CASE WHEN t = 254 THEN e END) AS cut FROM te GROUP BY doc_id)"""]
+
+
+@query("lost_suffixes", with_recursive(*ENDS) + """
+SELECT doc_id, n_tokens, kept_chars, suffix_start, CASE WHEN kept_chars >= len THEN 'whole' WHEN kept_chars > suffix_start THEN 'part' ELSE 'none' END AS suffix
+FROM (SELECT cp.doc_id, CAST(coalesce(n, 0) AS INTEGER) AS n_tokens, length(caption) AS len, CAST(length(caption) - cp.suffix AS INTEGER) AS suffix_start,
+             CAST(CASE WHEN coalesce(n, 0) <= 254 THEN length(caption) ELSE cut END AS INTEGER) AS kept_chars FROM cp LEFT JOIN tn USING (doc_id))""")
+def lost_suffixes(spark, sf_dir):
+    """TX-3: where each caption is cut by the 254-token budget, and what is left of its type suffix."""
+    m = B.metadata(spark, sf_dir).select("doc_id", enriched_caption().alias("caption"), type_suffix().alias("types"))
+    vocab = _vocabulary(m.select(TK.split_words("caption").alias("words")))
+    coded = TK.encode(m.withColumn("segments", TK.segments("caption")), vocab, words_col="segments", ends=True)
+    return TK.lost_suffix(coded, "types").select("doc_id", "n_tokens", "kept_chars", "suffix_start", "suffix")
+
+
+_STRICT = f"{Q.zfill('split_part(m.national_number, {0}, 1)')}".replace("{0}", "'_'")
+
+
+@query("sample_rows", with_recursive(*PIECES, Q.A, f"""cp AS (SELECT doc_id, national_number, {CAPTION_SQL} AS caption FROM m)""",
+                                     """sq AS (SELECT doc_id, list_concat([101], list_slice(ids, 1, 254), [102]) AS seq FROM ids)""") + f"""
+SELECT m.national_number, cp.caption, array_to_string(list_concat(seq, list_transform(range(256 - len(seq)), lambda x: 0)), ',') AS input_ids,
+       array_to_string(list_concat(list_transform(seq, lambda x: 1), list_transform(range(256 - len(seq)), lambda x: 0)), ',') AS attention_mask,
+       CASE WHEN a.name IS NOT NULL THEN 'sprites/' || a.name END AS image_path
+FROM m JOIN cp USING (doc_id) JOIN sq USING (doc_id) LEFT JOIN a ON a.name = {_STRICT} || '.png'""")
+def sample_rows(spark, sf_dir):
+    """PR-13: ids, mask, caption and image file of every row; rows that would stop the loader have no file."""
+    m = stored(B.metadata(spark, sf_dir).select("national_number", enriched_caption().alias("caption")), "captions")
+    vocab = _vocabulary(m.select(TK.split_words("caption").alias("words")))
+    s = SM.samples(m, B.manifest(spark, sf_dir), vocab, fail=False)
+    return s.select("national_number", "caption", F.array_join("input_ids", ",").alias("input_ids"),
+                    F.array_join("attention_mask", ",").alias("attention_mask"), "image_path")

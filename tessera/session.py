@@ -12,7 +12,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_spark(master: str = "local[*]", app: str = "tessera", shuffle_partitions: int = 8,
@@ -69,3 +69,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     root = ensure_checkpoint_dir(spark)
     return f"{root}/tessera-scratch/{name}-{uuid.uuid4().hex[:12]}"
 
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The same rows, written to the shared scratch folder and read again: computed once, whatever reads them."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
