@@ -18,6 +18,7 @@ from ..operators import assets as AS
 from ..operators import augment as AU
 from ..operators import split as SP
 from ..operators.captions import caption_expr
+from ..operators.images import turned_bytes
 from ..operators.metrics import empty_splits
 from ..sources import metadata as MD
 from ..session import scratch_path
@@ -217,6 +218,24 @@ def three_way_split_q(spark, sf_dir):
     return _split(spark, sf_dir).select("national_number", "split")
 
 
+# Rows that repeat: a conversation is the id, none for every fifth one, and equal (id, role) rows are common.
+_TURNS = """tr AS (SELECT CASE WHEN conv_id % 5 <> 0 THEN CAST(conv_id AS VARCHAR) END AS id, role FROM conversations)"""
+_TURN_ROW = "md5(concat_ws(chr(31), coalesce(id, chr(0)), coalesce(role, chr(0))))"
+
+
+def _turns(spark, sf_dir):
+    return B.table(spark, sf_dir, "conversations").select(F.when(F.col("conv_id") % 5 != 0, F.col("conv_id").cast("string")).alias("id"), "role")
+
+
+@query("split_by_row", with_(_TURNS, f"""k AS (SELECT *, row_number() OVER (ORDER BY coalesce(md5('42:' || id), md5('42')), {_TURN_ROW}) AS pos, count(*) OVER () AS n FROM tr)""",
+                             """z AS (SELECT *, ceil(CAST(0.1 AS DOUBLE) * n) AS nt FROM k)""",
+                             """y AS (SELECT *, ceil((CAST(0.1 AS DOUBLE) / (1.0 - CAST(0.1 AS DOUBLE))) * (n - nt)) AS nv FROM z)""") + """
+SELECT id, role, CASE WHEN pos <= nt THEN 'test' WHEN pos <= nt + nv THEN 'val' ELSE 'train' END AS split FROM y""")
+def split_by_row(spark, sf_dir):
+    """SP-1 over repeated and null ids: exact sizes by row; every turn of every conversation."""
+    return SP.three_way_split(_turns(spark, sf_dir), id_col="id").select("id", "role", "split")
+
+
 @query("split_sizes", with_(Q.M, Q.split_cte()) + """
 SELECT split, CAST(count(*) AS BIGINT) AS n FROM s GROUP BY split""")
 def split_sizes_q(spark, sf_dir):
@@ -291,18 +310,31 @@ def split_assets_q(spark, sf_dir):
     return MD.split_assets(_prepared(spark, sf_dir, 2)).select("split", "name")
 
 
-@query("split_assets_roundtrip", with_(*SPLIT_RESOLVED, _ASSET_FILES) + """
-SELECT split, name, md5(min(source)) AS content FROM af GROUP BY split, name""")
+_PIXEL = "substr(md5(f.source), 2 * CAST({} AS INTEGER) + 1, 2)"
+_TURNED = """tn AS (
+  SELECT split, name, source, angle, (SELECT string_agg(CASE CAST(f.angle AS INTEGER) // 90
+           WHEN 0 THEN """ + _PIXEL.format("r * 4 + c") + """ WHEN 1 THEN """ + _PIXEL.format("c * 4 + 3 - r") + """
+           WHEN 2 THEN """ + _PIXEL.format("(3 - r) * 4 + 3 - c") + """ ELSE """ + _PIXEL.format("(3 - c) * 4 + r") + """ END, '' ORDER BY r, c)
+         FROM range(4) a(r), range(4) b(c)) AS content FROM f)"""
+
+
+@query("split_assets_roundtrip", with_(*SPLIT_RESOLVED, _ASSET_FILES.replace("(2)", "(2), (3)").replace("360.0 / 3.0", "360.0 / 4.0"),
+                                       "f AS (SELECT split, name, min(source) AS source, min(angle) AS angle FROM af GROUP BY split, name)", _TURNED) + """
+SELECT split, name, angle, content, md5(content) AS digest, content = md5(source) AS as_original FROM tn""")
 def split_assets_roundtrip(spark, sf_dir):
-    """SC-7/SC-8 sink: files with their contents written per split to shared storage and read back.
+    """SC-7/SC-8 sink: files with their contents, turned copies among them, written per split to shared storage and read back.
 
-    Binding: the content of a sprite file is the UTF-8 text of its name.
+    Binding: a sprite file holds a 4 x 4 one-byte raster, the MD5 of its name; k=3 copies are quarter turns.
     """
-    files = B.manifest(spark, sf_dir).select("path", F.encode("name", "UTF-8").alias("content"))
+    names = B.manifest(spark, sf_dir)
+    files = names.select("path", F.unhex(F.md5("name")).alias("content"))
     path = scratch_path(spark, "split-assets")
-    MD.write_split_assets(MD.split_assets(_prepared(spark, sf_dir, 2)), files, path)
+    turn = lambda content, angle: turned_bytes(content, angle, F.lit(4), F.lit(4), 1)
+    MD.write_split_assets(MD.split_assets(_prepared(spark, sf_dir, 3)), files, path, turn=turn)
     back = spark.read.parquet(path)
-    return back.select("split", "name", F.md5("content").alias("content"))
+    source = names.select("path", F.md5("name").alias("original"))
+    text = F.lower(F.hex("content"))
+    return back.join(source, "path").select("split", "name", "angle", text.alias("content"), F.md5(text).alias("digest"), (text == F.col("original")).alias("as_original"))
 
 
 @query("split_sink_roundtrip", with_(Q.M, Q.split_cte()) + """
@@ -335,6 +367,15 @@ def epoch_shuffle_q(spark, sf_dir):
     return _train_shuffle(spark, sf_dir).select("epoch", "national_number", "pos")
 
 
+@query("epoch_shuffle_by_row", with_(_TURNS, f"""o AS (SELECT id, role, row_number() OVER (PARTITION BY id ORDER BY {_TURN_ROW}) - 1 AS no FROM tr)""") + """
+SELECT e.epoch, id, role, row_number() OVER (
+         PARTITION BY e.epoch ORDER BY md5('42:' || CAST(e.epoch AS VARCHAR) || coalesce(':' || id, '') || CASE WHEN no > 0 THEN '#' || CAST(no AS VARCHAR) ELSE '' END)) AS pos
+FROM o, (VALUES (1), (2)) e(epoch)""")
+def epoch_shuffle_by_row(spark, sf_dir):
+    """SP-4 over repeated and null ids: every row once an epoch."""
+    return SP.epoch_shuffle(_turns(spark, sf_dir), (1, 2), id_col="id").select("epoch", "id", "role", "pos")
+
+
 @query("mini_batches", with_(*TRAIN_SHUFFLE) + """
 SELECT epoch, CAST(floor((pos - 1) / 10) AS BIGINT) AS batch_id, CAST(count(*) AS BIGINT) AS n,
        min(national_number) AS min_id, max(national_number) AS max_id

@@ -57,3 +57,20 @@ def scan_checkpoints(spark: SparkSession, folder: str, glob: str = "*") -> DataF
     """SC-10: checkpoint folder listing ``(name, path)``; file bodies are never read."""
     df = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder)
     return df.select(file_name().alias("name"), "path")
+
+
+def scan_checkpoint_folders(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
+    """SC-10 for many folders: ``(folder, name)`` of every checkpoint below ``root``, file bodies unread.
+
+    A checkpoint is what lies one level below a folder of ``root``: a file, or itself a folder of part files (listed once). A folder
+    written by partition columns (``config=a/name=b``) counts as its values. Files deeper down, and at any depth, are discovered
+    recursively; files right below ``root`` belong to no folder and are left out.
+    """
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    if glob:
+        reader = reader.option("pathGlobFilter", glob)
+    base = root.rstrip("/").split(":", 1)[-1].lstrip("/")
+    below = F.split(F.substring_index(F.col("path"), base + "/", -1), "/")
+    value = lambda c: F.url_decode(F.regexp_replace(F.regexp_replace(c, "^[A-Za-z0-9_]+=", ""), r"\+", "%2B"))
+    found = reader.load(root).select(below.alias("_below")).where(F.size("_below") >= 2)
+    return found.select(value(F.get("_below", F.lit(0))).alias("folder"), value(F.get("_below", F.lit(1))).alias("name")).distinct()
