@@ -32,8 +32,13 @@ def py_str(col, null_text: str = "nan") -> Column:
 
 
 def py_strip(col) -> Column:
-    """``str.strip()``: remove every Unicode blank at both ends (``trim`` removes only spaces)."""
-    return F.regexp_replace(_c(col), PY_STRIP_PATTERN, "")
+    """``str.strip()``: remove every Unicode blank at both ends (``trim`` removes only spaces).
+
+    The pattern runs over texts only that begin or end with a blank.
+    """
+    c = _c(col)
+    ends = F.concat(F.substr(c, F.lit(1), F.lit(1)), F.substr(c, F.lit(-1), F.lit(1)))
+    return F.when(ends.rlike(PY_SPACE_CLASS), F.regexp_replace(c, PY_STRIP_PATTERN, "")).otherwise(c)
 
 
 def py_capitalize(col) -> Column:

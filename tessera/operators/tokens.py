@@ -66,18 +66,27 @@ def word_pattern() -> str:
     return rf"[{marks()}]|[^{BLANK}{marks()}]+"
 
 
+#: The same for plain ASCII texts.
+PLAIN_MARKS, PLAIN_BLANK = r"!-/:-@\[-`{-~", r"\t\n\r "
+
+
 def folded(word: Column) -> Column:
     """A lower-case word without control characters, accents and combining marks; plain ASCII words stay."""
     bare = F.regexp_replace(F.translate(word, *accents()), rf"[{CONTROL}\p{{Mn}}]", "")
     return F.when((F.octet_length(word) == F.char_length(word)) & ~word.rlike(r"[\x00-\x1F\x7F]"), word).otherwise(bare)
 
 
+def _cut(text: Column, mark: str, blank: str) -> Column:
+    """Blanks around every mark, and then the pieces between blanks: two quick passes instead of one match object a word."""
+    return F.array_remove(F.split(F.regexp_replace(F.lower(text), f"([{mark}])", " $1 "), f"[{blank}]+"), "")
+
+
 def split_words(text) -> Column:
     """Words and punctuation marks of a text, in order (null: none)."""
     t = F.col(text) if isinstance(text, str) else text
-    cut = F.regexp_extract_all(F.lower(t), F.lit(f"({word_pattern()})"), F.lit(1))
     plain = (F.octet_length(t) == F.char_length(t)) & ~t.rlike(r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]")
-    return F.coalesce(F.when(plain, cut).otherwise(F.filter(F.transform(cut, folded), lambda w: w != "")), F.array().cast("array<string>"))
+    other = F.array_remove(F.transform(_cut(t, marks(), BLANK), folded), "")
+    return F.coalesce(F.when(plain, _cut(t, PLAIN_MARKS, PLAIN_BLANK)).otherwise(other), F.array().cast("array<string>"))
 
 
 def segments(text) -> Column:

@@ -43,7 +43,8 @@ def with_recursive(*ctes: str) -> str:
 
 def _captions(spark, sf_dir):
     m = B.metadata(spark, sf_dir)
-    return m.select("doc_id", F.col("primary_type").alias("lang"), TK.split_words(enriched_caption()).alias("words"))
+    m = m.select("doc_id", F.col("primary_type").alias("lang"), enriched_caption().alias("caption"))
+    return m.select("doc_id", "lang", TK.split_words("caption").alias("words"))
 
 
 def _vocabulary(captions):
