@@ -27,6 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import let
 
 OUTPUT_SIZE = 215
 # Rows per Arrow batch handed back by the image jobs; a 3x215x215 tensor is ~555 KB.
@@ -330,9 +331,9 @@ def export_pngs(rasters: DataFrame, out_dir: str, id_col: str = "vec_id", name_f
     (rasters.select(id_col, "height", "width", "rgba")).foreachPartition(write)
 
 
-def checksum(col: str = "rgb") -> Column:
+def checksum(col="rgb") -> Column:
     """Sum of (place * value) of an array column, places from 1: moved values change it."""
-    placed = F.transform(F.col(col), lambda v, i: v.cast("bigint") * (i + 1))
+    placed = F.transform(F.col(col) if isinstance(col, str) else col, lambda v, i: v.cast("bigint") * (i + 1))
     return F.aggregate(placed, F.lit(0).cast("bigint"), lambda acc, v: acc + v)
 
 
@@ -358,23 +359,23 @@ def turned_bytes(content, angle, height, width, channels: int = 3) -> Column:
     content, angle, h, w = (F.col(x) if isinstance(x, str) else x for x in (content, angle, height, width))
     turns = F.pmod(F.round(angle / 90.0), F.lit(4)).cast("int")
     wide = F.when(turns % 2 == 1, h).otherwise(w)  # of the result
-    text = F.hex(content)
 
-    def source(i):
+    def source(text, i):
         row, column = F.floor(i / wide), i % wide
         from_row = F.when(turns == 1, column).when(turns == 2, h - 1 - row).when(turns == 3, h - 1 - column).otherwise(row)
         from_column = F.when(turns == 1, w - 1 - row).when(turns == 2, w - 1 - column).when(turns == 3, row).otherwise(column)
         return F.substr(text, ((from_row * w + from_column) * (2 * channels) + 1).cast("int"), F.lit(2 * channels))
 
-    pixels = F.transform(F.sequence(F.lit(0).cast("bigint"), (h * w - 1).cast("bigint")), source)
+    places = F.sequence(F.lit(0).cast("bigint"), (h * w - 1).cast("bigint"))
+    pixels = let(F.hex(content), lambda text: F.transform(places, lambda i: source(text, i)))
     return F.when(angle % 90.0 == 0.0, F.unhex(F.array_join(pixels, "")))
 
 
 def byte_values(content) -> Column:
     """The bytes of a binary column as an array of numbers 0 to 255."""
     content = F.col(content) if isinstance(content, str) else content
-    text, n = F.hex(content), F.octet_length(content)
-    each = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.conv(F.substr(text, i * 2 + 1, F.lit(2)), 16, 10).cast("int"))
+    n = F.octet_length(content)
+    each = let(F.hex(content), lambda text: F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.conv(F.substr(text, i * 2 + 1, F.lit(2)), 16, 10).cast("int")))
     return F.when(n > 0, each).otherwise(F.array().cast("array<int>"))
 
 
@@ -386,7 +387,8 @@ def channel_planar_expr(pixels, height, width, channels: int = 3) -> Column:
     pixels, h, w = (F.col(x) if isinstance(x, str) else x for x in (pixels, height, width))
     area = (h * w).cast("int")
     places = F.sequence(F.lit(0), area * channels - 1)
-    return F.when(area > 0, F.transform(places, lambda i: F.get(pixels, ((i % area) * channels + F.floor(i / area)).cast("int")))).otherwise(F.slice(pixels, 1, 0))
+    planes = let(pixels, lambda p: F.transform(places, lambda i: F.get(p, ((i % area) * channels + F.floor(i / area)).cast("int"))))
+    return F.when(area > 0, planes).otherwise(F.slice(pixels, 1, 0))
 
 
 def has_shape(values, c, h, w, want: tuple[int, int, int] = (3, OUTPUT_SIZE, OUTPUT_SIZE)) -> Column:
@@ -398,5 +400,5 @@ def has_shape(values, c, h, w, want: tuple[int, int, int] = (3, OUTPUT_SIZE, OUT
 def require_shape(values, c, h, w, want: tuple[int, int, int] = (3, OUTPUT_SIZE, OUTPUT_SIZE)) -> Column:
     """FN-11: ``values``, or a failure of the job where their shape is another one."""
     text = F.concat_ws("x", *[(F.col(x) if isinstance(x, str) else x if isinstance(x, Column) else F.lit(x)).cast("string") for x in (c, h, w)])
-    out = F.col(values) if isinstance(values, str) else values
-    return F.when(has_shape(values, c, h, w, want), out).otherwise(F.raise_error(F.concat(F.lit("Image tensor shape mismatch: "), text)))
+    refuse = F.raise_error(F.concat(F.lit("Image tensor shape mismatch: "), text))
+    return let(F.col(values) if isinstance(values, str) else values, lambda v: F.when(has_shape(v, c, h, w, want), v).otherwise(refuse))

@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import let
+
 NAN = float("nan")
 
 
@@ -298,17 +300,12 @@ def attention_pool_rows(tokens, mask, eps: float = 1e-9) -> Column:
 
     def weighted(tokens: Column, weights: Column) -> Column:
         scaled = F.zip_with(tokens, weights, lambda t, w: F.transform(t, lambda x: x * w))
-        return _let(scaled, lambda s: F.aggregate(F.slice(s, F.lit(2), F.size(s)), F.get(s, F.lit(0)), lambda a, t: F.zip_with(a, t, lambda x, y: x + y)))
+        return let(scaled, lambda s: F.aggregate(F.slice(s, F.lit(2), F.size(s)), F.get(s, F.lit(0)), lambda a, t: F.zip_with(a, t, lambda x, y: x + y)))
 
     def pooled(tokens: Column, mask: Column) -> Column:
         query = F.transform(weighted(tokens, mask), lambda x: x / (total(mask) + F.lit(eps)))
-        scores = _let(query, lambda q: F.zip_with(tokens, mask, lambda t, m: F.when(m != 0, dot(t, q) / F.sqrt(F.size(t).cast("double")))))
-        e = _let(scores, lambda s: _let(F.array_max(s), lambda top: F.transform(s, lambda x: F.coalesce(F.exp(x - top), F.lit(0.0)))))
-        return _let(e, lambda e: _let(total(e), lambda z: F.transform(weighted(tokens, e), lambda x: F.when(z > 0, x / z).otherwise(F.lit(NAN)))))
-
-    return _let(_c(tokens), lambda t: _let(F.transform(_c(mask), lambda m: m.cast("double")), lambda m: pooled(t, m)))
-
+        scores = let(query, lambda q: F.zip_with(tokens, mask, lambda t, m: F.when(m != 0, dot(t, q) / F.sqrt(F.size(t).cast("double")))))
+        e = let(scores, lambda s: let(F.array_max(s), lambda top: F.transform(s, lambda x: F.coalesce(F.exp(x - top), F.lit(0.0)))))
+        return let(e, lambda e: let(total(e), lambda z: F.transform(weighted(tokens, e), lambda x: F.when(z > 0, x / z).otherwise(F.lit(NAN)))))
 
-def _let(value: Column, body) -> Column:
-    """``body(value)`` with the value computed once: an expression that a lambda repeats would be computed for every element."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    return let(_c(tokens), lambda t: let(F.transform(_c(mask), lambda m: m.cast("double")), lambda m: pooled(t, m)))

@@ -7,6 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from .. import bindings as B
+from ..functions.arrays import let
 from ..operators import images as IM
 from ..operators import split as SP
 from ..session import scratch_path
@@ -100,10 +101,10 @@ SELECT vec_id, CAST(sum(v * (ch * 16 + pixel + 1)) AS BIGINT) AS checksum, count
 def channel_planar(spark, sf_dir):
     """FN-11 as columns: every raster over white, one plane per channel, with its shape check (3 x 4 x 4, and the loader's size)."""
     r = B.rasters(spark, sf_dir).withColumn("rgb", IM.composite_white_expr("rgba", 4))
-    r = r.withColumn("planes", IM.channel_planar_expr("rgb", "height", "width", 3))
-    r = r.withColumn("planes", IM.require_shape("planes", 3, "height", "width", (3, 4, 4)))
-    return r.select("vec_id", IM.checksum("planes").alias("checksum"), IM.has_shape("planes", 3, "height", "width", (3, 4, 4)).alias("shaped"),
-                    IM.has_shape("planes", 3, "height", "width").alias("full_size"))
+    planes = IM.require_shape(IM.channel_planar_expr("rgb", "height", "width", 3), 3, "height", "width", (3, 4, 4))
+    report = let(planes, lambda p: F.struct(IM.checksum(p).alias("checksum"), IM.has_shape(p, 3, "height", "width", (3, 4, 4)).alias("shaped"),
+                                            IM.has_shape(p, 3, "height", "width").alias("full_size")))
+    return r.select("vec_id", report.alias("r")).select("vec_id", "r.checksum", "r.shaped", "r.full_size")
 
 
 _SEARCH = with_recursive(
