@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.text import padded_id
+from .session import small
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,7 +33,7 @@ def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M: the five metadata columns (plus ``doc_id``) the preparation step reads."""
     secondary = F.when(F.col("toxic") == 1, F.lit("TOXIC")).when(F.col("quality") == 0, F.lit("low quality"))
     labels = table(spark, sf_dir, "labels").select("doc_id", secondary.alias("secondary_type"))
-    return unlabelled(spark, sf_dir).join(labels, "doc_id", "left").select(
+    return unlabelled(spark, sf_dir).join(small(labels), "doc_id", "left").select(
         "doc_id", "national_number", "description", "primary_type", "secondary_type", "classification")
 
 

@@ -78,13 +78,15 @@ def strict_missing(df: DataFrame, manifest: DataFrame, id_col: str = "national_n
 
 
 def strict_lookup(df: DataFrame, manifest: DataFrame, id_col: str = "national_number",
-                  fail: bool = True) -> DataFrame:
+                  fail: bool = True, unique: bool = False) -> DataFrame:
     """Lookup on the strict name; a missing file fails the job in-plan.
 
-    ``fail=False`` keeps violators, with a null ``image_path``, beside the other rows.
+    ``fail=False`` keeps violators, with a null ``image_path``, beside the other rows. ``unique``: the manifest
+    is known to list a name once.
     """
     keyed = df.withColumn("strict_name", strict_asset_name(id_col))
-    names = unique_names(manifest).select(F.col("name").alias("strict_name"), F.col("path").alias("image_path"))
+    listed = manifest if unique else unique_names(manifest)
+    names = listed.select(F.col("name").alias("strict_name"), F.col("path").alias("image_path"))
     out = keyed.join(names, "strict_name", "left")
     if fail:
         out = out.withColumn("image_path", F.when(

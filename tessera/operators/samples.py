@@ -5,23 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .assets import strict_lookup
+from ..session import small, stored
+from .assets import strict_lookup, unique_names
 from .tokens import encode, pad_truncate, split_words
 
 
 def samples(df: DataFrame, manifest: DataFrame, vocab: DataFrame, caption_col: str = "caption", id_col: str = "national_number",
-            max_len: int = 256, fail: bool = True) -> DataFrame:
+            max_len: int = 256, fail: bool = True, words_col: str | None = None) -> DataFrame:
     """``(id, input_ids, attention_mask, image_path, caption)`` per row, in the order a loader returns them.
 
     The file is looked up by its strict name, and a row without one fails the job in the plan (``fail=False``: a null path), as does a
-    row whose ids or mask are not ``max_len`` long or whose mask does not mark the ids that are not padding. Only ids and names take part in the lookup.
+    row whose ids or mask are not ``max_len`` long or whose mask does not mark the ids that are not padding. The manifest is reduced to
+    one row a name and broadcast while it is small, so that captions meet it where they are. ``words_col``: the words, where they are cut already.
     """
-    words = df.select(id_col, caption_col, split_words(caption_col).alias("_words"))
+    files = small(stored(unique_names(manifest), "manifest"))
+    found = strict_lookup(df, files, id_col, fail=fail, unique=True)
+    words = F.col(words_col) if words_col else split_words(caption_col)
     ids, mask, n = pad_truncate("_ids", max_len)
-    coded = encode(words, vocab, words_col="_words", out_col="_ids", id_col=id_col).select(
-        id_col, caption_col, ids.alias("input_ids"), mask.alias("attention_mask"), n.alias("_n"))
-    found = strict_lookup(coded, manifest, id_col, fail=fail)
+    coded = encode(found.select(id_col, caption_col, "image_path", words.alias("_words")), vocab, words_col="_words", out_col="_ids", id_col=id_col)
+    coded = coded.select(id_col, caption_col, "image_path", ids.alias("input_ids"), mask.alias("attention_mask"), n.alias("_n"))
     marked = F.aggregate("attention_mask", F.lit(0), lambda a, m: a + m)
     whole = (F.size("input_ids") == max_len) & (F.size("attention_mask") == max_len) & (marked == F.col("_n"))
     checked = F.when(whole, F.col("input_ids")).otherwise(F.raise_error(F.concat(F.lit("Malformed sample #"), F.col(id_col).cast("string"))))
-    return found.select(id_col, checked.alias("input_ids"), "attention_mask", "image_path", caption_col)
+    return coded.select(id_col, checked.alias("input_ids"), "attention_mask", "image_path", caption_col)

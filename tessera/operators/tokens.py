@@ -41,6 +41,8 @@ BLANK = r"\t\n\r\p{Z}"
 
 #: Vocabulary entries up to which the table is sent to the workers.
 BROADCAST_TOKENS = 200_000
+#: Words that a worker cuts at once (a longer text is cut alone).
+WORDS_AT_ONCE = 1 << 17
 
 
 @cache
@@ -89,10 +91,16 @@ def split_words(text) -> Column:
     return F.coalesce(F.when(plain, _cut(t, PLAIN_MARKS, PLAIN_BLANK)).otherwise(other), F.array().cast("array<string>"))
 
 
+#: A noncharacter that marks the edges of segments; texts that hold it are cut the slow way.
+_EDGE = "\uffff"
+
+
 def segments(text) -> Column:
     """A text cut without loss, as it is: words, punctuation marks and runs of blanks (null: none)."""
     t = F.col(text) if isinstance(text, str) else text
-    return F.coalesce(F.regexp_extract_all(t, F.lit(f"({word_pattern()}|[{BLANK}]+)"), F.lit(1)), F.array().cast("array<string>"))
+    quick = F.array_remove(F.split(F.regexp_replace(t, f"([{marks()}]|[{BLANK}]+)", f"{_EDGE}$1{_EDGE}"), _EDGE), "")
+    slow = F.regexp_extract_all(t, F.lit(f"({word_pattern()}|[{BLANK}]+)"), F.lit(1))
+    return F.coalesce(F.when(F.contains(t, F.lit(_EDGE)), slow).otherwise(quick), F.array().cast("array<string>"))
 
 
 def caption_words(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -131,16 +139,16 @@ def truncation_report(df: DataFrame, group_col: str, n_col: str, budget: int = 2
         F.sum(over).cast("bigint").alias("n_lost_tokens"))
 
 
-def lost_suffix(df: DataFrame, suffix_col: str, text_col: str = "caption", budget: int = BUDGET, seg_col: str = "segments", ids_col: str = "ids") -> DataFrame:
-    """TX-3: what is left of each text's suffix (``suffix_col``, the end of ``text_col``) within ``budget`` subwords.
+def lost_suffix(df: DataFrame, suffix_chars: str, text_chars: str, budget: int = BUDGET, ids_col: str = "ids") -> DataFrame:
+    """TX-3: what is left of each text's suffix within ``budget`` subwords.
 
+    ``df`` was encoded with ends (:func:`encode`); ``text_chars`` and ``suffix_chars`` are the lengths of a text and of the suffix at its end.
     Adds ``n_tokens``, ``kept_chars`` (the end, in the text, of the last subword that fits), ``suffix_start`` and ``suffix``:
-    ``whole``, ``part`` or ``none``. ``df`` was encoded with ends (:func:`encode`).
+    ``whole``, ``part`` or ``none``.
     """
-    n = F.size(ids_col)
-    length = F.char_length(text_col)
+    n, length = F.size(ids_col), F.col(text_chars)
     kept = F.when(n <= budget, length).otherwise(F.element_at("ends", budget))
-    start = length - F.char_length(suffix_col)
+    start = length - F.col(suffix_chars)
     left = F.when(kept >= length, F.lit("whole")).when(kept > start, F.lit("part")).otherwise(F.lit("none"))
     return df.select("*", n.alias("n_tokens"), kept.alias("kept_chars"), start.alias("suffix_start"), left.alias("suffix"))
 
@@ -236,7 +244,7 @@ def _fold_word(word: str) -> str:
 
 def encode(df: DataFrame, vocab: DataFrame, words_col: str = "words", out_col: str = "ids", broadcast_tokens: int = BROADCAST_TOKENS,
            id_col: str = "doc_id", ends: bool = False) -> DataFrame:
-    """TX-1: ``df`` with the subword ids of its array of words.
+    """TX-1: ``df`` with the subword ids of its array of words, which goes.
 
     ``vocab`` is ``(token, id)`` with an entry for ``[UNK]``. ``id_col`` (unique) serves the path beyond
     ``broadcast_tokens`` only. With ``ends`` the array holds the :func:`segments` of a text, and a column ``ends`` has the place in the text
@@ -248,34 +256,47 @@ def encode(df: DataFrame, vocab: DataFrame, words_col: str = "words", out_col: s
         return _encode_by_join(df, vocab, words_col, out_col, id_col)
     shared = df.sparkSession.sparkContext.broadcast(Trie({r["token"]: r["id"] for r in vocab.collect()}))
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        upto = batch.column(words_col).offsets.to_numpy()
+        first = 0
+        while first < len(batch):
+            last = max(int(np.searchsorted(upto, upto[first] + WORDS_AT_ONCE, side="right")) - 1, first + 1)
+            yield batch.slice(first, last - first)
+            first = last
+
+    def coded(batch: pa.RecordBatch) -> pa.RecordBatch:
         trie = shared.value
+        lists = batch.column(words_col)
+        distinct = lists.flatten().dictionary_encode()
+        words = distinct.dictionary.to_pylist()
+        which = distinct.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        bound = np.r_[0, np.cumsum(np.diff(lists.offsets.to_numpy()))]
+        ids, length, starts = trie.cut([_fold_word(w) for w in words] if ends else words)
+        n = np.diff(starts)[which]
+        upto = np.r_[0, np.cumsum(n)]
+        piece = np.repeat(starts[which] - upto[:-1], n) + np.arange(upto[-1])
+        cuts = pa.array(upto[bound].astype(np.int32))
+        columns = [*batch.columns, pa.ListArray.from_arrays(cuts, pa.array(ids[piece].astype(np.int32)))]
+        names = [*batch.schema.names, out_col]
+        if ends:
+            size = np.array([len(w) for w in words], np.int64)[which]
+            stop = np.cumsum(size) - np.repeat(np.r_[0, np.cumsum(size)][bound[:-1]], np.diff(bound))
+            inner = np.cumsum(length) - np.repeat(np.r_[0, np.cumsum(length)][starts[:-1]], np.diff(starts))
+            place = np.minimum(np.repeat(stop - size, n) + inner[piece], np.repeat(stop, n))
+            last = np.zeros(len(piece), bool)
+            last[upto[1:][n > 0] - 1] = True
+            columns.append(pa.ListArray.from_arrays(cuts, pa.array(np.where(last, np.repeat(stop, n), place).astype(np.int32))))
+            names.append("ends")
+        keep = [i for i, c in enumerate(names) if c != words_col]
+        return pa.RecordBatch.from_arrays([columns[i] for i in keep], names=[names[i] for i in keep])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(words_col)
-            coded = lists.flatten().dictionary_encode()
-            words = coded.dictionary.to_pylist()
-            which = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-            bound = np.r_[0, np.cumsum(np.diff(lists.offsets.to_numpy()))]
-            ids, length, starts = trie.cut([_fold_word(w) for w in words] if ends else words)
-            n = np.diff(starts)[which]
-            upto = np.r_[0, np.cumsum(n)]
-            piece = np.repeat(starts[which] - upto[:-1], n) + np.arange(upto[-1])
-            cuts = pa.array(upto[bound].astype(np.int32))
-            columns = [*batch.columns, pa.ListArray.from_arrays(cuts, pa.array(ids[piece].astype(np.int32)))]
-            names = [*batch.schema.names, out_col]
-            if ends:
-                size = np.array([len(w) for w in words], np.int64)[which]
-                stop = np.cumsum(size) - np.repeat(np.r_[0, np.cumsum(size)][bound[:-1]], np.diff(bound))
-                inner = np.cumsum(length) - np.repeat(np.r_[0, np.cumsum(length)][starts[:-1]], np.diff(starts))
-                place = np.minimum(np.repeat(stop - size, n) + inner[piece], np.repeat(stop, n))
-                last = np.zeros(len(piece), bool)
-                last[upto[1:][n > 0] - 1] = True
-                columns.append(pa.ListArray.from_arrays(cuts, pa.array(np.where(last, np.repeat(stop, n), place).astype(np.int32))))
-                names.append("ends")
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            for part in slices(batch):
+                yield coded(part)
 
     added = [T.StructField(c, T.ArrayType(T.IntegerType())) for c in ([out_col, "ends"] if ends else [out_col])]
-    return df.mapInArrow(work, T.StructType([*df.schema.fields, *added]))
+    return df.mapInArrow(work, T.StructType([*[f for f in df.schema.fields if f.name != words_col], *added]))
 
 
 def _encode_by_join(df: DataFrame, vocab: DataFrame, words_col: str, out_col: str, id_col: str) -> DataFrame:
@@ -296,4 +317,4 @@ def _encode_by_join(df: DataFrame, vocab: DataFrame, words_col: str, out_col: st
         "_word", F.when(F.col("end.at") == n + 1, F.col("end.ids")).otherwise(F.array(unk)).alias("ids"))
     per_text = places.join(spelled, "_word").groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("_pos", "ids"))).alias("_all"))  # within one text
     out = per_text.select(id_col, F.flatten(F.col("_all.ids")).alias(out_col))
-    return df.join(out, id_col, "left").withColumn(out_col, F.coalesce(out_col, F.array().cast("array<int>")))
+    return df.drop(words_col).join(out, id_col, "left").withColumn(out_col, F.coalesce(out_col, F.array().cast("array<int>")))

@@ -124,8 +124,10 @@ def lost_suffixes(spark, sf_dir):
     """TX-3: where each caption is cut by the 254-token budget, and what is left of its type suffix."""
     m = B.metadata(spark, sf_dir).select("doc_id", enriched_caption().alias("caption"), type_suffix().alias("types"))
     vocab = _vocabulary(m.select(TK.split_words("caption").alias("words")))
-    coded = TK.encode(m.withColumn("segments", TK.segments("caption")), vocab, words_col="segments", ends=True)
-    return TK.lost_suffix(coded, "types").select("doc_id", "n_tokens", "kept_chars", "suffix_start", "suffix")
+    # Only lengths and segments go through the encoder.
+    cut = m.select("doc_id", F.char_length("caption").alias("chars"), F.char_length("types").alias("type_chars"), TK.segments("caption").alias("segments"))
+    coded = TK.encode(cut, vocab, words_col="segments", ends=True)
+    return TK.lost_suffix(coded, "type_chars", "chars").select("doc_id", "n_tokens", "kept_chars", "suffix_start", "suffix")
 
 
 _STRICT = f"{Q.zfill('split_part(m.national_number, {0}, 1)')}".replace("{0}", "'_'")
@@ -139,7 +141,7 @@ SELECT m.national_number, cp.caption, array_to_string(list_concat(seq, list_tran
 FROM m JOIN cp USING (doc_id) JOIN sq USING (doc_id) LEFT JOIN a ON a.name = {_STRICT} || '.png'""")
 def sample_rows(spark, sf_dir):
     """PR-13: ids, mask, caption and image file of every row; rows that would stop the loader have no file."""
-    m = stored(B.metadata(spark, sf_dir).select("national_number", enriched_caption().alias("caption")), "captions")
+    m = B.metadata(spark, sf_dir).select("national_number", enriched_caption().alias("caption"))
     vocab = _vocabulary(m.select(TK.split_words("caption").alias("words")))
     s = SM.samples(m, B.manifest(spark, sf_dir), vocab, fail=False)
     return s.select("national_number", "caption", F.array_join("input_ids", ",").alias("input_ids"),

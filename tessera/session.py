@@ -13,6 +13,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of a narrow table (ids and short names, some 16 MB) up to which it is broadcast.
+SMALL_ROWS = 250_000
 
 
 def get_spark(master: str = "local[*]", app: str = "tessera", shuffle_partitions: int = 8,
@@ -76,3 +80,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``limit`` rows, so that wide rows need not move to meet a narrow table.
+
+    It is counted for that; beyond the limit the join shuffles both sides, with the same result.
+    """
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df

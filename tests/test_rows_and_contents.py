@@ -235,17 +235,33 @@ def test_ends_are_places_in_the_text(spark):
     df = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id int, caption string")
     coded = TK.encode(df.withColumn("segments", TK.segments("caption")), vocab(spark), words_col="segments", ends=True)
     got = {r.doc_id: r for r in coded.collect()}
-    assert "".join(got[1].segments) == text and got[2].ids == got[2].ends == got[3].ids == []
+    assert "".join(df.select(TK.segments("caption").alias("s")).first().s) == text and got[2].ids == got[2].ends == got[3].ids == []
     v = VOCAB
     assert got[1].ids == [v["ca"], v["##fe"], v["##s"], v["it"], v["ab"], v["."], v["ab"], v["##bc"], v["x"]]
     assert got[1].ends == [2, 4, 5, text.index("\t"), text.index("."), text.index(".") + 1, text.index(".") + 3, text.index(".") + 5, len(text)]
 
 
+def test_segments_lose_nothing(spark):
+    texts = ["a b", " a,b  c!\n", "x\uffffy z", "", "Ünï\t\u2003co-de", "..", "$1 a$b"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r.s for r in df.select(TK.segments("t").alias("s")).collect()]
+    assert ["".join(s) for s in got] == texts and got[1] == [" ", "a", ",", "b", "  ", "c", "!", "\n"] and got[2] == ["x\uffffy", " ", "z"] and got[6] == ["$", "1", " ", "a", "$", "b"]
+
+
+def test_encoding_in_slices(spark, monkeypatch):
+    rows = [(i, ["ab", "abbc", "cafes", "q"] * (i % 4) if i % 5 else []) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id int, words array<string>").coalesce(1)
+    whole = sorted(map(tuple, TK.encode(df, vocab(spark)).collect()))
+    monkeypatch.setattr(TK, "WORDS_AT_ONCE", 5)
+    assert sorted(map(tuple, TK.encode(df, vocab(spark)).collect())) == whole and len(whole) == 60
+
+
 def test_lost_suffix(spark):
     rows = [(1, "ab ab ", "it is of fire type"), (2, "ab " * 4, "it is of fire type"), (3, "ab " * 6, "it is of fire type"), (4, "ab " * 9, "it is")]
     df = spark.createDataFrame([(i, a + b, b) for i, a, b in rows], "doc_id int, caption string, types string")
-    coded = TK.encode(df.withColumn("segments", TK.segments("caption")), vocab(spark), words_col="segments", ends=True)
-    got = {r.doc_id: (r.n_tokens, r.kept_chars, r.suffix_start, r.suffix) for r in TK.lost_suffix(coded, "types", budget=7).collect()}
+    df = df.select("doc_id", TK.segments("caption").alias("segments"), F.char_length("caption").alias("n"), F.char_length("types").alias("m"))
+    coded = TK.encode(df, vocab(spark), words_col="segments", ends=True)
+    got = {r.doc_id: (r.n_tokens, r.kept_chars, r.suffix_start, r.suffix) for r in TK.lost_suffix(coded, "m", "n", budget=7).collect()}
     assert got == {1: (7, 24, 6, "whole"), 2: (9, 20, 12, "part"), 3: (11, 20, 18, "part"), 4: (11, 20, 27, "none")}
 
 
