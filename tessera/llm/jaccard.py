@@ -42,19 +42,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.llm.arrow import pieces
-from tessera.llm.common import sized, written
+from tessera.llm.common import discard, settled, sized, written
 from tessera.llm.hashing import GOLDEN, mix, span_hashes
 
 #: Largest chance that a linked pair is not posted together.
 MISS = 1e-12
 #: Elements of a sketch by threshold: more where sets may differ more.
 SKETCH = {90: 32, 80: 48}
-#: No set of more elements enumerates subsets, whatever the cost.
+#: Set sizes that the cost is measured for at first; more, as long as the least cost is at the end of them.
 LIGHT_MOST = 20
 #: Rounds of lists before the remaining pairs are compared, if these are not few enough before.
 ROUNDS = 5
 #: Pairs in lists for each node that cost less than another round.
 PAIRS_PER_NODE = 20
+#: Pairs that are compared at once when no round is left, at least.
+PAIRS_AT_ONCE = 1_000_000
 #: Largest distance of a near member. Far ones begin more than a link distance below it.
 NEAR = 0.45
 #: Rows of the table of frequent elements.
@@ -135,10 +137,10 @@ def subset_count(n: int, percent: int) -> int:
     return sum(math.comb(n, c) for c in subset_sizes(n, percent) if c <= n)
 
 
-def boundary(sizes: list[tuple[int, int, int]], percent: int) -> int:
-    """The light-heavy boundary of least cost; ``sizes``: (set size, nodes, list entries they scan)."""
+def boundary(sizes: list[tuple[int, int, int]], percent: int, most: int = LIGHT_MOST) -> int:
+    """The light-heavy boundary of least cost up to ``most``; ``sizes``: (set size, nodes, list entries they scan)."""
     best, best_cost = 0, None
-    for x in range(LIGHT_MOST + 1):
+    for x in range(most + 1):
         cost = 0
         for n, nodes, scanned in sizes:
             if n <= x:
@@ -234,22 +236,26 @@ def components(edges: DataFrame) -> DataFrame:
     Minimum labels travel along the edges, and each label is replaced by its own label, so long
     chains halve; a round is written, and the rounds end when no label changes.
     """
-    both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "cc-edges")
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), "cc-labels")
+    both = settled(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "cc-edges")
+    labels = held = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), "cc-labels")
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("m"))
         step = labels.join(near, "node").select("node", "label", F.least("label", "m").alias("best"))
         jump = labels.select(F.col("node").alias("best"), F.col("label").alias("far"))
         fresh = written(step.join(jump, "best", "left").select("node", F.col("label").alias("old"), F.least("best", "far").alias("label")), "cc-labels")
+        discard(held)
+        held = fresh
         if not fresh.where("old != label").limit(1).count():
+            discard(both)
             return fresh.select("node", "label")
         labels = fresh.select("node", "label")
 
 
-def _measured(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent: int, similarity: float) -> DataFrame:
+def _measured(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, repeated: DataFrame, k: int, percent: int, similarity: float, deltas: bool) -> DataFrame:
     """``pairs`` (a, b) that may be as similar as ``similarity``, on whole sets: n_a, n_b, common, total (of the union), linked, delta.
 
-    ``delta``: the elements that one of the two has alone.
+    ``delta`` (with ``deltas``): the elements that one of the two has alone. Sizes are compared first, then sketches cut to 31 bits, and only what
+    is left brings its whole sets, of one text a node: the sets go through one shuffle by node, and each pair carries one of its two.
     """
     size = sketch_plan(percent)[0]
 
@@ -258,21 +264,31 @@ def _measured(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, perce
             left = left.join(table.select(*[F.col(c).alias(s if c == "node" else f"{c}_{s}") for c in table.columns]), s)
         return left
 
-    near = sides(pairs, nodes.select("node", "n", "keys"))
     low, high = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
-    need = F.least(F.lit(least_common(size, similarity)), F.floor(high * similarity))
-    near = near.where((low >= F.floor(high * similarity)) & (F.size(F.array_intersect("keys_a", "keys_b")) >= need)).select("a", "b")
-    near = written(near, "jaccard-near")
+    sizes = written(sides(pairs, nodes.select("node", "n")).where(low >= F.floor(high * similarity)), "jaccard-sizes")
+    # Two common elements of a sketch that agree in 31 bits count once: one less is asked for, and two such coincidences are rarer than MISS.
+    need = F.least(F.lit(least_common(size, similarity)), F.floor(high * similarity)) - 1
+    near = sides(sizes, nodes.select("node", F.transform("keys", lambda x: x.bitwiseAND(F.lit(2**31 - 1)).cast("int")).alias("keys")))
+    near = settled(near.where(F.size(F.array_intersect("keys_a", "keys_b")) >= need).select("a", "b"), "jaccard-near")
+    discard(sizes)
     # The whole sets of the nodes left, from one text each.
     wanted = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
-    keep = written(nodes.join(wanted, "node", "left_semi").select("node", F.col("from.doc_id").alias("k_id"), F.col("from.text_key").alias("k_key")), "jaccard-wanted")
-    texts = docs.join(sized(keep), (F.col("text_key") == F.col("k_key")) & F.col("doc_id").eqNullSafe(F.col("k_id")), "left_semi")
-    sets = written(_sets(texts, k, percent, True).select("node", "n", "keys").dropDuplicates(["node"]), "jaccard-sets")
-    full = sides(near, sets).withColumn("common", F.size(F.array_intersect("keys_a", "keys_b")))
+    keep = nodes.join(wanted, "node", "left_semi").select(F.col("from.doc_id").alias("k_id"), F.col("from.text_key").alias("k_key"))
+    keep = settled(keep.join(repeated, (F.col("k_key") == F.col("r_key")) & F.col("k_id").eqNullSafe(F.col("r_id")), "left").select(
+        "k_id", "k_key", F.col("r_key").isNotNull().alias("many")), "jaccard-wanted")
+    texts = docs.join(sized(keep), (F.col("text_key") == F.col("k_key")) & F.col("doc_id").eqNullSafe(F.col("k_id")))
+    texts = texts.where("NOT many").unionByName(texts.where("many").dropDuplicates(["doc_id", "text_key"])).select("doc_id", "text_key", "text")
+    full = sides(near, _sets(texts, k, percent, True).select("node", "n", "keys"))
+    full = full.withColumn("common", F.size(F.array_intersect("keys_a", "keys_b")))
     full = full.withColumn("total", F.col("n_a") + F.col("n_b") - F.col("common"))
     linked = F.col("common") * 100 >= F.col("total") * percent
-    delta = F.concat(F.array_except("keys_a", "keys_b"), F.array_except("keys_b", "keys_a"))
-    return full.select("a", "b", "n_a", "n_b", "common", "total", linked.alias("linked"), delta.alias("delta"))
+    columns = ["a", "b", "n_a", "n_b", "common", "total", linked.alias("linked")]
+    if deltas:
+        close = F.col("common") >= (1 - NEAR) * F.col("total") - 1
+        columns.append(F.when(close, F.concat(F.array_except("keys_a", "keys_b"), F.array_except("keys_b", "keys_a"))).alias("delta"))
+    out = settled(full.select(*columns), "jaccard-measured")
+    discard(near, keep)
+    return out
 
 
 def _next_lists(lists: DataFrame, measured: DataFrame, percent: int) -> DataFrame:
@@ -321,43 +337,72 @@ def similar_groups(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str =
     ``group`` is a key of the component (two components have one id if texts share it); null without words.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_key"), F.col(text_col).cast("string").alias("text"))
-    sets = written(_sets(rows, k, percent, False), "jaccard-sketches")
-    nodes = written(sets.where("n > 0").groupBy("node").agg(
+    sketched = written(_sets(rows, k, percent, False), "jaccard-sketches")
+    nodes = settled(sketched.where("n > 0").groupBy("node").agg(
         F.any_value("n").alias("n"), F.any_value("keys").alias("keys"), F.min("doc_id").alias("least"),
         F.min(F.struct("doc_id", "text_key")).alias("from")), "jaccard-nodes")
+    sets = written(sketched.drop("keys"), "jaccard-rows")
+    discard(sketched)
+    repeated = written(sets.groupBy(F.col("doc_id").alias("r_id"), F.col("text_key").alias("r_key")).agg(F.count("*").alias("rows")).where("rows > 1").drop("rows"), "jaccard-repeated")
     keys = written(nodes.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("f")).where("f > 1"), "jaccard-keys")
-    light = nodes.where(F.col("n") <= LIGHT_MOST).select("node", "n", F.explode("keys").alias("key")).join(keys, "key", "left")
-    sizes = light.groupBy("n").agg(F.count_distinct("node").alias("nodes"), F.sum(F.coalesce("f", F.lit(0))).alias("scanned")).collect()  # LIGHT_MOST rows
-    x = boundary([tuple(r) for r in sizes], percent)
+    most = LIGHT_MOST
+    while True:
+        # What a set scans: the lists of its prefix, its rarest elements.
+        light = nodes.where(F.col("n") <= most).select("node", "n", F.explode("keys").alias("key")).join(keys, "key", "left")
+        prefix = F.element_at(F.array(*[F.lit(prefix_length(n, percent)) for n in range(1, most + 1)]), F.col("n").cast("int"))
+        light = light.groupBy("node", "n").agg(F.sort_array(F.collect_list(F.coalesce("f", F.lit(1)))).alias("f"))  # of one set of up to ``most`` elements
+        scanned = F.aggregate(F.slice("f", F.lit(1), prefix), F.lit(0).cast("long"), lambda a, f: a + f)
+        sizes = light.groupBy("n").agg(F.count("*").alias("nodes"), F.sum(scanned).alias("scanned")).collect()  # a row per size up to ``most``
+        x = boundary([tuple(r) for r in sizes], percent, most)
+        if x < most or not any(r["n"] == most for r in sizes):
+            break
+        most += LIGHT_MOST
 
-    posted = written(_postings(nodes, percent, x, _frequent(keys)), "jaccard-postings")
+    posted = settled(_postings(nodes, percent, x, _frequent(keys)), "jaccard-postings")
+    discard(keys)
     lists, links, labels = posted.withColumn("comp", F.col("node")), None, None
+    held = posted
     few = PAIRS_PER_NODE * nodes.count()
     for turn in range(ROUNDS + 1):
         if labels is not None:
             lists = lists.drop("comp").join(labels.withColumnRenamed("label", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         mixed = lists.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.struct("weight", "node")).alias("c"), F.count("*").alias("members")).where("lo < hi")
-        lists = written(lists.join(mixed.select("key", F.col("c.node").alias("center"), "members"), "key"), "jaccard-lists")
+        lists = settled(lists.join(mixed.select("key", F.col("c.node").alias("center"), "members"), "key"), "jaccard-lists")
+        discard(held)
+        held = lists
         open_pairs = lists.agg(F.sum((F.col("members") - 1) / 2)).first()[0]
         if not open_pairs:
             break
         last = turn == ROUNDS or open_pairs <= few
-        if not last:
-            pairs = lists.where("node != center").select(F.least("node", "center").alias("a"), F.greatest("node", "center").alias("b"))
-            similarity = 1 - NEAR
-        else:
-            other = lists.select("key", F.col("node").alias("other"), F.col("comp").alias("other_comp"))
-            pairs = lists.join(other, "key").where("node < other AND comp != other_comp").select(F.col("node").alias("a"), F.col("other").alias("b"))
-            similarity = percent / 100
-        measured = written(_measured(written(pairs.distinct(), "jaccard-pairs"), nodes, rows, k, percent, similarity), "jaccard-measured")
-        found = measured.where("linked").select("a", "b")
-        links = found if links is None else links.unionByName(found)
-        labels = components(links)
+        slices = max(1, math.ceil(open_pairs / max(few, PAIRS_AT_ONCE))) if last else 1
+        for part in range(slices):
+            if not last:
+                pairs = lists.where("node != center").select(F.least("node", "center").alias("a"), F.greatest("node", "center").alias("b"))
+                similarity = 1 - NEAR
+            else:
+                # All that is left, in slices of bounded size; what a slice has linked is no pair of the next one.
+                if part:
+                    lists = held.drop("comp").join(labels.withColumnRenamed("label", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+                mine = lists.where(F.pmod(F.xxhash64("key", "node"), F.lit(slices)) == part)
+                other = lists.select("key", F.col("node").alias("other"), F.col("comp").alias("other_comp"))
+                pairs = mine.join(other, "key").where("node < other AND comp != other_comp").select(F.col("node").alias("a"), F.col("other").alias("b"))
+                similarity = percent / 100
+            pairs = written(pairs.distinct(), "jaccard-pairs")
+            measured = _measured(pairs, nodes, rows, repeated, k, percent, similarity, not last)
+            discard(pairs)
+            found = written(measured.where("linked").select("a", "b").distinct(), "jaccard-links")
+            links = found if links is None else links.unionByName(found)
+            labels = components(links)
+            if last:
+                discard(measured)
         if last:
             break
         lists = lists.drop("comp", "members").join(labels.withColumnRenamed("label", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         still = lists.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
         lists = written(_next_lists(lists.join(still, "key", "left_semi"), measured, percent), "jaccard-next")
+        discard(held, measured)
+        held = lists
+    discard(held)
     if labels is None:
         labels = nodes.select("node", F.col("node").alias("label"))
     named = nodes.select("node", "least").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
