@@ -2,12 +2,18 @@
 
 Symbols are the tokens of a text: its words in lower case, then one end token. The root of the tree is
 the smoothed unigram distribution. Level by level Spark counts what follows each context of one
-more word, over all training texts. A context becomes a state if it is frequent (``MIN_SHARE`` of all
-tokens, which bounds the tree whatever the corpus) and its next-symbol distribution diverges from its
-parent's, the next shorter state's (count times Kullback-Leibler divergence of ``MIN_GAIN`` nats or more).
+more word, over all training texts. A context becomes a state if it occurs ``LEAST_COUNT`` times or more and its next-symbol
+distribution diverges from its parent's, the next shorter state's (count times Kullback-Leibler divergence of ``MIN_GAIN``
+nats or more); a next token counts by itself if it follows ``LEAST_PAIR`` times or more. These are counts, not shares: more
+text gives more states, and a context once kept is kept when the corpus grows.
 Distributions are smoothed along the parents. A text's score is the sum over its tokens of
 log10 P(token | state), the state being the longest suffix of what precedes that is in the tree.
 
+States and their next tokens are written tables, a pair per level, made by grouped sums and joins. While all of them together have at
+most ``TREE_ROWS`` rows they go to the workers as sorted arrays and texts are scored where they are; beyond that the tokens
+of the texts meet the tables in joins, level by level, with the same result. Sets that only spare the counting
+rows (frequent words, frequent shorter contexts) go to the workers up to ``SPARE_ROWS`` rows, and are left out beyond.
+
 The root needs the training count of every token. The most frequent tokens, at most ``TABLE_ROWS``
 of them, go to the workers; all others are resolved by a join on their hash, so the
 vocabulary may be of any size. Tokens are told apart by 64-bit hashes.
@@ -28,23 +34,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.arrow import pieces
-from tessera.llm.common import written
+from tessera.llm.common import discard, settled, written
 from tessera.llm.hashing import GOLDEN, mix, span_hashes
 
 #: Words of the longest context.
 DEPTH = 3
-#: Least share of a context among all training tokens: at most 1 / MIN_SHARE contexts a level.
-MIN_SHARE = 2e-5
-#: Least share of a (context, next token) pair; rarer ones count as unseen.
-MIN_PAIR = 5e-6
+#: Least count of a context.
+LEAST_COUNT = 500
+#: Least count of a (context, next token) pair; rarer ones count as unseen.
+LEAST_PAIR = 20
 MIN_GAIN = 10.0
 #: Weight of the parent's distribution, in counts.
 PARENT = 8.0
 #: Most rows of the frequent-token table (16 bytes each).
 TABLE_ROWS = 1 << 19
+#: Most rows of a set that spares the counting rows (8 bytes each).
+SPARE_ROWS = 1 << 22
+#: Most rows of a tree that goes to the workers (16 bytes each).
+TREE_ROWS = 1 << 23
 HELD_OUT = (5, 1)
 #: Distinct keys that a task counts before it passes its counts on.
-FLUSH = 1 << 20
+FLUSH = 1 << 19
 
 #: The end symbol is a byte that UTF-8 never has.
 SPACE, END = 0x20, 0xFF
@@ -174,7 +184,7 @@ def count_level(docs: DataFrame, level: int, heads, states, nexts) -> DataFrame:
     """(context, parent, token, n) for contexts of ``level`` words.
 
     Only contexts whose oldest word is frequent (``heads``) and whose suffix is a frequent context
-    (``states``) are counted; tokens outside ``nexts`` count as one.
+    (``states``) are counted; tokens outside ``nexts`` count as one. None spares nothing: all are counted then.
     """
     shared = docs.sparkSession.sparkContext.broadcast((heads, states, nexts))
 
@@ -185,25 +195,43 @@ def count_level(docs: DataFrame, level: int, heads, states, nexts) -> DataFrame:
             keys, oldest = contexts(tokens)
             own = keys[level - 1]
             parent = keys[level - 2] if level > 1 else np.zeros(len(own), np.int64)
-            use = found_in(heads, oldest[level - 1])[1]
-            if level > 1:
+            use = np.ones(len(own), bool) if heads is None else found_in(heads, oldest[level - 1])[1]
+            if level > 1 and states is not None:
                 use &= found_in(states, parent)[1]
-            token = np.where(found_in(nexts, tokens)[1], tokens, _OTHER)[use]
+            token = (tokens if nexts is None else np.where(found_in(nexts, tokens)[1], tokens, _OTHER))[use]
             pairs.add(own[use], parent[use], token, pair_keys(own[use], token))
             yield from pairs.batches(2 * FLUSH)
         yield from pairs.batches()
 
-    return docs.mapInArrow(work, "context long, parent long, token long, pair long, n long").groupBy("context", "parent", "token").agg(F.sum("n").alias("n"))
+    local = docs.mapInArrow(work, "context long, parent long, token long, pair long, n long").drop("pair")
+    return local.groupBy("context", "parent", "token").agg(F.sum("n").alias("n"))
+
+
+def _keys(df: DataFrame, column: str, limit: int) -> np.ndarray | None:
+    """The sorted keys of a written table of at most ``limit`` rows."""
+    if df.count() > limit:
+        return None
+    return np.sort(df.select(column).toArrow().column(0).to_numpy())
 
 
 class Tree:
-    """The states by level: sorted contexts with their escape, sorted pairs with their log10 P."""
+    """The states by level, as sorted arrays: contexts with their escape, pairs with their log10 P."""
 
-    def __init__(self):
+    def __init__(self, levels: list[tuple[DataFrame, DataFrame]]):
         self.contexts: list[np.ndarray] = []
         self.escapes: list[np.ndarray] = []
         self.pairs: list[np.ndarray] = []
         self.probs: list[np.ndarray] = []
+        for states, pairs in levels:
+            context, escape = (c.to_numpy() for c in states.toArrow().columns)
+            order = np.argsort(context)
+            self.contexts.append(context[order])
+            self.escapes.append(escape[order])
+            of, token, prob = (c.to_numpy() for c in pairs.toArrow().columns)
+            key = pair_keys(of, token)
+            order = np.argsort(key)
+            self.pairs.append(key[order])
+            self.probs.append(prob[order])
 
     def log10(self, tokens: np.ndarray, keys: list[np.ndarray], root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """log10 P of each token in its longest state, and whether a pair of a state told it.
@@ -224,68 +252,87 @@ class Tree:
         out[left] += root[left]
         return out, told
 
-    def add(self, context: np.ndarray, token: np.ndarray, n: np.ndarray, total: np.ndarray, above: np.ndarray) -> None:
-        """Add a level from its pairs, sorted by context: counts, count of the context, P in the parent."""
-        begin = np.flatnonzero(np.r_[True, context[1:] != context[:-1]]) if len(context) else np.zeros(0, np.int64)
-        sums = lambda x: np.add.reduceat(x, begin) if len(begin) else np.zeros(0)
-        p = n / total
-        # All tokens that are no pair here count as one symbol in the test.
-        rest, rest_above = np.maximum(1 - sums(p), 1e-12), np.maximum(1 - sums(above), 1e-12)
-        gain = sums(n * np.log(p / above)) + total[begin] * rest * np.log(rest / rest_above)
-        stay = gain >= MIN_GAIN
-        rows = np.repeat(stay, np.diff(np.r_[begin, len(context)]))
-        smooth = (n + PARENT * above) / (total + PARENT)
-        # They share what is left of the mass as the parent's distribution says.
-        left = np.maximum(1 - sums(smooth), 1e-12)
-        pair = pair_keys(context[rows], token[rows])
-        order = np.argsort(pair)
-        self.contexts.append(context[begin][stay])
-        self.escapes.append(np.log10(left / rest_above)[stay])
-        self.pairs.append(pair[order])
-        self.probs.append(np.log10(smooth[rows])[order])
-
-
-def grow(docs: DataFrame, words: DataFrame, n_all: int, norm: float) -> Tree:
-    """The tree; what comes to the driver is bounded by the two shares, whatever the corpus."""
-    often = words.where(F.col("n") >= min(MIN_SHARE, MIN_PAIR) * n_all).toArrow()
-    key, n = often.column("key").to_numpy(), often.column("n").to_numpy()
-    order = np.argsort(key)
-    key, n = key[order], n[order]
-    heads, nexts, logs = key[n >= MIN_SHARE * n_all], key[n >= MIN_PAIR * n_all], np.log10(n[n >= MIN_PAIR * n_all] + 0.5) - norm
-    tree, states, up = Tree(), np.zeros(0, np.int64), []
+
+def learn(docs: DataFrame, words: DataFrame, norm: float, least_count: int = LEAST_COUNT, least_pair: int = LEAST_PAIR) -> list[tuple[DataFrame, DataFrame]]:
+    """Per level the states (context, escape) and their next tokens (context, token, log10 P), as written tables."""
+    heads = _keys(settled(words.where(F.col("n") >= least_count).select("key"), "pst-heads"), "key", SPARE_ROWS)
+    often = words.where(F.col("n") >= least_pair)
+    nexts = _keys(settled(often.select("key"), "pst-nexts"), "key", SPARE_ROWS)
+    # P of each frequent pair in the longest state that is a suffix of its context; at the root, of each token.
+    above = often.select(F.lit(0).cast("long").alias("parent"), F.col("key").alias("token"), F.pow(F.lit(10.0), F.log10(F.col("n") + 0.5) - norm).alias("above"))
+    least = F.lit(1e-12)
+    levels, frequent = [], None
     for level in range(1, DEPTH + 1):
-        counts = written(count_level(docs, level, heads, states, nexts), "pst-level")
-        frequent = counts.groupBy("context", "parent").agg(F.sum("n").alias("total")).where(F.col("total") >= MIN_SHARE * n_all)
-        of_level = frequent.toArrow()
-        pairs = counts.where((F.col("token") != int(_OTHER)) & (F.col("n") >= MIN_PAIR * n_all)).join(
-            frequent, ["context", "parent"]).select("context", "parent", "token", "n", "total").toArrow()
-        context, parent, token, k, total = (pairs.column(i).to_numpy() for i in range(5))
-        order = np.lexsort((token, context))
-        context, parent, token, k, total = (x[order] for x in (context, parent, token, k, total))
-        chain = []
-        for table, above in reversed(up):  # parents of parents, down to one word
-            chain.insert(0, parent)
-            parent = above[found_in(table, parent)[0]] if len(table) else parent
-        at = found_in(nexts, token)[0]
-        above = 10.0 ** tree.log10(token, chain, logs[at] if len(logs) else np.zeros(0))[0]
-        tree.add(context, token, k.astype(np.float64), total.astype(np.float64), above)
-        states, above = of_level.column("context").to_numpy(), of_level.column("parent").to_numpy()
-        order = np.argsort(states)
-        states = states[order]
-        up.append((states, above[order]))
-        if not len(states):
-            break
-    return tree
-
-
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        known = None if frequent is None else _keys(frequent, "context", SPARE_ROWS)
+        counts = settled(count_level(docs, level, heads, known, nexts), "pst-level")
+        discard(frequent)
+        frequent = settled(counts.groupBy("context", "parent").agg(F.sum("n").alias("total")).where(F.col("total") >= least_count), "pst-frequent")
+        pairs = counts.where((F.col("token") != int(_OTHER)) & (F.col("n") >= least_pair)).join(frequent, ["context", "parent"])
+        pairs = pairs.join(above, ["parent", "token"])
+        smooth = (F.col("n") + PARENT * F.col("above")) / (F.col("total") + PARENT)
+        pairs = settled(pairs.select("context", "token", "n", "total", "above", smooth.alias("smooth")), "pst-pairs")
+        discard(counts)
+        # All tokens that are no pair here count as one symbol in the test, and share what is left of the mass as the parent's distribution says.
+        p = F.col("n") / F.col("total")
+        sums = pairs.groupBy("context").agg(F.max("total").alias("total"), F.sum(F.col("n") * F.ln(p / F.col("above"))).alias("gain"),
+                                            F.greatest(1 - F.sum(p), least).alias("rest"), F.greatest(1 - F.sum("above"), least).alias("rest_above"),
+                                            F.greatest(1 - F.sum("smooth"), least).alias("left"))
+        gain = F.col("gain") + F.col("total") * F.col("rest") * F.ln(F.col("rest") / F.col("rest_above"))
+        states = settled(sums.where(gain >= MIN_GAIN).select("context", F.log10(F.col("left") / F.col("rest_above")).alias("escape")), "pst-states")
+        judged = settled(pairs.join(states.select("context", F.lit(True).alias("state")), "context", "left").select(
+            "context", "token", F.coalesce("state", F.lit(False)).alias("state"), F.when(F.col("state"), F.col("smooth")).otherwise(F.col("above")).alias("p")), "pst-judged")
+        discard(pairs)
+        levels.append((states, settled(judged.where("state").select("context", "token", F.log10("p").alias("prob")), "pst-next")))
+        above = judged.select(F.col("context").alias("parent"), "token", F.col("p").alias("above"))
+    discard(frequent)
+    return levels
+
+
+def grow(docs: DataFrame, words: DataFrame, n_all: int, norm: float, least_count: int = LEAST_COUNT, least_pair: int = LEAST_PAIR) -> Tree:
+    """The tree in arrays."""
+    return Tree(learn(docs, words, norm, least_count, least_pair))
+
+
+def _told_by_joins(rows: DataFrame, levels: list[tuple[DataFrame, DataFrame]], words: DataFrame, norm: float) -> DataFrame:
+    """(row, score) of texts whose tokens meet the states in joins; ``rows``: row, text."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, last, data, starts in pieces(batch.column(1)):
+                tokens = token_keys(_normalised(data, starts))
+                row = np.repeat(batch.column(0).slice(first, last - first).to_numpy(), np.diff(np.r_[-1, np.flatnonzero(tokens == _END_KEY)]))
+                keys = contexts(tokens)[0]
+                _, one, n = np.unique(np.stack([row, tokens, *keys]), axis=1, return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(x[one]) for x in (row, tokens, *keys)] + [pa.array(n)], names=["row", "token", *[f"c{d}" for d in range(1, DEPTH + 1)], "k"])
+
+    left = rows.mapInArrow(work, "row long, token long, " + ", ".join(f"c{d} long" for d in range(1, DEPTH + 1)) + ", k long")
+    left = left.withColumn("value", F.lit(0.0)).withColumn("told", F.lit(False))
+    for d in range(len(levels), 0, -1):
+        states, pairs = (t.withColumnRenamed("context", f"c{d}") for t in levels[d - 1])
+        left = left.join(states, f"c{d}", "left").join(pairs, [f"c{d}", "token"], "left")
+        step = F.when(F.col("told") | F.col("escape").isNull(), F.lit(0.0)).otherwise(F.coalesce("prob", "escape"))
+        left = left.select("row", "token", *[f"c{i}" for i in range(1, d)], "k", (F.col("value") + step).alias("value"), (F.col("told") | F.col("prob").isNotNull()).alias("told"))
+    root = F.when(F.col("told"), F.lit(0.0)).otherwise(F.log10(F.coalesce("n", F.lit(0)) + 0.5) - norm)
+    left = left.join(words.withColumnRenamed("key", "token"), "token", "left")
+    return left.groupBy("row").agg(F.sum(F.col("k") * (F.col("value") + root)).alias("joined"))
+
+
+class _Root:
+    """A tree without states."""
+
+    def log10(self, tokens: np.ndarray, keys: list[np.ndarray], root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return root.copy(), np.zeros(len(tokens), bool)
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_count: int = LEAST_COUNT, least_pair: int = LEAST_PAIR) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     words = written(count_tokens(rows), "pst-tokens")
     n_all, n_distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     norm = float(np.log10(n_all + 0.5 * (n_distinct + 1)))
-    tree = grow(rows, words, n_all, norm)
+    levels = learn(rows, words, norm, least_count, least_pair)
+    by_joins = sum(t.count() for level in levels for t in level) > TREE_ROWS
+    tree = _Root() if by_joins else Tree(levels)
     # The least power of two whose table fits; a row per power is collected.
     steps = {r["p"]: r["k"] for r in words.groupBy(F.floor(F.log2("n")).alias("p")).agg(F.count("*").alias("k")).collect()}
     power, size = (max(steps) + 1 if steps else 0), 0
@@ -298,6 +345,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     shared = spark.sparkContext.broadcast((tree, known[order], np.log10(often[order] + 0.5) - norm))
     id_type = rows.schema["doc_id"].dataType.simpleString()
     schema = f"row long, doc_id {id_type}, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<long>, told array<boolean>"
+    if by_joins:
+        schema += ", text string"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -317,11 +366,12 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                 bound = pa.array(np.r_[0, np.cumsum(n_rare)].astype(np.int32))
                 rare, open_ = (pa.ListArray.from_arrays(bound, pa.array(x[~hit])) for x in (tokens, told))
                 n = last - first
+                text = [batch.column(1).slice(first, n)] if by_joins else []
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.arange(row, row + n)), batch.column(0).slice(first, n), pa.array(held_out_mask(ids[first:last])),
                     pa.array(stops - begins + 1), pa.array(np.add.reduceat(hit.astype(np.int64), begins)),
-                    pa.array(np.add.reduceat(value, begins)), pa.array(np.add.reduceat(scores, begins)), rare, open_],
-                    names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare", "told"])
+                    pa.array(np.add.reduceat(value, begins)), pa.array(np.add.reduceat(scores, begins)), rare, open_, *text],
+                    names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare", "told", *["text"] * len(text)])
                 row += n
 
     scored = written(rows.mapInArrow(work, schema), "pst-scored")
@@ -332,8 +382,12 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     found = rare.join(words.where(F.col("n") < (1 << power)), "key", "left").groupBy("row").agg(
         F.sum(F.when(F.col("n").isNotNull(), F.col("k")).otherwise(0)).alias("k"),
         F.sum(F.col("k") * at_root).alias("s"), F.sum(F.col("open") * at_root).alias("s_open"))
-    out = scored.drop("rare", "told").join(found, "row", "left")
+    out = scored.drop("rare", "told", "text").join(found, "row", "left")
     zero = F.lit(0.0)
+    told = F.col("score") + F.coalesce("s_open", zero)
+    if by_joins:
+        out = out.join(_told_by_joins(scored.select("row", "text"), levels, words, norm), "row")
+        told = F.col("joined")
     return out.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("k", F.lit(0))).cast("long").alias("n_known"),
                       F.lit(n_all).cast("long").alias("train_tokens"),
-                      (F.col("base") + F.coalesce("s", zero)).alias("base_score"), (F.col("score") + F.coalesce("s_open", zero)).alias("score"))
+                      (F.col("base") + F.coalesce("s", zero)).alias("base_score"), told.alias("score"))
