@@ -1,18 +1,17 @@
 """Substring dedup by sliding sentence spans.
 
 A text is cut into sentences; a long sentence is cut further after words chosen by their hash, so
-that the same passage is cut alike wherever it stands. From each sentence on, the run of several
-(``LEAST_SENTENCES``) or more consecutive sentences that reaches ``LEAST_WORDS`` words is hashed, and so is the
-shortest such run up to each sentence: two hashes a sentence cover every sentence of a longer repeated run. Runs
-are joined globally on the hash: a run that also occurs in a document with a smaller id, or
-earlier in its own, is a non-first one, and the sentences it covers are removed.
+that the same passage is cut alike wherever it stands. A window of ``LEAST_SENTENCES`` consecutive sentences slides over the
+text, one sentence at a time, and every window is hashed. A longer run is repeated exactly when all its windows are, so the windows stand
+for every run of several sentences, at one hash a sentence. They are joined globally on the hash: a window that also occurs in
+a document with a smaller id, or earlier in its own, is a non-first one, and the sentences it covers are removed.
 
 Only hashes travel: a grouped minimum of ids per hash, then a join of the shared hashes back to the
 runs. A hash that very many documents share is one row per task in the first and split by AQE
 in the second.
 
-Defined results: a null text stays null and has no sentences; a text of fewer words or sentences
-than a run needs is left alone; documents are told apart by id, so rows of one id are not repeats of
+Defined results: a null text stays null and has no sentences; a text of fewer sentences
+than a window is left alone; documents are told apart by id, so rows of one id are not repeats of
 each other; rows without id come last and are not repeats of each other; equal rows lose the same
 sentences and stay as many rows. Other columns are passed through.
 """
@@ -30,8 +29,8 @@ from tessera.llm.arrow import pieces
 from tessera.llm.common import settled, written
 from tessera.llm.hashing import mix, span_hashes
 
+#: Sentences of a window.
 LEAST_SENTENCES = 2
-LEAST_WORDS = 20
 #: A sentence of more words is cut after every word whose hash is divisible by CUT.
 LONG = 12
 CUT = 5
@@ -89,30 +88,15 @@ def sentences(data: np.ndarray, starts: np.ndarray) -> dict[str, np.ndarray]:
     return {"row": unit_row, "begin": begin, "end": end, "words": words, "key": unit}
 
 
-def runs(found: dict[str, np.ndarray], least_sentences: int = LEAST_SENTENCES, least_words: int = LEAST_WORDS) -> tuple[np.ndarray, ...]:
-    """(first sentence, one past the last, hash) of the shortest long-enough run from and up to each sentence, within one text."""
-    words, key, row = found["words"], found["key"], found["row"]
-    n = len(words)
-    if not n:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    upto = np.r_[0, np.cumsum(words)]
-    at = np.arange(n)
-    b = np.maximum(np.searchsorted(upto, upto[:-1] + least_words, side="left"), at + least_sentences)
-    ok = b <= n
-    ok[ok] &= row[np.minimum(b[ok], n) - 1] == row[at[ok]]
-    # A repeated passage is covered to its last sentence by the shortest run that ends there.
-    a = np.minimum(np.searchsorted(upto, upto[1:] - least_words, side="right") - 1, at + 1 - least_sentences)
-    fits = a >= 0
-    fits[fits] &= row[a[fits]] == row[at[fits]]
-    both = np.unique(np.r_[at[ok], a[fits]] * (n + 1) + np.r_[b[ok], at[fits] + 1])
-    a, b = both // (n + 1), both % (n + 1)
+def windows(found: dict[str, np.ndarray], size: int = LEAST_SENTENCES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first sentence, one past the last, hash) of every window of ``size`` sentences within one text."""
+    key, row = found["key"], found["row"]
+    n = max(len(key) - size + 1, 0)
+    a = np.flatnonzero(row[:n] == row[size - 1:size - 1 + n])
     out = np.zeros(len(a), np.uint64)
-    open_, j = np.arange(len(a)), 0
-    while len(open_):
-        out[open_] = mix(out[open_] * np.uint64(0x9E3779B97F4A7C15) + key[a[open_] + j])
-        j += 1
-        open_ = open_[b[open_] - a[open_] > j]
-    return a, b, mix(out + (b - a).astype(np.uint64)).view(np.int64)
+    for j in range(size):
+        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + key[a + j])
+    return a, a + size, out.view(np.int64)
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -128,7 +112,7 @@ def repeated_sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             for first, last, data, starts in pieces(batch.column(2)):
                 found = sentences(data, starts)
-                a, b, key = runs(found)
+                a, b, key = windows(found)
                 owner = found["row"][a] if len(a) else a
                 offset = np.searchsorted(found["row"], np.arange(last - first))  # first sentence of each text
                 # A run that stood earlier in the same text is a repeat whatever other texts hold.
