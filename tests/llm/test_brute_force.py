@@ -11,6 +11,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.llm.hashing import span_hashes
 from tessera.llm import decontaminate, jaccard, language, mixing, neighbours, queries, secrets, shards, spans, suffix, suffix_tree
 
 from .conftest import SF, texts_of
@@ -384,23 +385,65 @@ def test_spans_remove_whole_passage(spark):
             assert got[i].n_removed == len(cuts[k]) and got[i].text.split() == texts[i].replace(p, "").split()
 
 
-def test_spans_against_plain_runs(spark, documents):
-    """The operator's own cut into sentences, joined by plain dictionaries."""
-    seen, want, own = {}, {}, {}
-    for i in sorted(TEXTS):
-        data = np.frombuffer(TEXTS[i].encode(), np.uint8)
-        found = spans.sentences(data, np.array([0, len(data)]))
-        assert "".join(TEXTS[i].encode()[a:b].decode("utf-8", "replace") for a, b in zip(found["begin"], found["end"])) == TEXTS[i][TEXTS[i].find(TEXTS[i].lstrip()[:1]):]
-        own[i] = list(zip(*spans.runs(found)))
-        gone, here = set(), set()
-        for a, b, key in own[i]:
-            if key in here or seen.get(key, i) != i:
-                gone |= set(range(a, b))
-            here.add(key)
-            seen.setdefault(key, i)
-        want[i] = len(gone)
+def plain_units(text):
+    """Words of each sentence, and where they begin and end in the text."""
+    found, unit = [], []
+    words = [(m.group().encode(), m.start(), m.end()) for m in re.finditer(r"[^ \t\n\x0b\x0c\r]+", text)]
+    for i, (w, _, end) in enumerate(words):
+        unit.append(i)
+        after = text[end:words[i + 1][1]] if i + 1 < len(words) else "\n"
+        if w[-1:] in (b".", b"!", b"?") or "\n" in after:
+            found.append(unit)
+            unit = []
+    cut = []
+    for unit in found:
+        low = [words[i][0].lower() for i in unit]
+        part = []
+        for i, w in zip(unit, low):
+            part.append(w)
+            data = np.frombuffer(w, np.uint8)
+            if len(unit) > spans.LONG and span_hashes(data, np.array([0]), np.array([len(data)]))[0] % np.uint64(spans.CUT) == 0:
+                cut.append(tuple(part))
+                part = []
+        if part:
+            cut.append(tuple(part))
+    return cut
+
+
+def plain_repeats(texts, least=2):
+    """Sentences that a repeated run of ``least`` or more consecutive ones covers, by comparing the words of runs of every length."""
+    seen, out = {}, {}
+    for i in sorted(texts):
+        units, gone, here = plain_units(texts[i] or ""), set(), {}
+        for a in range(len(units)):
+            run = 0
+            for b in range(a, len(units)):
+                run = hash((run, units[b]))
+                if b - a + 1 >= least:
+                    if run in seen or run in here:
+                        gone |= set(range(a, b + 1))
+                    elif b - a + 1 > 12:
+                        break  # a longer run is repeated only if this one is
+                    here.setdefault(run, i)
+        for run in here:
+            seen.setdefault(run, i)
+        out[i] = (len(units), len(gone))
+    return out
+
+
+def test_spans_against_every_run(spark, documents):
+    """Runs of all lengths, as words in plain dictionaries."""
     got = by_id(spans.remove_repeats(documents, report=True))
-    assert {i: r.n_removed for i, r in got.items()} == want
+    assert {i: (r.n_sentences, r.n_removed) for i, r in got.items()} == plain_repeats(TEXTS)
+    assert any(r.n_removed for r in got.values())
+
+
+def test_spans_remove_short_runs(spark):
+    run = "Seven words stand in this first one. And six stand in the second."
+    texts = {1: "Own words begin here. " + run + " And own words end it.", 2: run + " Other words follow now.", 3: "Something else. " + run, 4: "And six stand in the second. Nothing else."}
+    got = by_id(spans.remove_repeats(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), report=True))
+    assert {i: (r.n_sentences, r.n_removed) for i, r in got.items()} == plain_repeats(texts) == {1: (4, 0), 2: (3, 2), 3: (3, 2), 4: (2, 0)}
+    assert got[2].text == "Other words follow now." and got[3].text == "Something else. "
 
 
 def test_suffix_tree_base_and_held_out(spark):
@@ -425,7 +468,7 @@ def test_suffix_tree_states_are_distributions(spark):
     rows = {r.key: r.n for r in words.collect()}
     n, v = sum(rows.values()), len(rows)
     norm = math.log10(n + 0.5 * (v + 1))
-    tree = suffix_tree.grow(df, words, n, norm)
+    tree = suffix_tree.grow(df, words, n, norm, least_count=20, least_pair=2)
     assert len(tree.contexts[0]) and len(tree.contexts[1])
     data = np.frombuffer(suffix_tree.normalise(b"a b c d") + suffix_tree.normalise(b"x b q"), np.uint8)
     keys, _ = suffix_tree.contexts(suffix_tree.token_keys(data))
@@ -434,3 +477,68 @@ def test_suffix_tree_states_are_distributions(spark):
     for at in range(len(keys[0])):
         p, _ = tree.log10(every, [np.full(len(every), k[at]) for k in keys], root)
         assert 0.98 < (10.0**p).sum() <= 1 + 1e-9  # the rest belongs to unseen tokens
+
+
+def plain_suffix_tree(texts, held, least_count, least_pair):
+    """Scores by a tree in dictionaries, straight from the definition."""
+    end = None
+    tokens = {i: (t or "").encode().lower().split() + [end] for i, t in texts.items()}
+    learnt = [t for i, t in tokens.items() if not held[i]]
+    count = collections.Counter(w for t in learnt for w in t)
+    n, v = sum(count.values()), len(count)
+    root = lambda w: (count[w] + 0.5) / (n + 0.5 * (v + 1))
+    context = lambda t, k, d: tuple(t[k - j] if k >= j else end for j in range(1, d + 1))  # noqa: E731  (nearest word first)
+    above, levels = None, []
+    for d in range(1, suffix_tree.DEPTH + 1):
+        follow = collections.defaultdict(collections.Counter)
+        for t in learnt:
+            for k, w in enumerate(t):
+                follow[context(t, k, d)][w] += 1
+        states, known = {}, {}
+        for c, nexts in follow.items():
+            total = nexts.total()
+            kept = {w: k for w, k in nexts.items() if k >= least_pair}
+            if total < least_count or not kept:
+                continue
+            up = {w: root(w) if d == 1 else above[c[:-1], w] for w in kept}
+            rest, rest_up = max(1 - sum(k / total for k in kept.values()), 1e-12), max(1 - sum(up.values()), 1e-12)
+            gain = sum(k * math.log(k / total / up[w]) for w, k in kept.items()) + total * rest * math.log(rest / rest_up)
+            smooth = {w: (k + suffix_tree.PARENT * up[w]) / (total + suffix_tree.PARENT) for w, k in kept.items()}
+            if gain >= suffix_tree.MIN_GAIN:
+                states[c] = (smooth, max(1 - sum(smooth.values()), 1e-12) / rest_up)
+            known |= {(c, w): (smooth if gain >= suffix_tree.MIN_GAIN else up)[w] for w in kept}
+        above = known
+        levels.append(states)
+
+    def log10(t, k):
+        out = 0.0
+        for d in range(suffix_tree.DEPTH, 0, -1):
+            state = levels[d - 1].get(context(t, k, d))
+            if state and t[k] in state[0]:
+                return out + math.log10(state[0][t[k]])
+            out += math.log10(state[1]) if state else 0.0
+        return out + math.log10(root(t[k]))
+
+    return {i: sum(log10(t, k) for k in range(len(t))) for i, t in tokens.items()}, [len(s) for s in levels]
+
+
+@pytest.mark.parametrize("by_joins", [False, True])
+def test_suffix_tree_against_plain_tree(spark, documents, monkeypatch, by_joins):
+    if by_joins:
+        monkeypatch.setattr(suffix_tree, "TREE_ROWS", 0)
+        monkeypatch.setattr(suffix_tree, "TABLE_ROWS", 0)
+        monkeypatch.setattr(suffix_tree, "SPARE_ROWS", 0)
+    held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i in TEXTS}
+    want, states = plain_suffix_tree(TEXTS, held, 30, 3)
+    got = by_id(suffix_tree.score(documents, least_count=30, least_pair=3))
+    assert all(states) and all(math.isclose(got[i].score, s, rel_tol=1e-9) for i, s in want.items())
+
+
+def test_suffix_tree_grows_with_its_input(spark):
+    sizes = []
+    for sf in ("0.001", "0.01"):
+        docs = spark.read.parquet(f"/root/testdata/sf{sf}/documents.parquet").select("doc_id", "text")
+        words = suffix_tree.written(suffix_tree.count_tokens(docs), "t")
+        n, v = words.agg(F.sum("n"), F.count("*")).first()
+        sizes.append([(s.count(), p.count()) for s, p in suffix_tree.learn(docs, words, math.log10(n + 0.5 * (v + 1)))])
+    assert all(a[0] <= b[0] and a[1] <= b[1] for a, b in zip(*sizes)) and sizes[0][0][0] < sizes[1][0][0] and sizes[0][0][1] < sizes[1][0][1]
