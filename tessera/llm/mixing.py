@@ -5,8 +5,9 @@ left of the target is filled by Efraimidis-Spirakis sampling: every document dra
 ``-ln(u) / weight`` (``u`` from a hash of seed and id, so reruns agree), documents are sorted by key
 within their source, and the prefix sums of their sizes are cut at the budget.
 
-The sort of a source is spread over many tasks: keys fall into buckets by a monotone function,
-bucket totals give every bucket its offset, and only rows of one bucket meet in one task.
+The sort of a source is spread over many tasks: keys fall into buckets by a monotone function, bucket
+totals give every bucket its offset, and only rows of one bucket meet in one task. The function is the distribution
+of the source's keys itself, a mixture over the weights of its documents, so buckets are even whatever the weights.
 
 Defined results: a null text has size 0; a null source is a source of its own, last in order; a
 source of size 0 has target 0; equal rows are separate documents with draws of their own; a
@@ -25,6 +26,8 @@ MAX_EPOCHS = 3
 SEED = "mix-1"
 #: Sampling weight of labelled documents (quality 1, quality 0); others weigh 1.
 GOOD, POOR = 2.0, 0.5
+#: The weights that occur, each with the name of its count in a source.
+KINDS = {"n_good": GOOD, "n_poor": POOR, "n_other": 1.0}
 #: Rows of a source that share a bucket, on average.
 BUCKET_ROWS = 20_000
 
@@ -66,6 +69,11 @@ def draw(seed: str, *parts: Column) -> Column:
     return (F.conv(F.substring(code, 1, 13), 16, 10).cast("double") + F.lit(0.5)) / F.lit(float(1 << 52))
 
 
+def share_below() -> Column:
+    """Expected share of a source's ``docs`` that draw less than ``key``, from its counts by weight; it grows with the key."""
+    return sum((F.col(name) * (1 - F.exp(-w * F.col("key"))) for name, w in KINDS.items()), F.lit(0.0)) / F.col("docs")
+
+
 def plan(docs: DataFrame, quality: DataFrame | None = None, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED,
          bucket_rows: int = BUCKET_ROWS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """``doc_id, text_key, occurrence, size, source, source_size, target, repeats`` for every document.
@@ -76,22 +84,23 @@ def plan(docs: DataFrame, quality: DataFrame | None = None, weights=WEIGHTS, max
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
                        F.xxhash64(F.col(text_col)).alias("text_key"), n_tokens(F.col(text_col)).alias("size"))
-    # Equal rows become one row with a count, then as many rows with numbers of their own.
-    counted = written(rows.groupBy("doc_id", "source", "text_key", "size").agg(F.count("*").alias("n")), "mix-sizes")
-    sizes = counted.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("docs"))
-    aims = written(targets(sizes, weights, max_epochs), "mix-targets")
-    each = counted.withColumn("occurrence", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).drop("n")
     if quality is not None:
         marks = quality.groupBy(F.col("doc_id").alias("q_id")).agg(F.min("quality").alias("quality"))
-        each = each.join(marks, F.col("doc_id") == F.col("q_id"), "left").drop("q_id")
+        rows = rows.join(marks, F.col("doc_id") == F.col("q_id"), "left").drop("q_id")
     else:
-        each = each.withColumn("quality", F.lit(None).cast("int"))
-    weight = F.when(F.col("quality") == 1, GOOD).when(F.col("quality") == 0, POOR).otherwise(1.0)
+        rows = rows.withColumn("quality", F.lit(None).cast("int"))
+    rows = rows.withColumn("weight", F.when(F.col("quality") == 1, GOOD).when(F.col("quality") == 0, POOR).otherwise(1.0))
+    # Equal rows become one row with a count, then as many rows with numbers of their own.
+    counted = written(rows.groupBy("doc_id", "source", "text_key", "size", "weight").agg(F.count("*").alias("n")), "mix-sizes")
+    shares = [F.sum(F.when(F.col("weight") == w, F.col("n")).otherwise(0)).alias(name) for name, w in KINDS.items()]
+    sizes = counted.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("docs"), *shares)
+    aims = written(targets(sizes, weights, max_epochs), "mix-targets")
+    each = counted.withColumn("occurrence", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).drop("n")
     # A row per source: a mixture has few; Spark broadcasts it below its own threshold, else shuffles.
-    each = each.join(aims.select(F.col("source").alias("s"), "source_size", "target", "docs"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    each = each.withColumn("key", -F.log(draw(seed, F.col("doc_id"), F.col("occurrence"))) / weight)
+    each = each.join(aims.select(F.col("source").alias("s"), "source_size", "target", "docs", *KINDS), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    each = each.withColumn("key", -F.log(draw(seed, F.col("doc_id"), F.col("occurrence"))) / F.col("weight"))
     buckets = F.greatest(F.lit(1), F.ceil(F.col("docs") / bucket_rows))
-    each = each.withColumn("bucket", F.least(buckets - 1, F.floor(buckets * (1 - F.exp(-F.col("key"))))))
+    each = each.withColumn("bucket", F.least(buckets - 1, F.floor(buckets * share_below()))).drop(*KINDS)
     each = each.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
     each = written(each, "mix-keys")
     totals = each.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
