@@ -14,14 +14,16 @@ answer, so no more are kept, and nothing is lost. A bucket is joined in blocks o
 (index rows dealt by hash, probes by another), whatever its share of the rows; every index row of a probed
 bucket is met. Each block keeps a query's best ``top + 1``, of equal scores the classes of smallest ids, which is all that the final merge can use.
 
-Defined results: vectors that are null, empty, zero or hold null or non-finite components take no part,
-neither do those of another length than ``dim``; ties go to the smaller id; with fewer candidates than ``top`` all of them
-are returned; rows that share an id and a vector are one row; an empty table has no rows.
+Defined results: vectors that are null, empty, zero or hold null or non-finite components take no part;
+an inner product needs two vectors of one length, so each length is searched by itself, one after the other (a table
+has one, or a few); ties go to the smaller id; with fewer candidates than ``top`` all of them are returned; rows that
+share an id and a vector are one row; an empty table has no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -103,13 +105,17 @@ def search(vectors: DataFrame, queries: DataFrame, top: int = TOP, id_col: str =
                 .withColumn("class", F.xxhash64("vec", F.size("vec"))))
 
     rows, asked = usable(vectors), usable(queries)
-    shape = rows.groupBy(F.size("vec").alias("dim")).agg(F.count("*").alias("n"), F.max("square").alias("square")).orderBy(F.desc("n"), "dim").first()
-    schema = "query_id long, rank int, vec_id long, score double"
-    if shape is None:
-        return spark.createDataFrame([], schema)
-    dim, largest = shape["dim"], float(np.sqrt(shape["square"]))
-    rows, asked = rows.where(F.size("vec") == dim), asked.where(F.size("vec") == dim)
+    # A row per length of vectors; lengths that no query has are never searched.
+    wanted = {r["dim"] for r in asked.select(F.size("vec").alias("dim")).distinct().collect()}
+    shapes = rows.groupBy(F.size("vec").alias("dim")).agg(F.max("square").alias("square")).orderBy("dim").collect()
+    out = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    found = [_of_one_length(*(t.where(F.size("vec") == r["dim"]) for t in (rows, asked)), r["dim"], float(np.sqrt(r["square"])), top)
+             for r in shapes if r["dim"] in wanted]
+    return reduce(DataFrame.unionByName, found) if found else out
 
+
+def _of_one_length(rows: DataFrame, asked: DataFrame, dim: int, largest: float, top: int) -> DataFrame:
+    """The answers to ``asked`` among ``rows`` (vec_id, vec, square, class), all vectors of length ``dim``."""
     # Of equal vectors the smallest ids; Spark limits each group before it shuffles.
     smallest = F.row_number().over(W.partitionBy("class").orderBy("vec_id"))
     members = written(rows.select("class", "vec_id").distinct().withColumn("r", smallest).where(F.col("r") <= top + 1).drop("r"), "ann-members")
