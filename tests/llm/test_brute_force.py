@@ -249,6 +249,18 @@ def test_mixing_plan(spark):
     assert all(abs(taken[s] - target[s]) <= largest for s in target)
 
 
+def test_mixing_buckets_are_even_for_any_weights(spark):
+    for marks in ({0: 1.0}, {0: 0.3, 1: 0.3}, {}):
+        n = 40_000
+        kind = F.when(F.col("id") < int(n * marks.get(0, 0)), mixing.POOR).when(F.col("id") >= int(n * (1 - marks.get(1, 0))), mixing.GOOD).otherwise(1.0)
+        keyed = spark.range(n).withColumn("weight", kind).withColumn("docs", F.lit(n)).withColumn("key", -F.log(mixing.draw("t", F.col("id"))) / F.col("weight"))
+        counts = keyed.agg(*[F.sum((F.col("weight") == w).cast("int")).alias(name) for name, w in mixing.KINDS.items()])
+        dealt = keyed.join(F.broadcast(counts)).withColumn("b", F.floor(40 * mixing.share_below()))
+        of = {r.b: r for r in dealt.groupBy("b").agg(F.count("*").alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi")).collect()}
+        assert sorted(of) == list(range(40)) and max(r.n for r in of.values()) < 1.2 * n / 40
+        assert all(of[b].hi < of[b + 1].lo for b in range(39))
+
+
 def brute_components(texts, k, percent):
     sets = {}
     for i, t in texts.items():
