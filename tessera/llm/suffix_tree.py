@@ -12,7 +12,9 @@ log10 P(token | state), the state being the longest suffix of what precedes that
 States and their next tokens are written tables, a pair per level, made by grouped sums and joins. While all of them together have at
 most ``TREE_ROWS`` rows they go to the workers as sorted arrays and texts are scored where they are; beyond that the tokens
 of the texts meet the tables in joins, level by level, with the same result. Sets that only spare the counting
-rows (frequent words, frequent shorter contexts) go to the workers up to ``SPARE_ROWS`` rows, and are left out beyond.
+rows (frequent words, frequent shorter contexts, frequent pairs) go to the workers up to ``SPARE_ROWS`` rows, and are left out beyond.
+A context of d + 1 tokens is a pair of the level before, its d oldest tokens and the one after them, so that level's counts tell
+which contexts are frequent before they are counted.
 
 The root needs the training count of every token. The most frequent tokens, at most ``TABLE_ROWS``
 of them, go to the workers; all others are resolved by a join on their hash, so the
@@ -59,8 +61,8 @@ FLUSH = 1 << 19
 #: The end symbol is a byte that UTF-8 never has.
 SPACE, END = 0x20, 0xFF
 _END_KEY = np.int64(0x5EED0E4D)
-#: Stands for all next tokens that are too rare to be kept.
-_OTHER = np.int64(0x07E40000)
+#: In place of a next token: the row of the context itself, with all that follows it.
+_TOTAL = np.int64(0x07E40000)
 
 
 def normalise(raw: bytes) -> bytes:
@@ -87,8 +89,8 @@ def token_keys(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def contexts(tokens: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """For each length d from 1: the key of the d tokens before each token, and the first of them.
+def contexts(tokens: np.ndarray, depth: int = DEPTH) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """For each length d from 1 to ``depth``: the key of the d tokens before each token, and the first of them.
 
     Before a text's first token stand end tokens, so that texts do not run into each other.
     """
@@ -98,7 +100,7 @@ def contexts(tokens: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
     begin[stops[:-1] + 1] = stops[:-1] + 1
     since = np.arange(n) - np.maximum.accumulate(begin)
     out, oldest, key = [], [], np.zeros(n, np.uint64)
-    for d in range(1, DEPTH + 1):
+    for d in range(1, depth + 1):
         before = np.full(n, _END_KEY, np.int64)
         before[d:] = tokens[:-d]
         before[since < d] = _END_KEY
@@ -180,26 +182,35 @@ def count_tokens(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(work, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def count_level(docs: DataFrame, level: int, heads, states, nexts) -> DataFrame:
-    """(context, parent, token, n) for contexts of ``level`` words.
+def count_level(docs: DataFrame, level: int, heads, states, nexts, met) -> DataFrame:
+    """(context, parent, token, n) for contexts of ``level`` words; a context's total stands under ``_TOTAL``.
 
-    Only contexts whose oldest word is frequent (``heads``) and whose suffix is a frequent context
-    (``states``) are counted; tokens outside ``nexts`` count as one. None spares nothing: all are counted then.
+    Only contexts whose oldest word is frequent (``heads``), whose suffix is a frequent context (``states``) and that are
+    a frequent pair of the level before (``met``, which implies the other two) are counted, and only tokens in ``nexts``.
+    None spares nothing: all are counted then.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((heads, states, nexts))
+    shared = docs.sparkSession.sparkContext.broadcast((heads, states, nexts, met))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heads, states, nexts = shared.value
+        heads, states, nexts, met = shared.value
         pairs = _Counter(["context", "parent", "token", "pair"])
         for tokens in _training_tokens(batches):
-            keys, oldest = contexts(tokens)
+            keys, oldest = contexts(tokens, level)
             own = keys[level - 1]
             parent = keys[level - 2] if level > 1 else np.zeros(len(own), np.int64)
-            use = np.ones(len(own), bool) if heads is None else found_in(heads, oldest[level - 1])[1]
-            if level > 1 and states is not None:
-                use &= found_in(states, parent)[1]
-            token = (tokens if nexts is None else np.where(found_in(nexts, tokens)[1], tokens, _OTHER))[use]
-            pairs.add(own[use], parent[use], token, pair_keys(own[use], token))
+            if met is not None:
+                # Before a text's first token there is no pair; its context of end tokens alone is counted in any case.
+                use = np.r_[True, found_in(met, pair_keys(parent, tokens)[:-1])[1] | (tokens[:-1] == _END_KEY)]
+            else:
+                use = np.ones(len(own), bool) if heads is None else found_in(heads, oldest[level - 1])[1]
+                if level > 1 and states is not None:
+                    use &= found_in(states, parent)[1]
+            own, parent, token = own[use], parent[use], tokens[use]
+            total = np.full(len(own), _TOTAL)
+            pairs.add(own, parent, total, pair_keys(own, total))
+            told = slice(None) if nexts is None else found_in(nexts, token)[1]
+            own, parent, token = own[told], parent[told], token[told]
+            pairs.add(own, parent, token, pair_keys(own, token))
             yield from pairs.batches(2 * FLUSH)
         yield from pairs.batches()
 
@@ -214,6 +225,14 @@ def _keys(df: DataFrame, column: str, limit: int) -> np.ndarray | None:
     return np.sort(df.select(column).toArrow().column(0).to_numpy())
 
 
+def _pairs(df: DataFrame, limit: int) -> np.ndarray | None:
+    """The sorted pair keys of a written table (context, token) of at most ``limit`` rows."""
+    if df.count() > limit:
+        return None
+    context, token = (c.to_numpy() for c in df.select("context", "token").toArrow().columns)
+    return np.sort(pair_keys(context, token))
+
+
 class Tree:
     """The states by level, as sorted arrays: contexts with their escape, pairs with their log10 P."""
 
@@ -261,13 +280,15 @@ def learn(docs: DataFrame, words: DataFrame, norm: float, least_count: int = LEA
     # P of each frequent pair in the longest state that is a suffix of its context; at the root, of each token.
     above = often.select(F.lit(0).cast("long").alias("parent"), F.col("key").alias("token"), F.pow(F.lit(10.0), F.log10(F.col("n") + 0.5) - norm).alias("above"))
     least = F.lit(1e-12)
-    levels, frequent = [], None
+    levels, frequent, met = [], None, None
     for level in range(1, DEPTH + 1):
         known = None if frequent is None else _keys(frequent, "context", SPARE_ROWS)
-        counts = settled(count_level(docs, level, heads, known, nexts), "pst-level")
+        counts = settled(count_level(docs, level, heads, known, nexts, met).where(F.col("n") >= min(least_pair, least_count)), "pst-level")
         discard(frequent)
-        frequent = settled(counts.groupBy("context", "parent").agg(F.sum("n").alias("total")).where(F.col("total") >= least_count), "pst-frequent")
-        pairs = counts.where((F.col("token") != int(_OTHER)) & (F.col("n") >= least_pair)).join(frequent, ["context", "parent"])
+        whole = F.col("token") == int(_TOTAL)
+        frequent = settled(counts.where(whole & (F.col("n") >= least_count)).select("context", "parent", F.col("n").alias("total")), "pst-frequent")
+        met = _pairs(counts.where(~whole & (F.col("n") >= least_count)), SPARE_ROWS) if level < DEPTH and least_pair <= least_count else None
+        pairs = counts.where(~whole & (F.col("n") >= least_pair)).join(frequent, ["context", "parent"])
         pairs = pairs.join(above, ["parent", "token"])
         smooth = (F.col("n") + PARENT * F.col("above")) / (F.col("total") + PARENT)
         pairs = settled(pairs.select("context", "token", "n", "total", "above", smooth.alias("smooth")), "pst-pairs")
