@@ -150,6 +150,9 @@ class _Counter:
         if self.n > least:
             parts, self.parts, self.n = self.parts, [], 0
             for columns, counts in parts:
+                # Rows of one context together: what repeats from row to row takes little room in the shuffle.
+                order = np.argsort(columns[0])
+                columns, counts = [c[order] for c in columns], counts[order]
                 for a in range(0, len(counts), 1 << 18):
                     yield pa.RecordBatch.from_arrays([pa.array(x[a:a + (1 << 18)]) for x in (*columns, counts)], names=[*self.names, "n"])
 
