@@ -48,17 +48,21 @@ from tessera.llm.hashing import GOLDEN, mix, span_hashes
 #: Largest chance that a linked pair is not posted together.
 MISS = 1e-12
 #: Elements of a sketch by threshold: more where sets may differ more.
-SKETCH = {90: 32, 80: 48}
+SKETCH = {90: 64, 80: 96}
 #: Set sizes that the cost is measured for at first; more, as long as the least cost is at the end of them.
 LIGHT_MOST = 20
 #: Rounds of lists before the remaining pairs are compared, if these are not few enough before.
 ROUNDS = 5
-#: Pairs in lists for each node that cost less than another round.
-PAIRS_PER_NODE = 20
+#: Members of a list up to which all its pairs are compared at once.
+SHORT = 8
+#: Pairs in longer lists for each node that cost less than another round.
+PAIRS_PER_NODE = 2
 #: Pairs that are compared at once when no round is left, at least.
 PAIRS_AT_ONCE = 1_000_000
 #: Largest distance of a near member. Far ones begin more than a link distance below it.
 NEAR = 0.45
+#: Rows of narrow tables between steps for each file, and the least number of files: many shuffle partitions make no more of them.
+FILE_ROWS, LEAST_FILES = 25_000, 8
 #: Rows of the table of frequent elements.
 FREQUENT_ROWS = 1 << 18
 
@@ -113,7 +117,7 @@ def least_common(size: int, similarity: float) -> int:
 @cache
 def sketch_plan(percent: int) -> tuple[int, int]:
     """(elements of a sketch, least number that sketches of a linked pair share)."""
-    size = SKETCH.get(percent) or (32 if percent >= 90 else 96 if percent < 80 else 48)
+    size = SKETCH.get(percent) or (64 if percent >= 90 else 128 if percent < 80 else 96)
     return size, max(1, least_common(size, percent / 100))
 
 
@@ -202,14 +206,14 @@ def _subset_keys(keys: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _postings(nodes: DataFrame, percent: int, x: int, frequent) -> DataFrame:
-    """(key, node, weight): subset keys of light sets, prefix elements of heavy ones; how common its elements are."""
+    """(key, node, n, weight): subset keys of light sets, prefix elements of heavy ones; how common its elements are."""
     spark = nodes.sparkSession
     shared = spark.sparkContext.broadcast(frequent)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot, often = shared.value
         for batch in batches:
-            keys, owners, weights = [], [], []
+            keys, owners, counts, weights = [], [], [], []
             for node, n, sketch in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 own = np.asarray(sketch.values)
                 f = np.zeros(len(own), np.int64)
@@ -222,12 +226,17 @@ def _postings(nodes: DataFrame, percent: int, x: int, frequent) -> DataFrame:
                     mine = own[np.lexsort((own, f))][:prefix_length(n, percent)]
                     keys.append(np.concatenate([keys.pop(), mine]) if n <= x else mine)
                 owners.append(np.full(len(keys[-1]), node))
+                counts.append(np.full(len(keys[-1]), n))
                 weights.append(np.full(len(keys[-1]), np.log2(1 + f).sum() / len(own)))
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).astype(np.int64)), pa.array(np.concatenate(owners).astype(np.int64)),
-                                                  pa.array(np.concatenate(weights))], names=["key", "node", "weight"])
+                                                  pa.array(np.concatenate(counts).astype(np.int64)), pa.array(np.concatenate(weights))], names=["key", "node", "n", "weight"])
 
-    return nodes.select("node", "n", "keys").mapInArrow(work, "key long, node long, weight double")
+    return nodes.select("node", "n", "keys").mapInArrow(work, "key long, node long, n long, weight double")
+
+
+def _files(rows: int) -> int:
+    return max(LEAST_FILES, math.ceil(rows / FILE_ROWS))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -236,25 +245,31 @@ def components(edges: DataFrame) -> DataFrame:
     Minimum labels travel along the edges, and each label is replaced by its own label, so long
     chains halve; a round is written, and the rounds end when no label changes.
     """
-    both = settled(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "cc-edges")
-    labels = held = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), "cc-labels")
+    files = _files(2 * edges.count())
+    both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().coalesce(files), "cc-edges")
+    held = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.col("node").alias("old"), F.least("node", "m").alias("label")).coalesce(files), "cc-labels")
     while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("m"))
-        step = labels.join(near, "node").select("node", "label", F.least("label", "m").alias("best"))
+        labels = sized(held.select("node", "label"))
+        near = both.join(labels.withColumnRenamed("node", "b"), "b").select(F.col("a").alias("node"), F.lit(None).cast("long").alias("old"), "label")
+        step = near.unionByName(held.select("node", F.col("label").alias("old"), "label")).groupBy("node").agg(F.max("old").alias("old"), F.min("label").alias("best"))
         jump = labels.select(F.col("node").alias("best"), F.col("label").alias("far"))
-        fresh = written(step.join(jump, "best", "left").select("node", F.col("label").alias("old"), F.least("best", "far").alias("label")), "cc-labels")
+        fresh = written(step.join(jump, "best", "left").select("node", "old", F.least("best", "far").alias("label")).coalesce(files), "cc-labels")
         discard(held)
         held = fresh
         if not fresh.where("old != label").limit(1).count():
             discard(both)
             return fresh.select("node", "label")
-        labels = fresh.select("node", "label")
 
 
-def _measured(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, repeated: DataFrame, k: int, percent: int, similarity: float, deltas: bool) -> DataFrame:
-    """``pairs`` (a, b) that may be as similar as ``similarity``, on whole sets: n_a, n_b, common, total (of the union), linked, delta.
+def _labelled(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """``lists`` with the components known by now."""
+    return lists.drop("comp").join(sized(labels).withColumnRenamed("label", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+
+
+def _measured(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, repeated: DataFrame, k: int, percent: int) -> DataFrame:
+    """The ``pairs`` (a, b, n_a, n_b, wide) that may be linked, or near if they are ``wide``, on whole sets: common, total (of the union), linked, delta.
 
-    ``delta`` (with ``deltas``): the elements that one of the two has alone. Sizes are compared first, then sketches cut to 31 bits, and only what
+    ``delta`` (of wide ones): the elements that one of the two has alone. Sketches cut to 31 bits are compared first, and only what
     is left brings its whole sets, of one text a node: the sets go through one shuffle by node, and each pair carries one of its two.
     """
     size = sketch_plan(percent)[0]
@@ -264,71 +279,73 @@ def _measured(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, repeated: Dat
             left = left.join(table.select(*[F.col(c).alias(s if c == "node" else f"{c}_{s}") for c in table.columns]), s)
         return left
 
-    low, high = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
-    sizes = written(sides(pairs, nodes.select("node", "n")).where(low >= F.floor(high * similarity)), "jaccard-sizes")
     # Two common elements of a sketch that agree in 31 bits count once: one less is asked for, and two such coincidences are rarer than MISS.
-    need = F.least(F.lit(least_common(size, similarity)), F.floor(high * similarity)) - 1
-    near = sides(sizes, nodes.select("node", F.transform("keys", lambda x: x.bitwiseAND(F.lit(2**31 - 1)).cast("int")).alias("keys")))
-    near = settled(near.where(F.size(F.array_intersect("keys_a", "keys_b")) >= need).select("a", "b"), "jaccard-near")
-    discard(sizes)
+    high = F.greatest("n_a", "n_b")
+    least = F.when(F.col("wide"), F.least(F.lit(least_common(size, 1 - NEAR)), F.floor(high * (1 - NEAR)))).otherwise(
+        F.least(F.lit(least_common(size, percent / 100)), F.floor(high * (percent / 100))))
+    near = sides(pairs, nodes.select("node", F.transform("keys", lambda x: x.bitwiseAND(F.lit(2**31 - 1)).cast("int")).alias("keys")))
+    near = settled(near.where(F.size(F.array_intersect("keys_a", "keys_b")) >= least - 1).select(*pairs.columns), "jaccard-near")
     # The whole sets of the nodes left, from one text each.
-    wanted = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
+    wanted = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     keep = nodes.join(wanted, "node", "left_semi").select(F.col("from.doc_id").alias("k_id"), F.col("from.text_key").alias("k_key"))
-    keep = settled(keep.join(repeated, (F.col("k_key") == F.col("r_key")) & F.col("k_id").eqNullSafe(F.col("r_id")), "left").select(
+    keep = written(keep.join(repeated, (F.col("k_key") == F.col("r_key")) & F.col("k_id").eqNullSafe(F.col("r_id")), "left").select(
         "k_id", "k_key", F.col("r_key").isNotNull().alias("many")), "jaccard-wanted")
     texts = docs.join(sized(keep), (F.col("text_key") == F.col("k_key")) & F.col("doc_id").eqNullSafe(F.col("k_id")))
     texts = texts.where("NOT many").unionByName(texts.where("many").dropDuplicates(["doc_id", "text_key"])).select("doc_id", "text_key", "text")
-    full = sides(near, _sets(texts, k, percent, True).select("node", "n", "keys"))
+    full = sides(near, _sets(texts, k, percent, True).select("node", "keys"))
     full = full.withColumn("common", F.size(F.array_intersect("keys_a", "keys_b")))
     full = full.withColumn("total", F.col("n_a") + F.col("n_b") - F.col("common"))
     linked = F.col("common") * 100 >= F.col("total") * percent
-    columns = ["a", "b", "n_a", "n_b", "common", "total", linked.alias("linked")]
-    if deltas:
-        close = F.col("common") >= (1 - NEAR) * F.col("total") - 1
-        columns.append(F.when(close, F.concat(F.array_except("keys_a", "keys_b"), F.array_except("keys_b", "keys_a"))).alias("delta"))
-    out = settled(full.select(*columns), "jaccard-measured")
+    delta = F.when(F.col("wide") & (F.col("common") >= (1 - NEAR) * F.col("total") - 1),
+                   F.concat(F.array_except("keys_a", "keys_b"), F.array_except("keys_b", "keys_a")))
+    out = settled(full.select(*pairs.columns, "common", "total", linked.alias("linked"), delta.alias("delta")), "jaccard-measured")
     discard(near, keep)
     return out
 
 
-def _next_lists(lists: DataFrame, measured: DataFrame, percent: int) -> DataFrame:
-    """Lists (key, node, comp, weight, center) still of several components -> the next round's.
+def _next_lists(lists: DataFrame, measured: DataFrame, percent: int, files: int) -> DataFrame:
+    """Lists (key, node, n, comp, weight, center) still of several components -> the next round's.
 
     With D the elements that a member or the centre has alone, two members differ by
     ``|D_u| + |D_v| - 2 |common|``, so a member that failed to link shares a known part of D with each partner: a
-    prefix of D, rare elements first, shares one. Members that may share nothing (loose ones) post all of D, for partners
-    that must share some, and stay in their list for each other.
+    prefix of D, rare elements first, shares one. A partner's D is smaller by what linked pairs may differ by at most, so the prefix
+    is no longer than that, and a member with as many elements of its own has none. Members that may share nothing (loose ones) post
+    all of D, for partners that must share some, and stay in their list for each other. Only the prefixes carry elements: lists,
+    sizes of D and components meet without them.
     """
     delta = 1 - percent / 100
     gap = 1 - F.col("common") / F.col("total")
-    one = measured.select(F.col("a").alias("center"), F.col("b").alias("node"), F.col("n_b").alias("n"), gap.alias("gap"), "linked", "delta")
-    two = measured.select(F.col("b").alias("center"), F.col("a").alias("node"), F.col("n_a").alias("n"), gap.alias("gap"), "linked", "delta")
-    placed = lists.where("node != center").join(one.unionByName(two), ["center", "node"], "left")
+    sides = [measured.where("wide").select(F.col(c).alias("center"), F.col(m).alias("node"), gap.alias("gap"), "linked", F.size("delta").alias("d"), "delta") for c, m in ("ab", "ba")]
+    of_center = sides[0].unionByName(sides[1])
+    placed = written(lists.where("node != center").join(of_center.drop("delta"), ["center", "node"], "left").coalesce(files), "jaccard-placed")
     # Most elements that a linked partner of the member may differ by, whatever the partner's size.
     most = F.floor(F.col("n") * (100 - percent) / percent)
-    d = F.size("delta")
-    near = placed.where(F.col("gap") <= NEAR).dropDuplicates(["center", "node"]).select(
-        "center", "node", "comp", "weight", "linked", "delta", most.alias("most"), d.alias("d"))
+    near = placed.where(F.col("gap") <= NEAR).dropDuplicates(["center", "node"]).select("center", "node", "n", "comp", "weight", "linked", most.alias("most"), "d")
     # Without a member that failed to link, the centre has brought all its near members together.
     least = near.groupBy("center").agg(F.min("d").alias("d_any"), F.min(F.when(~F.col("linked"), F.col("d"))).alias("d_open")).where("d_open IS NOT NULL")
-    near = near.join(least, "center")
     # A linked member has to meet those only that failed.
-    need = F.ceil((F.col("d") + F.when(F.col("linked"), F.col("d_open")).otherwise(F.col("d_any")) - F.col("most")) / 2)
-    near = near.withColumn("need", need)
+    partner = F.greatest(F.when(F.col("linked"), F.col("d_open")).otherwise(F.col("d_any")), F.col("d") - F.col("most"))
+    need = F.ceil((F.col("d") + partner - F.col("most")) / 2)
+    near = written(near.join(sized(written(least.coalesce(files), "jaccard-centers")), "center").withColumn("need", need).where("need <= d").coalesce(files), "jaccard-needs")
     # So close to the bound that nothing need be shared: two such members, one of them not linked, may share nothing, so
     # these stay in their list as well where it holds a partner for them. All others share an element of D with every partner.
     loose = placed.select("key", "center", "node").join(near.where("need < 1").select("center", "node", "linked", "d", "most"), ["center", "node"])
     of_list = loose.groupBy("key").agg(F.min("d").alias("k_any"), F.min(F.when(~F.col("linked"), F.col("d"))).alias("k_open")).where("k_open IS NOT NULL")
     loose = loose.join(of_list, "key").where(F.col("d") + F.when(F.col("linked"), F.col("k_open")).otherwise(F.col("k_any")) <= F.col("most"))
     loose = loose.select("key", "node", F.lit(True).alias("loose"))
-    far = placed.join(loose, ["key", "node"], "left").where(F.col("gap").isNull() | (F.col("gap") > NEAR - 1.05 * delta) | F.col("loose")).select("key", "node", "comp", "weight")
-    each = near.select("center", "node", "comp", "weight", "linked", (F.col("d") - F.greatest("need", F.lit(1)) + 1).alias("prefix"), F.explode("delta").alias("element"))
+    far = placed.join(loose, ["key", "node"], "left").where(F.col("gap").isNull() | (F.col("gap") > NEAR - 1.05 * delta) | F.col("loose")).select("key", "node", "n", "comp", "weight")
+    prefix = F.col("d") - F.greatest("need", F.lit(1)) + 1
+    each = near.join(of_center.select("center", "node", "delta"), ["center", "node"]).select("center", "node", prefix.alias("prefix"), F.explode("delta").alias("element"))
+    # An element of one member alone takes a place in its prefix and makes no list.
     often = each.groupBy("center", "element").agg(F.count("*").alias("f"))
     order = Window.partitionBy("center", "node").orderBy("f", "element")
-    first = each.join(often, ["center", "element"]).withColumn("place", F.row_number().over(order)).where(F.col("place") <= F.col("prefix"))
-    near = first.select(F.xxhash64("center", "element").alias("key"), "node", "comp", "weight", "linked")
-    useful = near.groupBy("key").agg(F.min("linked").alias("all_linked")).where("NOT all_linked").select("key")
-    return far.unionByName(near.join(useful, "key", "left_semi").drop("linked")).dropDuplicates(["key", "node"])
+    first = each.join(often, ["center", "element"]).withColumn("place", F.row_number().over(order)).where("place <= prefix AND f > 1").select("center", "node", "element")
+    posted = written(first.join(near.select("center", "node", "n", "comp", "weight", "linked"), ["center", "node"]).select(
+        F.xxhash64("center", "element").alias("key"), "node", "n", "comp", "weight", "linked").coalesce(files), "jaccard-posted")
+    useful = posted.groupBy("key").agg(F.min("linked").alias("all_linked"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("NOT all_linked AND lo < hi").select("key")
+    out = settled(far.unionByName(posted.join(useful, "key", "left_semi").drop("linked")).dropDuplicates(["key", "node"]).coalesce(files), "jaccard-next")
+    discard(placed, near, posted)
+    return out
 
 
 def similar_groups(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -358,48 +375,55 @@ def similar_groups(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str =
             break
         most += LIGHT_MOST
 
-    posted = settled(_postings(nodes, percent, x, _frequent(keys)), "jaccard-postings")
+    held = settled(_postings(nodes, percent, x, _frequent(keys)), "jaccard-postings")
     discard(keys)
-    lists, links, labels = posted.withColumn("comp", F.col("node")), None, None
-    held = posted
+    lists, links, labels = held.withColumn("comp", F.col("node")), None, None
     few = PAIRS_PER_NODE * nodes.count()
+    low, high = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
+
+    def pairs_of(mine: DataFrame, all_lists: DataFrame) -> DataFrame:
+        other = all_lists.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("comp_b"))
+        pairs = mine.select("key", F.col("node").alias("a"), F.col("n").alias("n_a"), "comp").join(other, "key").where("a < b AND comp != comp_b")
+        return pairs.where(low * 100 >= high * percent).select("a", "b", "n_a", "n_b", F.lit(False).alias("wide"))
+
     for turn in range(ROUNDS + 1):
-        if labels is not None:
-            lists = lists.drop("comp").join(labels.withColumnRenamed("label", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        mixed = lists.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.struct("weight", "node")).alias("c"), F.count("*").alias("members")).where("lo < hi")
-        lists = settled(lists.join(mixed.select("key", F.col("c.node").alias("center"), "members"), "key"), "jaccard-lists")
+        mixed = lists.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.struct("weight", "node", "n")).alias("c"), F.count("*").alias("members")).where("lo < hi")
+        lists = settled(lists.join(mixed.select("key", F.col("c.node").alias("center"), F.col("c.n").alias("n_center"), "members"), "key"), "jaccard-lists")
         discard(held)
         held = lists
-        open_pairs = lists.agg(F.sum((F.col("members") - 1) / 2)).first()[0]
-        if not open_pairs:
+        short = F.col("members") <= SHORT
+        counted = lists.agg(F.count("*"), F.sum((F.col("members") - 1) / 2), F.sum(F.when(~short, (F.col("members") - 1) / 2)).alias("long")).first()
+        if not counted[0]:
             break
-        last = turn == ROUNDS or open_pairs <= few
-        slices = max(1, math.ceil(open_pairs / max(few, PAIRS_AT_ONCE))) if last else 1
+        last = turn == ROUNDS or (counted["long"] or 0) <= few
+        slices = max(1, math.ceil(counted[1] / max(few, PAIRS_AT_ONCE))) if last else 1
         for part in range(slices):
-            if not last:
-                pairs = lists.where("node != center").select(F.least("node", "center").alias("a"), F.greatest("node", "center").alias("b"))
-                similarity = 1 - NEAR
-            else:
+            if last:
                 # All that is left, in slices of bounded size; what a slice has linked is no pair of the next one.
                 if part:
-                    lists = held.drop("comp").join(labels.withColumnRenamed("label", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-                mine = lists.where(F.pmod(F.xxhash64("key", "node"), F.lit(slices)) == part)
-                other = lists.select("key", F.col("node").alias("other"), F.col("comp").alias("other_comp"))
-                pairs = mine.join(other, "key").where("node < other AND comp != other_comp").select(F.col("node").alias("a"), F.col("other").alias("b"))
-                similarity = percent / 100
-            pairs = written(pairs.distinct(), "jaccard-pairs")
-            measured = _measured(pairs, nodes, rows, repeated, k, percent, similarity, not last)
+                    lists = _labelled(held, labels)
+                pairs = pairs_of(lists.where(F.pmod(F.xxhash64("key", "node"), F.lit(slices)) == part) if slices > 1 else lists, lists)
+            else:
+                # All pairs of short lists, and the members of long ones with their centre.
+                a_is_center = F.col("center") < F.col("node")
+                rays = lists.where(~short & (F.col("node") != F.col("center"))).select(
+                    F.least("node", "center").alias("a"), F.greatest("node", "center").alias("b"), F.when(a_is_center, F.col("n_center")).otherwise(F.col("n")).alias("n_a"),
+                    F.when(a_is_center, F.col("n")).otherwise(F.col("n_center")).alias("n_b"), F.lit(True).alias("wide"))
+                pairs = pairs_of(lists.where(short), lists.where(short)).unionByName(rays.where(low >= F.floor(high * (1 - NEAR))))
+            pairs = written(pairs.groupBy("a", "b", "n_a", "n_b").agg(F.max("wide").alias("wide")).coalesce(_files(counted[0])), "jaccard-pairs")
+            measured = _measured(pairs, nodes, rows, repeated, k, percent)
             discard(pairs)
-            found = written(measured.where("linked").select("a", "b").distinct(), "jaccard-links")
+            found = written(measured.where("linked").select("a", "b").coalesce(_files(counted[0])), "jaccard-links")
             links = found if links is None else links.unionByName(found)
             labels = components(links)
             if last:
                 discard(measured)
         if last:
             break
-        lists = lists.drop("comp", "members").join(labels.withColumnRenamed("label", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        lists = written(_labelled(lists.where(~short).drop("members", "n_center"), labels), "jaccard-labelled")
+        discard(held)
         still = lists.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-        lists = written(_next_lists(lists.join(still, "key", "left_semi"), measured, percent), "jaccard-next")
+        held, lists = lists, _next_lists(lists.join(still, "key", "left_semi"), measured, percent, _files(counted[0]))
         discard(held, measured)
         held = lists
     discard(held)
