@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import small, stored
 from .assets import strict_lookup, unique_names
-from .tokens import encode, pad_truncate, split_words
+from .tokens import encode, first_words, pad_truncate
 
 
 def samples(df: DataFrame, manifest: DataFrame, vocab: DataFrame, caption_col: str = "caption", id_col: str = "national_number",
@@ -20,7 +20,8 @@ def samples(df: DataFrame, manifest: DataFrame, vocab: DataFrame, caption_col: s
     """
     files = small(stored(unique_names(manifest), "manifest"))
     found = strict_lookup(df, files, id_col, fail=fail, unique=True)
-    words = F.col(words_col) if words_col else split_words(caption_col)
+    # A word has one id at least, so those after the first ``max_len - 2`` have no place in a sample.
+    words = F.col(words_col) if words_col else first_words(caption_col, max_len - 2)
     ids, mask, n = pad_truncate("_ids", max_len)
     coded = encode(found.select(id_col, caption_col, "image_path", words.alias("_words")), vocab, words_col="_words", out_col="_ids", id_col=id_col)
     coded = coded.select(id_col, caption_col, "image_path", ids.alias("input_ids"), mask.alias("attention_mask"), n.alias("_n"))
