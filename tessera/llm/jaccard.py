@@ -15,7 +15,8 @@ ones first, and only a prefix is posted: partners share one of it. And a large s
 common with a chance of at least the threshold, so the sketches share at least ``least_common`` of them but for
 a chance below 1e-12 a pair - a chance of the order of a 64-bit hash collision, and the only one taken.
 
-No list is expanded to all its pairs. In a round each list's members are measured against one of them, the
+Lists of up to ``SHORT`` members are compared pair by pair, which is linear in their entries; no longer list is expanded to all its pairs
+while they are many. In a round each long list's members are measured against one of them, the
 centre (the member whose elements are the most common ones), and what links becomes one component. A member
 that does not link to its centre can link to another member only by what it does not share with the
 centre: near members (distance up to ``NEAR``) are posted again under the elements that they or the centre have alone, in short
