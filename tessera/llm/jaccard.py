@@ -15,13 +15,17 @@ ones first, and only a prefix is posted: partners share one of it. And a large s
 common with a chance of at least the threshold, so the sketches share at least ``least_common`` of them but for
 a chance below 1e-12 a pair - a chance of the order of a 64-bit hash collision, and the only one taken.
 
-Lists of up to ``SHORT`` members are compared pair by pair, which is linear in their entries; no longer list is expanded to all its pairs
-while they are many. In a round each long list's members are measured against one of them, the
-centre (the member whose elements are the most common ones), and what links becomes one component. A member
+Lists of up to ``SHORT`` members are compared pair by pair, which is linear in their entries. No longer list becomes a table of
+pairs: each has a centre (the member whose elements are the most common ones), and the members of all lists of one centre are a group,
+once each, so the many lists of one family of copies meet once. A group's whole sets go to one task, in blocks if it is large, which compares them in memory and returns
+no more links than bring its members together (``overlaps``): what is written grows with the members, not with their pairs.
+
+Only where even these comparisons are more work than a round over tables, rounds come before. In a round each long list's members are
+measured against the centre, and what links becomes one component. A member
 that does not link to its centre can link to another member only by what it does not share with the
 centre: near members (distance up to ``NEAR``) are posted again under the elements that they or the centre have alone, in short
 new lists; others (beyond ``NEAR`` less a link distance, by the triangle inequality) stay in their list for another centre. A linked pair is
-together in one of the two. Lists of one component are done, and what is left after the last round is compared pair by pair.
+together in one of the two. Lists of one component are done, and what is left after the last round is compared as above.
 Links are counted on whole sets; a link between different texts is never lost.
 
 Defined results: a null, empty or blank text has an empty set and links with nothing; a text of fewer words
@@ -45,6 +49,7 @@ from pyspark.sql.window import Window
 from tessera.llm.arrow import pieces
 from tessera.llm.common import discard, settled, sized, written
 from tessera.llm.hashing import GOLDEN, mix, span_hashes
+from tessera.llm.overlaps import spanning_links
 
 #: Largest chance that a linked pair is not posted together.
 MISS = 1e-12
@@ -58,8 +63,10 @@ ROUNDS = 5
 SHORT = 8
 #: Pairs in longer lists for each node that cost less than another round.
 PAIRS_PER_NODE = 2
-#: Pairs that are compared at once when no round is left, at least.
-PAIRS_AT_ONCE = 1_000_000
+#: Pairs that are compared in memory at the cost of one that goes through tables.
+IN_MEMORY = 10_000
+#: Members of a group and elements of their sets in one block: a task holds two.
+BLOCK_ROWS, BLOCK_ELEMENTS = 2048, 1 << 20
 #: Largest distance of a near member. Far ones begin more than a link distance below it.
 NEAR = 0.45
 #: Rows of narrow tables between steps for each file, and the least number of files: many shuffle partitions make no more of them.
@@ -267,6 +274,40 @@ def _labelled(lists: DataFrame, labels: DataFrame) -> DataFrame:
     return lists.drop("comp").join(sized(labels).withColumnRenamed("label", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
 
+def _whole(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, repeated: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(node, keys): the whole sets of the ``wanted`` nodes, from one text each; and the written table that they are made from."""
+    keep = nodes.join(wanted, "node", "left_semi").select(F.col("from.doc_id").alias("k_id"), F.col("from.text_key").alias("k_key"))
+    keep = written(keep.join(repeated, (F.col("k_key") == F.col("r_key")) & F.col("k_id").eqNullSafe(F.col("r_id")), "left").select(
+        "k_id", "k_key", F.col("r_key").isNotNull().alias("many")), "jaccard-wanted")
+    texts = docs.join(sized(keep), (F.col("text_key") == F.col("k_key")) & F.col("doc_id").eqNullSafe(F.col("k_id")))
+    texts = texts.where("NOT many").unionByName(texts.where("many").dropDuplicates(["doc_id", "text_key"])).select("doc_id", "text_key", "text")
+    return _sets(texts, k, percent, True).select("node", "keys"), keep
+
+
+def _grouped_links(lists: DataFrame, nodes: DataFrame, docs: DataFrame, repeated: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) that bring together what the links among the members of each list bring together; lists of one center are one group."""
+    members = written(lists.select("center", "node", "n", "comp").dropDuplicates(["center", "node"]), "jaccard-members")
+    groups = members.groupBy("center").agg(F.count("*").alias("members"), F.sum("n").alias("elements"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
+    blocks = F.ceil(F.greatest(F.col("members") / BLOCK_ROWS, F.col("elements") / BLOCK_ELEMENTS))
+    groups = written(groups.select("center", blocks.alias("blocks")), "jaccard-blocks")
+    dealt = members.join(sized(groups), "center").withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
+    whole, keep = _whole(members.select("node").distinct(), nodes, docs, repeated, k, percent)
+    # A task for each two blocks of a group, and for each block by itself.
+    each = dealt.join(whole, "node").select("center", "node", "comp", "block", "keys", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    each = each.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other")
+
+    def work(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        node, comp, block, keys = (group.column(c).combine_chunks() for c in ("node", "comp", "block", "keys"))
+        a, b = spanning_links(keys.flatten().to_numpy(), keys.value_lengths().to_numpy().astype(np.int64), comp.to_numpy(), block.to_numpy(), percent)
+        node = node.to_numpy()
+        return pa.table({"a": np.minimum(node[a], node[b]), "b": np.maximum(node[a], node[b])})
+
+    found = settled(each.groupBy("center", "i", "j").applyInArrow(work, "a long, b long").distinct(), "jaccard-grouped")
+    discard(members, groups, keep)
+    return found
+
+
 def _measured(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, repeated: DataFrame, k: int, percent: int) -> DataFrame:
     """The ``pairs`` (a, b, n_a, n_b, wide) that may be linked, or near if they are ``wide``, on whole sets: common, total (of the union), linked, delta.
 
@@ -286,14 +327,8 @@ def _measured(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, repeated: Dat
         F.least(F.lit(least_common(size, percent / 100)), F.floor(high * (percent / 100))))
     near = sides(pairs, nodes.select("node", F.transform("keys", lambda x: x.bitwiseAND(F.lit(2**31 - 1)).cast("int")).alias("keys")))
     near = settled(near.where(F.size(F.array_intersect("keys_a", "keys_b")) >= least - 1).select(*pairs.columns), "jaccard-near")
-    # The whole sets of the nodes left, from one text each.
-    wanted = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    keep = nodes.join(wanted, "node", "left_semi").select(F.col("from.doc_id").alias("k_id"), F.col("from.text_key").alias("k_key"))
-    keep = written(keep.join(repeated, (F.col("k_key") == F.col("r_key")) & F.col("k_id").eqNullSafe(F.col("r_id")), "left").select(
-        "k_id", "k_key", F.col("r_key").isNotNull().alias("many")), "jaccard-wanted")
-    texts = docs.join(sized(keep), (F.col("text_key") == F.col("k_key")) & F.col("doc_id").eqNullSafe(F.col("k_id")))
-    texts = texts.where("NOT many").unionByName(texts.where("many").dropDuplicates(["doc_id", "text_key"])).select("doc_id", "text_key", "text")
-    full = sides(near, _sets(texts, k, percent, True).select("node", "keys"))
+    whole, keep = _whole(near.select(F.explode(F.array("a", "b")).alias("node")).distinct(), nodes, docs, repeated, k, percent)
+    full = sides(near, whole)
     full = full.withColumn("common", F.size(F.array_intersect("keys_a", "keys_b")))
     full = full.withColumn("total", F.col("n_a") + F.col("n_b") - F.col("common"))
     linked = F.col("common") * 100 >= F.col("total") * percent
@@ -393,32 +428,28 @@ def similar_groups(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str =
         discard(held)
         held = lists
         short = F.col("members") <= SHORT
-        counted = lists.agg(F.count("*"), F.sum((F.col("members") - 1) / 2), F.sum(F.when(~short, (F.col("members") - 1) / 2)).alias("long")).first()
+        counted = lists.agg(F.count("*"), F.sum(F.when(~short, (F.col("members") - 1) / 2)).alias("long")).first()
         if not counted[0]:
             break
-        last = turn == ROUNDS or (counted["long"] or 0) <= few
-        slices = max(1, math.ceil(counted[1] / max(few, PAIRS_AT_ONCE))) if last else 1
-        for part in range(slices):
-            if last:
-                # All that is left, in slices of bounded size; what a slice has linked is no pair of the next one.
-                if part:
-                    lists = _labelled(held, labels)
-                pairs = pairs_of(lists.where(F.pmod(F.xxhash64("key", "node"), F.lit(slices)) == part) if slices > 1 else lists, lists)
-            else:
-                # All pairs of short lists, and the members of long ones with their centre.
-                a_is_center = F.col("center") < F.col("node")
-                rays = lists.where(~short & (F.col("node") != F.col("center"))).select(
-                    F.least("node", "center").alias("a"), F.greatest("node", "center").alias("b"), F.when(a_is_center, F.col("n_center")).otherwise(F.col("n")).alias("n_a"),
-                    F.when(a_is_center, F.col("n")).otherwise(F.col("n_center")).alias("n_b"), F.lit(True).alias("wide"))
-                pairs = pairs_of(lists.where(short), lists.where(short)).unionByName(rays.where(low >= F.floor(high * (1 - NEAR))))
-            pairs = written(pairs.groupBy("a", "b", "n_a", "n_b").agg(F.max("wide").alias("wide")).coalesce(_files(counted[0])), "jaccard-pairs")
-            measured = _measured(pairs, nodes, rows, repeated, k, percent)
-            discard(pairs)
-            found = written(measured.where("linked").select("a", "b").coalesce(_files(counted[0])), "jaccard-links")
-            links = found if links is None else links.unionByName(found)
-            labels = components(links)
-            if last:
-                discard(measured)
+        last = turn == ROUNDS or (counted["long"] or 0) / IN_MEMORY <= few
+        # All pairs of short lists, and before the last round the members of long ones with their centre.
+        pairs = pairs_of(lists.where(short), lists.where(short))
+        if not last:
+            a_is_center = F.col("center") < F.col("node")
+            rays = lists.where(~short & (F.col("node") != F.col("center"))).select(
+                F.least("node", "center").alias("a"), F.greatest("node", "center").alias("b"), F.when(a_is_center, F.col("n_center")).otherwise(F.col("n")).alias("n_a"),
+                F.when(a_is_center, F.col("n")).otherwise(F.col("n_center")).alias("n_b"), F.lit(True).alias("wide"))
+            pairs = pairs.unionByName(rays.where(low >= F.floor(high * (1 - NEAR))))
+        pairs = written(pairs.groupBy("a", "b", "n_a", "n_b").agg(F.max("wide").alias("wide")).coalesce(_files(counted[0])), "jaccard-pairs")
+        measured = _measured(pairs, nodes, rows, repeated, k, percent)
+        discard(pairs)
+        found = written(measured.where("linked").select("a", "b").coalesce(_files(counted[0])), "jaccard-links")
+        links = found if links is None else links.unionByName(found)
+        if last:
+            discard(measured)
+            if counted["long"]:
+                links = links.unionByName(_grouped_links(lists.where(~short), nodes, rows, repeated, k, percent))
+        labels = components(links)
         if last:
             break
         lists = written(_labelled(lists.where(~short).drop("members", "n_center"), labels), "jaccard-labelled")
